@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,20 @@ WHITE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once a context, so that they need no copy of their own."""
+    sc = spark.sparkContext
+    if getattr(sc, "_helixframe_sent", False):
+        return
+    package = Path(__file__).resolve().parent.parent
+    path = os.path.join(os.path.realpath(tempfile.mkdtemp()), "helixframe.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(path)
+    sc._helixframe_sent = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share. A local session without one gets its own; a cluster must name it."""
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -32,6 +48,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str, **options) -> DataFrame:
     """Cuts the lineage: the rows are in the shared folder before this returns, so a lost executor costs a read, not a rerun."""
     spark = df.sparkSession
+    ship(spark)
     path = new_path(spark, name)
     df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -52,6 +69,7 @@ def ascii_lower(text: Column) -> Column:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, packing, sharding
+from . import decontaminate, line_dedup, near_dedup, packing, sharding, toxicity
 from .common import table
 
 #: Production parameters of the sharding query: the table has over 100 slots a shard.
@@ -63,12 +63,21 @@ FROM d LEFT JOIN pos ON d.doc_id = pos.doc_id LEFT JOIN its ON d.doc_id = its.do
 """
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity.toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "held_out", "score", "predicted")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_sharding, op3_decontamination, op10_packing)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_sharding, op3_decontamination, op7_near_dedup, op8_toxicity, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
