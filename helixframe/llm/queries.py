@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, near_dedup, packing, sharding, toxicity
+from . import ann, decontaminate, html_extract, line_dedup, near_dedup, packing, quality, sharding, surrogates, toxicity
 from .common import table
 
 #: Production parameters of the sharding query: the table has over 100 slots a shard.
@@ -63,6 +63,20 @@ FROM d LEFT JOIN pos ON d.doc_id = pos.doc_id LEFT JOIN its ON d.doc_id = its.do
 """
 
 
+def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text with surrogates, n_entities. The key is fixed so that the rows can be compared; users pass their own."""
+    return surrogates.replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"), key="example-key")
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.quality(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "held_out", "score", "predicted")
+
+
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -72,12 +86,16 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "score", "predicted")
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_sharding, op3_decontamination, op7_near_dedup, op8_toxicity, op10_packing)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_sharding, op3_decontamination, op4_surrogates, op5_quality, op6_html_extraction, op7_near_dedup, op8_toxicity, op9_nearest_neighbours, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
