@@ -1,8 +1,53 @@
-"""The corpus pipeline: stages over documents, each reading what the one before wrote."""
+"""The corpus pipeline: five stages over documents, each written as Parquet and reread by the next.
 
-STAGES = []
+toxicity: documents predicted toxic go. line_dedup: lines that an earlier document holds go; a document
+that loses all of them stays, empty. near_dedup: one document of each near-duplicate group stays.
+decontaminate: documents that hold a benchmark window go. pack: the rest becomes fixed-length sequences.
+All but the last return the columns of documents, n_chars always telling the length of the text.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from helixframe.llm import decontaminate, line_dedup, near_dedup, packing, toxicity
+from helixframe.llm.common import table, written
+
+#: The most ids that a stage sends to every task; beyond it the ids are joined by shuffle.
+MAX_IDS = 2_000_000
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(docs, table(spark, sf_dir, "labels")).where("predicted = 0").select(*docs.columns)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(docs)
+    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    gone = written(near_dedup.near_duplicates(docs).where("NOT kept").select("doc_id").distinct(), "near-duplicates")
+    return docs.join(F.broadcast(gone) if gone.count() <= MAX_IDS else gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("NOT contaminated").select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
+STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_repeated_lines), ("near_dedup", drop_near_duplicates), ("decontaminate", drop_contaminated), ("pack", pack)]
+
+#: The first stage is learned and the third and last are searches; tests hold the rows against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
