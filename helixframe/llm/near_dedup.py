@@ -240,7 +240,7 @@ def verified(live: DataFrame, classes: DataFrame, base: DataFrame, words: int, p
             if comp is None:
                 comp = merged
             else:
-                moved = comp.join(merged.withColumnsRenamed({"node": "comp", "comp": "to"}), "comp", "left")
+                moved = comp.join(merged.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "comp", "left")
                 alone = merged.join(comp.select("node"), "node", "left_anti")
                 comp = written(moved.select("node", F.coalesce("to", "comp").alias("comp")).union(alone), "comp")
         bad = judged.where("not linked").select("cls", "hub")
