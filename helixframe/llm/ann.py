@@ -3,7 +3,7 @@
 Centroids come from balanced k-means over a bounded sample; their number is about the square root of the
 table's size, up to a parameter. A vector joins the list of its nearest centroid, and a boundary
 vector also those of others at almost the same distance. A query finds its lists by walking a neighbour
-graph of the centroids in memory, then keeps those within a ratio of the nearest distance. Lists
+graph of the centroids in memory, then keeps a few nearest and those within a ratio of the nearest distance. Lists
 are joined with their queries by (list, part): a long list is split into parts of bounded size, so a
 vector that fills a third of the table does not fill one task. The ten nearest of each part are merged.
 
@@ -102,7 +102,7 @@ def usable(vector: Column) -> Column:
     return F.when(ok, v)
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", copies: int = 4, closure: float = 1.15, lists: int = 24, ratio: float = 1.6) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", copies: int = 4, closure: float = 1.15, lists: int = 48, least: int = 8, ratio: float = 1.6) -> DataFrame:
     """query_id, rank, vec_id, score for the rows where is_query holds, against every other row."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), is_query.alias("q"), usable(F.col(vector_col)).alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
     rows = rows.groupBy("id").agg(F.min(F.struct("v", "q")).alias("r")).select("id", "r.v", "r.q")
@@ -130,8 +130,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "ve
         for b in batches:
             out = []
             for i, v in zip(b["id"], b["v"], strict=True):
-                ids, d = graph.search(np.asarray(v), lists, 64)
-                out += [(i, int(c), v) for c in ids[np.sqrt(d) <= ratio * np.sqrt(d[0]) + 1e-12]]
+                ids, d = graph.search(np.asarray(v), lists, 2 * lists)
+                # a query may lie on a centroid, where no ratio reaches beyond it: the `least` nearest lists always count
+                reach = max(ratio * np.sqrt(d[0]), np.sqrt(d[min(least, len(d)) - 1])) + 1e-12
+                out += [(i, int(c), v) for c in ids[np.sqrt(d) <= reach]]
             yield pd.DataFrame(out, columns=["id", "list", "v"])
 
     shape = "id long, list int, v array<double>"
