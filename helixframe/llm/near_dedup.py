@@ -9,9 +9,11 @@ probability 5e-6.
 Buckets are worked off in rounds, never as all their pairs. In a round each bucket names a few hubs
 (1, 4, 16, ... of its smallest classes), and only members of other components are compared with them,
 after a bound from the set sizes. Verified links merge components, so a large group of copies is
-settled by its first hubs, and hubs leave the bucket once compared with all of it. A bucket is done when
-one component is left in it; until then no pair is skipped, so no cap and no loss is involved. Links are
-confirmed on full sets, which are made again for candidates alone.
+settled by its first hubs, and hubs leave the bucket once compared with all of it. Buckets that are
+still large and mixed after the first round hold documents that share much, but mostly less than the limit: their members leave
+for an exact prefix-filtered join of full sets, whose rarest shingles tell them apart. A bucket is done
+when one component is left in it; until then no pair is skipped, so no cap and no loss is involved. Links
+are confirmed on full sets, which are made again for candidates alone.
 
 Texts do not move, and neither links nor components come to the driver.
 
@@ -36,6 +38,8 @@ STEP = np.uint64(0x9E3779B97F4A7C15)
 MIX = (np.uint32(0x7FEB352D), np.uint32(0x846CA68B))
 #: Shingles handled at once: their permuted places stay in a core's cache.
 CHUNK = 1 << 17
+#: Mixed buckets above this size go to the prefix-filtered join.
+LARGE = 24
 #: Candidate ids that may be broadcast (16 bytes each).
 MAX_BROADCAST = 2_000_000
 
@@ -201,6 +205,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(named[0], F.col("n").alias("n_shingles"), named[1], (F.col("doc_id") == component).alias("kept"))
 
 
+def prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members (cls, n, comp) in different components that may be linked: an exact filter, not a sketch.
+
+    Shingles are ordered by how few of the members hold them. Linked sets share a shingle within the first
+    n - ceil(p n) + 1 of the larger and n - ceil(2 p n / (1 + p)) + 1 of the smaller one, and at their first common
+    shingle enough of both must be left to reach the needed overlap."""
+    tokens = written(members.join(sets, "cls").select("cls", "n", "comp", F.explode("items").alias("token")), "tokens")
+    held = tokens.groupBy("token").agg(F.count("*").alias("df"))
+    order = F.row_number().over(Window.partitionBy("cls").orderBy("df", "token"))
+    probe = F.col("n") - F.expr(f"({percent} * n + 99) div 100") + 1
+    index = F.col("n") - F.expr(f"({2 * percent} * n + {99 + percent}) div {100 + percent}") + 1
+    prefix = tokens.join(held, "token").withColumn("pos", order).where((F.col("pos") <= probe) & (F.col("df") > 1))
+    prefix = written(prefix.withColumn("short", F.col("pos") <= index).drop("df"), "prefixes")
+    x, y = prefix.alias("x"), prefix.where("short").alias("y")
+    c = {k: F.col(k) for k in ("x.cls", "x.n", "x.pos", "x.comp", "y.cls", "y.n", "y.pos", "y.comp")}
+    needed = F.ceil(percent * (c["x.n"] + c["y.n"]) / F.lit(100 + percent))
+    smaller = (c["y.n"] < c["x.n"]) | ((c["y.n"] == c["x.n"]) & (c["y.cls"] < c["x.cls"]))
+    left = 1 + F.least(c["x.n"] - c["x.pos"], c["y.n"] - c["y.pos"])
+    fits = smaller & (100 * c["y.n"] >= percent * c["x.n"]) & (c["x.comp"] != c["y.comp"]) & (left >= needed)
+    both = x.join(y, (F.col("x.token") == F.col("y.token")) & fits)
+    a, b = F.struct("x.cls", "x.n", "x.comp"), F.struct("y.cls", "y.n", "y.comp")
+    pairs = both.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
+    return pairs.select(F.col("a.cls").alias("cls"), F.col("b.cls").alias("hub"), F.col("a.n").alias("n"), F.col("b.n").alias("hub_n"), F.col("a.comp").alias("comp"), F.col("b.comp").alias("hub_comp"))
+
+
 def verified(live: DataFrame, classes: DataFrame, base: DataFrame, words: int, percent: int) -> DataFrame | None:
     """(node, comp) over the classes that true links join; None if there are no candidates."""
     ids = written(live.select("cls").distinct().join(classes.select("cls", "first", "h1", "h2"), "cls"), "candidates")
@@ -220,6 +249,11 @@ def verified(live: DataFrame, classes: DataFrame, base: DataFrame, words: int, p
         at = written(at.join(mixed, "bucket"), "open")
         if at.isEmpty():
             return comp
+        apart = None
+        if hubs == 4:  # after the first round, once and for all
+            large = at.groupBy("bucket").agg(F.count("*").alias("c")).where(F.col("c") > LARGE).select("bucket")
+            apart = written(at.join(large, "bucket", "left_semi").select("cls", "n", "comp").distinct(), "large")
+            at = written(at.join(large, "bucket", "left_anti"), "open")
         if hubs == 1:
             chosen = at.groupBy("bucket").agg(F.min(F.struct("cls", "n", "comp")).alias("h")).select("bucket", "h.*")
         else:
@@ -228,6 +262,8 @@ def verified(live: DataFrame, classes: DataFrame, base: DataFrame, words: int, p
         chosen = chosen.withColumnsRenamed({"cls": "hub", "n": "hub_n", "comp": "hub_comp"})
         near = (F.col("cls") > F.col("hub")) & (F.col("comp") != F.col("hub_comp")) & (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n"))
         pairs = at.join(chosen, "bucket").where(near).select("cls", "hub", "n", "hub_n", "comp", "hub_comp").distinct()
+        if apart is not None and not apart.isEmpty():
+            pairs = pairs.union(prefix_pairs(apart, sets, percent).select(pairs.columns)).distinct()
         if failed is not None:
             pairs = pairs.join(failed, ["cls", "hub"], "left_anti")
         both = pairs.join(sets, "cls").join(sets.withColumnsRenamed({"cls": "hub", "items": "hub_items"}), "hub")
