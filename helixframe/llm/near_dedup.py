@@ -40,6 +40,8 @@ MIX = (np.uint32(0x7FEB352D), np.uint32(0x846CA68B))
 CHUNK = 1 << 17
 #: Mixed buckets above this size go to the prefix-filtered join.
 LARGE = 24
+#: So many members of a component are tried in that join before all are.
+MEMBERS = 8
 #: Candidate ids that may be broadcast (16 bytes each).
 MAX_BROADCAST = 2_000_000
 
@@ -205,20 +207,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(named[0], F.col("n").alias("n_shingles"), named[1], (F.col("doc_id") == component).alias("kept"))
 
 
-def prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of members (cls, n, comp) in different components that may be linked: an exact filter, not a sketch.
+def prefixes(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """cls, n, token, pos, short: the rarest shingles of each member (cls, n), which linked sets must share.
 
     Shingles are ordered by how few of the members hold them. Linked sets share a shingle within the first
-    n - ceil(p n) + 1 of the larger and n - ceil(2 p n / (1 + p)) + 1 of the smaller one, and at their first common
-    shingle enough of both must be left to reach the needed overlap."""
-    tokens = written(members.join(sets, "cls").select("cls", "n", "comp", F.explode("items").alias("token")), "tokens")
+    n - ceil(p n) + 1 of the larger and n - ceil(2 p n / (1 + p)) + 1 (marked short) of the smaller one."""
+    tokens = written(members.join(sets, "cls").select("cls", "n", F.explode("items").alias("token")), "tokens")
     held = tokens.groupBy("token").agg(F.count("*").alias("df"))
     order = F.row_number().over(Window.partitionBy("cls").orderBy("df", "token"))
     probe = F.col("n") - F.expr(f"({percent} * n + 99) div 100") + 1
     index = F.col("n") - F.expr(f"({2 * percent} * n + {99 + percent}) div {100 + percent}") + 1
     prefix = tokens.join(held, "token").withColumn("pos", order).where((F.col("pos") <= probe) & (F.col("df") > 1))
-    prefix = written(prefix.withColumn("short", F.col("pos") <= index).drop("df"), "prefixes")
-    x, y = prefix.alias("x"), prefix.where("short").alias("y")
+    return written(prefix.select("cls", "n", "token", "pos", (F.col("pos") <= index).alias("short")), "prefixes")
+
+
+def prefix_pairs(prefix: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
+    """Pairs in different components (cls, comp) that may be linked: an exact filter, not a sketch.
+
+    At their first common shingle enough of both sets must be left to reach the needed overlap."""
+    named = prefix.join(comps, "cls")
+    x, y = named.alias("x"), named.where("short").alias("y")
     c = {k: F.col(k) for k in ("x.cls", "x.n", "x.pos", "x.comp", "y.cls", "y.n", "y.pos", "y.comp")}
     needed = F.ceil(percent * (c["x.n"] + c["y.n"]) / F.lit(100 + percent))
     smaller = (c["y.n"] < c["x.n"]) | ((c["y.n"] == c["x.n"]) & (c["y.cls"] < c["x.cls"]))
@@ -230,6 +238,13 @@ def prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     return pairs.select(F.col("a.cls").alias("cls"), F.col("b.cls").alias("hub"), F.col("a.n").alias("n"), F.col("b.n").alias("hub_n"), F.col("a.comp").alias("comp"), F.col("b.comp").alias("hub_comp"))
 
 
+def with_comp(rows: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """Adds comp: the class's component so far, itself at first."""
+    if comp is None:
+        return rows.withColumn("comp", F.col("cls"))
+    return rows.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+
+
 def verified(live: DataFrame, classes: DataFrame, base: DataFrame, words: int, percent: int) -> DataFrame | None:
     """(node, comp) over the classes that true links join; None if there are no candidates."""
     ids = written(live.select("cls").distinct().join(classes.select("cls", "first", "h1", "h2"), "cls"), "candidates")
@@ -241,19 +256,25 @@ def verified(live: DataFrame, classes: DataFrame, base: DataFrame, words: int, p
     sets = full_sets(base.join(firsts, "doc_id", "left_semi"), words).join(ids.select("cls", "h1", "h2"), ["h1", "h2"])
     sets = written(sets.dropDuplicates(["cls"]).select("cls", "items"), "sets")
 
-    comp, failed, hubs = None, None, 1
+    comp, failed, hubs, prefix = None, None, 1, None
     while True:
-        at = live.withColumn("comp", F.col("cls")) if comp is None else live.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-        at = at.select("bucket", "cls", "n", "comp")
+        at = with_comp(live, comp).select("bucket", "cls", "n", "comp")
         mixed = at.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
         at = written(at.join(mixed, "bucket"), "open")
-        if at.isEmpty():
+        if at.isEmpty() and prefix is None:
             return comp
         apart = None
         if hubs == 4:  # after the first round, once and for all
             large = at.groupBy("bucket").agg(F.count("*").alias("c")).where(F.col("c") > LARGE).select("bucket")
-            apart = written(at.join(large, "bucket", "left_semi").select("cls", "n", "comp").distinct(), "large")
+            members = written(at.join(large, "bucket", "left_semi").select("cls", "n").distinct(), "large")
             at = written(at.join(large, "bucket", "left_anti"), "open")
+            if not members.isEmpty():
+                prefix = prefixes(members, sets, percent)
+                # first a few members of each component, which settle most of what joins a large one ...
+                few = F.row_number().over(Window.partitionBy("comp").orderBy(F.xxhash64("cls"), "cls"))
+                apart = with_comp(members, comp).withColumn("r", few).where(F.col("r") <= MEMBERS).select("cls", "comp")
+        elif prefix is not None:  # ... then, in the next round, all
+            apart = with_comp(members, comp).select("cls", "comp")
         if hubs == 1:
             chosen = at.groupBy("bucket").agg(F.min(F.struct("cls", "n", "comp")).alias("h")).select("bucket", "h.*")
         else:
@@ -262,8 +283,9 @@ def verified(live: DataFrame, classes: DataFrame, base: DataFrame, words: int, p
         chosen = chosen.withColumnsRenamed({"cls": "hub", "n": "hub_n", "comp": "hub_comp"})
         near = (F.col("cls") > F.col("hub")) & (F.col("comp") != F.col("hub_comp")) & (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n"))
         pairs = at.join(chosen, "bucket").where(near).select("cls", "hub", "n", "hub_n", "comp", "hub_comp").distinct()
-        if apart is not None and not apart.isEmpty():
-            pairs = pairs.union(prefix_pairs(apart, sets, percent).select(pairs.columns)).distinct()
+        if apart is not None:
+            pairs = pairs.union(prefix_pairs(prefix, written(apart, "apart"), percent).select(pairs.columns)).distinct()
+            prefix = prefix if hubs == 4 else None
         if failed is not None:
             pairs = pairs.join(failed, ["cls", "hub"], "left_anti")
         both = pairs.join(sets, "cls").join(sets.withColumnsRenamed({"cls": "hub", "items": "hub_items"}), "hub")
