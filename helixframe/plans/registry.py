@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar, sequence
-from ..operators import association, encoders, intervals, nullmodel, statistics, sweeps, topk
+from ..operators import association, encoders, intervals, nullmodel, statistics, steering, sweeps, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -519,6 +519,45 @@ def canonical_runs(spark, sf_dir):
     return sweeps.canonical(s, "p_brand", "size").select("p_brand", "size")
 
 
+# ---------------------------------------------------------------- steering
+
+
+@query(f"WITH {NEURONS} SELECT DISTINCT feature FROM m WHERE mcc >= 0.08")
+def feature_group(spark, sf_dir):
+    return steering.feature_group(assoc(spark, sf_dir), 0.08)
+
+
+@query(f"WITH {NEURONS}, o AS (SELECT *, row_number() OVER (PARTITION BY concept ORDER BY mcc DESC, feature) AS k FROM m) SELECT concept, feature, tp FROM o WHERE concept >= 5 OR k <= 3")
+def own_candidates(spark, sf_dir):
+    table = assoc(spark, sf_dir)
+    own = steering.candidates(association.ranked(table, "mcc").where("concept < 5"), 3)
+    return steering.own_candidates(table.select("concept", "feature", "tp"), own)
+
+
+@query(f"WITH {SPARSE}, w AS (SELECT o_orderkey AS id, key, pos AS s, pos + 24 AS e FROM (SELECT o_orderkey, o_custkey % 100 + 1 AS key, date_diff('day', DATE '1970-01-01', o_orderdate::DATE) AS pos FROM orders)) SELECT id FROM w WHERE EXISTS (SELECT 1 FROM spans, (SELECT unnest([0, 8, 16]) AS k) WHERE spans.key = w.key AND spans.s <= w.s + k AND w.s + k < spans.e) ORDER BY id LIMIT 200")
+def probed_windows(spark, sf_dir):
+    w = order_points(spark, sf_dir).select(F.col("o_orderkey").alias("id"), "key", F.col("pos").alias("start"), (F.col("pos") + 24).alias("end"))
+    return steering.probed_windows(w, sparse_spans(spark, sf_dir), 200).select("id")
+
+
+@query("WITH m AS (SELECT event_type, user_id % 3 AS factor, avg(value) AS ce_all, avg(value) FILTER (value > 50) AS ce_active, avg(value) FILTER (event_id % 2 = 0) AS ce_concept FROM events GROUP BY 1, 2) SELECT a.event_type, CAST(a.factor AS INTEGER) AS factor, round(a.ce_all, 6) AS ce_all, round(a.ce_active, 6) AS ce_active, round(a.ce_concept, 6) AS ce_concept, round(a.ce_all - b.ce_all, 6) AS dce_all, round(a.ce_active - b.ce_active, 6) AS dce_active, round(a.ce_concept - b.ce_concept, 6) AS dce_concept FROM m a JOIN m b ON a.event_type = b.event_type AND b.factor = 1")
+def steering_losses(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select("event_type", (F.col("user_id") % 3).cast("int").alias("factor"), F.col("value").alias("loss"), (F.col("value") > 50).alias("active"), (F.col("event_id") % 2 == 0).alias("inside"))
+    out = steering.loss_changes(e, ["event_type"])
+    return rounded(out, *[c for c in out.columns if "ce_" in c])
+
+
+@query("WITH l AS (SELECT l_orderkey * 10 + l_linenumber AS id, unnest(['l_discount', 'l_quantity', 'l_tax']) AS \"column\", unnest([l_discount, l_quantity, l_tax]) AS value FROM lineitem), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY value DESC, \"column\") AS rank FROM l) SELECT id, \"column\", value, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 2")
+def top_columns(spark, sf_dir):
+    li = read(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), "l_discount", "l_quantity", "l_tax")
+    return steering.top_columns(li, "id", ["l_discount", "l_quantity", "l_tax"], 2)
+
+
+@query("SELECT id AS step, round(CASE WHEN id < 10 THEN 0.5 * (id + 1) / 10 ELSE 0.25 * (1 + cos(least(1, (id - 10) / 90.0::DOUBLE) * pi())) END, 6) AS rate FROM range(120) t(id)")
+def rate_schedule(spark, sf_dir):
+    return spark.range(120).select(F.col("id").alias("step"), F.round(steering.warm_then_cosine(F.col("id"), 10, 100, 0.5), 6).alias("rate"))
+
+
 # ---------------------------------------------------------------- sequences, text, sets
 
 

@@ -124,3 +124,12 @@ def test_sweeps(spark):
     assert sorted(r.t for r in f.collect()) == [False, True, True]
     with pytest.raises(Exception, match="more than one value"):
         w.pivoted(df.withColumn("step", F.lit(1)), "g", "step", "dead", [1]).collect()
+
+
+def test_targets_and_lines(spark):
+    from helixframe.operators import steering as st
+
+    best = spark.createDataFrame([("a", 3, 7), ("b", 5, 9)], "concept string, layer int, feature int")
+    specs = spark.createDataFrame([("a",), ("b:5",), ("a:2:4",), ("c",)], "spec string")
+    assert rows(st.resolved_targets(specs, best, 3)) == sorted([("a", 3, 7), ("b", 5, 9), ("a", 2, 4), ("c", 3, None)], key=repr)
+    assert spark.range(1).select(st.numbered(F.array(F.lit("x"), F.lit("y"))).alias("t")).first().t == "Seq 01: x\nSeq 02: y"
