@@ -170,12 +170,13 @@ def full_sets(docs: DataFrame, words: int) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """edges (a, b) -> (node, comp): the smallest node reachable, by spreading minima and jumping along labels."""
     both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
+    sent = F.broadcast if both.count() <= MAX_BROADCAST else lambda df: df  # labels are at most as many as edges
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")), "labels")
     while True:
-        near = both.join(labels.withColumnsRenamed({"node": "b"}), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("m"))
-        spread = labels.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "m").alias("to"))
+        near = both.join(sent(labels.withColumnsRenamed({"node": "b"})), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("m"))
+        spread = labels.join(sent(near), "node").select("node", F.col("comp").alias("old"), F.least("comp", "m").alias("to"))
         target = labels.select(F.col("node").alias("to"), F.col("comp").alias("further"))
-        jumped = written(spread.join(target, "to", "left").select("node", "old", F.least("to", F.coalesce("further", "to")).alias("comp")), "labels")
+        jumped = written(spread.join(sent(target), "to", "left").select("node", "old", F.least("to", F.coalesce("further", "to")).alias("comp")), "labels")
         done = jumped.where("comp <> old").isEmpty()
         labels = jumped.select("node", "comp")
         if done:
@@ -242,7 +243,9 @@ def with_comp(rows: DataFrame, comp: DataFrame | None) -> DataFrame:
     """Adds comp: the class's component so far, itself at first."""
     if comp is None:
         return rows.withColumn("comp", F.col("cls"))
-    return rows.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    named = comp.withColumnRenamed("node", "cls")
+    named = F.broadcast(named) if comp.count() <= MAX_BROADCAST else named
+    return rows.join(named, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
 
 
 def verified(live: DataFrame, classes: DataFrame, base: DataFrame, words: int, percent: int) -> DataFrame | None:
