@@ -92,6 +92,34 @@ def nearest_control(targets: DataFrame, pool: DataFrame, limit: float, keys: Seq
     return best.select(*keys, "target", F.col("b.id").alias("control"), F.col("b.gap").alias("gap"))
 
 
+def nearest_controls(rows: DataFrame, limit: float, per_bin: int = 2_000) -> DataFrame:
+    """nearest_control for every row of (id, rate, mcc), without pairs: target, control, gap.
+
+    The nearest is at the row's own rate (the lowest other id) or at the next lower or higher rate of the pool.
+    Rates are walked by bin; only one row a bin meets in order."""
+    fit = rows.where((F.col("rate") > 0) & (F.abs("mcc") <= limit)).select("id", "rate")
+    first = fit.groupBy("rate").agg(F.min("id").alias("a"))
+    second = fit.join(first, "rate").where(F.col("id") != F.col("a")).groupBy("rate").agg(F.min("id").alias("b"))
+    held = rows.where("rate IS NOT NULL").select("rate").distinct().join(first, "rate", "left").join(second, "rate", "left")
+    low, high, n = held.agg(F.min("rate"), F.max("rate"), F.count("*")).first()
+    width = ((high - low) / (n // per_bin + 1) or 1.0) if n else 1.0
+    held = held.withColumn("__bin", F.floor((F.col("rate") - F.lit(low)) / F.lit(width)))
+    pick = F.when(F.col("a").isNotNull(), F.struct("rate", F.col("a").alias("id")))
+    here = Window.partitionBy("__bin").orderBy("rate")
+    down, up = here.rowsBetween(Window.unboundedPreceding, -1), here.rowsBetween(1, Window.unboundedFollowing)
+    inside = held.withColumns({"__down": F.last(pick, ignorenulls=True).over(down), "__up": F.first(pick, ignorenulls=True).over(up)})
+    ends = held.groupBy("__bin").agg(F.max(pick).alias("__max"), F.min(pick).alias("__min"))
+    order = Window.orderBy("__bin")
+    carried = ends.select("__bin", F.last("__max", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"), F.first("__min", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("__after"))
+    near = inside.join(carried, "__bin").select("rate", "a", "b", F.coalesce("__down", "__before").alias("__down"), F.coalesce("__up", "__after").alias("__up"))
+    same = F.when(F.col("a") != F.col("target"), F.col("a")).otherwise(F.col("b"))
+    at = lambda side: F.when(F.col(side).isNotNull(), F.struct(F.abs(F.col(f"{side}.rate") - F.col("rate")).alias("gap"), F.col(f"{side}.id").alias("id")))
+    own = F.when(same.isNotNull(), F.struct((F.col("rate") - F.col("rate")).alias("gap"), same.alias("id")))
+    best = F.array_min(F.filter(F.array(own, at("__down"), at("__up")), lambda x: x.isNotNull()))
+    out = rows.select(F.col("id").alias("target"), "rate").join(near, "rate").select("target", best.alias("c")).where("c IS NOT NULL")
+    return out.select("target", F.col("c.id").alias("control"), F.col("c.gap").alias("gap"))
+
+
 def greedy_controls(targets: DataFrame, pool: DataFrame, size: int, limit: float, keys: Sequence[str]) -> DataFrame:
     """For each key, its targets in order take the nearest free row of the pool; none if the pool is smaller than the group.
 

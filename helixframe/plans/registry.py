@@ -169,9 +169,9 @@ merged AS (SELECT key, min(s) AS s, max(e) AS e FROM isl GROUP BY key, i)"""
 POINTS = "pts AS (SELECT o_orderkey, o_custkey % 100 + 1 AS key, date_diff('day', DATE '1970-01-01', o_orderdate::DATE) AS pos FROM orders)"
 
 
-def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+def spans(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
     li = read(spark, sf_dir, "lineitem")
-    return li.select(F.col("l_suppkey").alias("key"), day("l_shipdate").alias("start"), (day("l_shipdate") + F.col("l_quantity").cast("long")).alias("end"))
+    return li.select(*more, F.col("l_suppkey").alias("key"), day("l_shipdate").alias("start"), (day("l_shipdate") + F.col("l_quantity").cast("long")).alias("end"))
 
 
 def order_points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,6 +225,43 @@ def label_tokens(spark, sf_dir):
     return intervals.label_points(order_points(spark, sf_dir), rows).select("o_orderkey", "concept")
 
 
+# The queries above whose SQL has SPARSE read a fifth of lineitem, and nearest_rate_control the targets of a hundredth of part.
+# Their SQL is fixed, so the same operators over whole tables are queries of their own.
+
+
+@query(f'WITH {SPANS} SELECT key, e AS start, nx AS "end" FROM (SELECT *, lead(s) OVER (PARTITION BY key ORDER BY s) AS nx FROM merged) WHERE e < nx')
+def gaps_between_whole(spark, sf_dir):
+    return intervals.gaps(spans(spark, sf_dir))
+
+
+@query(f"WITH {SPANS}, {POINTS} SELECT o_orderkey FROM pts WHERE EXISTS (SELECT 1 FROM spans WHERE spans.key = pts.key AND s <= pos AND pos < e)")
+def interval_overlap_semi_whole(spark, sf_dir):
+    rows = order_points(spark, sf_dir).withColumns({"start": F.col("pos"), "end": F.col("pos") + 1})
+    return intervals.overlap_semi(rows, spans(spark, sf_dir)).select("o_orderkey")
+
+
+@query(f"WITH {SPANS}, {POINTS} SELECT o_orderkey, pos FROM pts WHERE NOT EXISTS (SELECT 1 FROM spans WHERE spans.key = pts.key AND s < pos + 20 AND pos < e)")
+def interval_overlap_anti_whole(spark, sf_dir):
+    rows = order_points(spark, sf_dir).withColumns({"start": F.col("pos"), "end": F.col("pos") + 20})
+    return intervals.overlap_anti(rows, spans(spark, sf_dir)).select("o_orderkey", "pos")
+
+
+@query(f"WITH {SPANS}, {POINTS}, d AS (SELECT key, s, max(e) AS e FROM spans GROUP BY 1, 2) SELECT o_orderkey, coalesce(pos < e, false) AS hit FROM pts ASOF LEFT JOIN d ON pts.key = d.key AND pts.pos >= d.s")
+def asof_containment_whole(spark, sf_dir):
+    return intervals.asof_contains(order_points(spark, sf_dir), spans(spark, sf_dir)).select("o_orderkey", "hit")
+
+
+@query(f"WITH {SPANS}, {POINTS} SELECT o_orderkey, EXISTS (SELECT 1 FROM spans WHERE spans.key = pts.key AND s <= pos AND pos < e) AS hit FROM pts")
+def true_containment_whole(spark, sf_dir):
+    return intervals.asof_contains(order_points(spark, sf_dir), spans(spark, sf_dir), mode="overlap").select("o_orderkey", "hit")
+
+
+@query(f"WITH {POINTS} SELECT DISTINCT o_orderkey, l_returnflag AS concept FROM pts JOIN lineitem ON l_suppkey = key WHERE date_diff('day', DATE '1970-01-01', l_shipdate::DATE) <= pos AND pos < date_diff('day', DATE '1970-01-01', l_shipdate::DATE) + l_quantity::BIGINT")
+def label_tokens_whole(spark, sf_dir):
+    rows = spans(spark, sf_dir, F.col("l_returnflag").alias("concept"))
+    return intervals.label_points(order_points(spark, sf_dir), rows).select("o_orderkey", "concept")
+
+
 @query(f"WITH {SPANS} SELECT key, sum(e - s)::BIGINT AS covered, (SELECT sum(e - s)::BIGINT FROM spans x WHERE x.key = merged.key) AS raw FROM merged GROUP BY key")
 def coverage_sums(spark, sf_dir):
     return intervals.coverage(spans(spark, sf_dir))
@@ -341,6 +378,11 @@ def nearest_rate_control(spark, sf_dir):
     return rounded(topk.nearest_control(targets.drop("p_size"), pool, 0.05), "gap")
 
 
+@query()
+def nearest_rate_control_whole(spark, sf_dir):
+    return rounded(topk.nearest_controls(part_rates(spark, sf_dir)[0], 0.05), "gap")
+
+
 @query()
 def greedy_group_control(spark, sf_dir):
     pool, targets = part_rates(spark, sf_dir)
@@ -540,6 +582,12 @@ def probed_windows(spark, sf_dir):
     return steering.probed_windows(w, sparse_spans(spark, sf_dir), 200).select("id")
 
 
+@query(f"WITH {SPANS}, w AS (SELECT o_orderkey AS id, key, pos AS s, pos + 24 AS e FROM (SELECT o_orderkey, o_custkey % 100 + 1 AS key, date_diff('day', DATE '1970-01-01', o_orderdate::DATE) AS pos FROM orders)) SELECT id FROM w WHERE EXISTS (SELECT 1 FROM spans, (SELECT unnest([0, 8, 16]) AS k) WHERE spans.key = w.key AND spans.s <= w.s + k AND w.s + k < spans.e) ORDER BY id LIMIT 200")
+def probed_windows_whole(spark, sf_dir):
+    w = order_points(spark, sf_dir).select(F.col("o_orderkey").alias("id"), "key", F.col("pos").alias("start"), (F.col("pos") + 24).alias("end"))
+    return steering.probed_windows(w, spans(spark, sf_dir), 200).select("id")
+
+
 @query("WITH m AS (SELECT event_type, user_id % 3 AS factor, avg(value) AS ce_all, avg(value) FILTER (value > 50) AS ce_active, avg(value) FILTER (event_id % 2 = 0) AS ce_concept FROM events GROUP BY 1, 2) SELECT a.event_type, CAST(a.factor AS INTEGER) AS factor, round(a.ce_all, 6) AS ce_all, round(a.ce_active, 6) AS ce_active, round(a.ce_concept, 6) AS ce_concept, round(a.ce_all - b.ce_all, 6) AS dce_all, round(a.ce_active - b.ce_active, 6) AS dce_active, round(a.ce_concept - b.ce_concept, 6) AS dce_concept FROM m a JOIN m b ON a.event_type = b.event_type AND b.factor = 1")
 def steering_losses(spark, sf_dir):
     e = read(spark, sf_dir, "events").select("event_type", (F.col("user_id") % 3).cast("int").alias("factor"), F.col("value").alias("loss"), (F.col("value") > 50).alias("active"), (F.col("event_id") % 2 == 0).alias("inside"))

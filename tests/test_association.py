@@ -97,6 +97,18 @@ def test_greedy_controls(spark):
     assert t.greedy_controls(targets, pool.where("id = 3"), 2, 0.1, ["c"]).count() == 0
 
 
+@pytest.mark.parametrize("per_bin", [3, 2_000])
+def test_every_row_gets_its_nearest_control(spark, per_bin):
+    import random
+
+    rng = random.Random(per_bin)
+    data = [(i, rng.choice([0, 1, 2, 3, 5, 8, 40, 41, 90]) / 8 if i % 2 else rng.randint(0, 200) / 8, rng.choice([0.0, 0.04, 0.2])) for i in range(150)]
+    got = t.nearest_controls(spark.createDataFrame(data, "id int, rate double, mcc double"), 0.05, per_bin)
+    want = [(i, *min((abs(r - q), j) for j, q, m in data if j != i and q > 0 and m <= 0.05)[::-1]) for i, r, _ in data]
+    assert rows(got, "target", "control", "gap") == sorted(want, key=repr)
+    assert t.nearest_controls(spark.createDataFrame(data, "id int, rate double, mcc double").where("false"), 0.05).count() == 0
+
+
 def test_weighted_sample_is_whole(spark):
     df = spark.createDataFrame([(1, 1.0), (2, 3.0), (3, 0.0)], "id int, w double")
     got = t.weighted_sample(df, 8, "w", "id").groupBy("id").count()
