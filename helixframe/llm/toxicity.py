@@ -3,7 +3,8 @@
 Words that look disguised (leetspeak, letters kept apart by spaces or marks, letters repeated) become a
 lattice of what each character may stand for. A Viterbi search over a character trigram model finds the
 likeliest reading, and the restored text is what is scored. The language model counts all documents:
-tasks send their word counts, which are summed over the corpus before trigrams are taken from them.
+tasks send their word counts, which are summed over the corpus before trigrams are taken from them. No
+trigram is left out: the model is two sorted arrays, 16 bytes a distinct trigram, in every task.
 
 The score: words and word stems that are far more frequent in labelled toxic documents than in others
 (counted over one part of the sample), summed up in a few numbers per document (how many, how strong,
@@ -15,9 +16,10 @@ example of both kinds every score is 0; every input row gives one row.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -35,29 +37,69 @@ ENDS = ".,;:!?\"'()[]{}%&#*$@+|<>=~«»„“”¿¡…-_"
 #: Costs of the channel in nats: a letter stands for itself at none.
 LEET_COST, APART_COST, REPEAT_COST, LITERAL_COST, UNSEEN = 1.0, 0.4, 0.3, 4.0, 1e-3
 WORDS_HELD = 200_000
-FEATURES = 4096
 SPACED = re.compile(r"(?<!\S)[^\W_](?:[ ][^\W_]){3,}(?!\S)")
 REPEATED = re.compile(r"(.)\1\1")
 
 
+class Counts(Mapping):
+    """Counts by strings of up to three characters, as sorted codes and their counts."""
+
+    def __init__(self, codes: np.ndarray, counts: np.ndarray):
+        order = np.argsort(codes, kind="stable")
+        self.codes, self.counts = codes[order], counts[order]
+
+    @staticmethod
+    def code(s: str) -> int:
+        n = 0
+        for c in s:
+            n = n << 21 | ord(c)
+        return n
+
+    def __getitem__(self, s: str) -> int:
+        code = self.code(s)
+        i = int(np.searchsorted(self.codes, code))
+        if i == len(self.codes) or self.codes[i] != code:
+            raise KeyError(s)
+        return int(self.counts[i])
+
+    def __len__(self) -> int:
+        return len(self.codes)
+
+    def __iter__(self) -> Iterator[str]:
+        return ("".join(chr(n >> k & 0x1FFFFF) for k in (42, 21, 0) if n >> k) for n in self.codes.tolist())
+
+
 @dataclass
 class CharModel:
     """Character trigrams; "^" and "$" stand for a word's ends."""
 
-    tri: dict[str, float] = field(default_factory=dict)
-    bi: dict[str, float] = field(default_factory=dict)
+    tri: Mapping[str, float] = field(default_factory=dict)
+    bi: Mapping[str, float] = field(default_factory=dict)
     size: int = 30
+    known: dict[tuple[str, str], float] = field(default_factory=dict, repr=False)  # costs asked for so far
 
     @classmethod
     def of(cls, counts: dict[str, int]) -> CharModel:
-        bi: Counter = Counter()
-        for t, n in counts.items():
-            bi[t[:2]] += n
-        return cls(dict(counts), dict(bi), len({t[2] for t in counts}) + 1)
+        return cls.of_codes(np.array([Counts.code(t) for t in counts], dtype=np.int64), np.array(list(counts.values()), dtype=np.int64))
+
+    @classmethod
+    def of_codes(cls, codes: np.ndarray, counts: np.ndarray) -> CharModel:
+        tri = Counts(codes, counts)
+        before, at = np.unique(tri.codes >> 21, return_index=True)
+        sums = np.add.reduceat(tri.counts, at) if len(at) else tri.counts
+        return cls(tri, Counts(before, sums), len(np.unique(tri.codes & 0x1FFFFF)) + 1)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"known": {}}
 
     def cost(self, before: str, c: str) -> float:
         """-log P(c | the two characters before)."""
-        return -np.log((self.tri.get(before + c, 0) + UNSEEN) / (self.bi.get(before, 0) + UNSEEN * self.size))
+        got = self.known.get((before, c))
+        if got is None:
+            if len(self.known) > 2 * WORDS_HELD:
+                self.known.clear()
+            got = self.known[before, c] = -math.log((self.tri.get(before + c, 0) + UNSEEN) / (self.bi.get(before, 0) + UNSEEN * self.size))
+        return got
 
     def word_cost(self, word: str) -> float:
         s = "^^" + word + "$"
@@ -154,19 +196,25 @@ def char_model(docs: DataFrame) -> CharModel:
         import pyarrow as pa
 
         got: Counter = Counter()
+
+        def out():
+            return pa.RecordBatch.from_pydict({"t": pa.array(list(got), pa.int64()), "n": pa.array(list(got.values()), pa.int64())})
+
         for b in batches:
             for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 w = w.decode("utf-8", "replace").lower().strip(ENDS)
-                if w.isalpha() and len(w) <= 40:
+                if w.isalpha():
                     s = "^^" + w + "$"
                     for i in range(len(s) - 2):
-                        got[s[i : i + 3]] += n
-        yield pa.RecordBatch.from_pydict({"t": pa.array(list(got), pa.string()), "n": pa.array(list(got.values()), pa.int64())})
+                        got[Counts.code(s[i : i + 3])] += n
+            if len(got) > WORDS_HELD:
+                yield out()
+                got.clear()
+        yield out()
 
     words = docs.select(F.col("text").cast("string")).mapInArrow(count, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    grams = words.mapInArrow(trigrams, "t string, n long").groupBy("t").agg(F.sum("n").alias("n"))
-    # the commonest trigrams are the model; the rest count as unseen
-    return CharModel.of({r["t"]: r["n"] for r in grams.orderBy(F.desc("n"), "t").limit(100_000).collect()})
+    grams = words.mapInArrow(trigrams, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
+    return CharModel.of_codes(grams["t"].to_numpy(), grams["n"].to_numpy())
 
 
 def stem(word: str) -> str:
@@ -243,7 +291,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", keep=None, lim
         return Model(lm, {}, np.zeros(WIDTH), 0.0)
     odds = F.log((F.col("c1") + 0.5) / (total["c1"] + 1)) - F.log((F.col("c0") + 0.5) / (total["c0"] + 1))
     least = max(2, min(8, total["d1"] // 50))
-    best = counts.where((F.col("f") != "") & (F.col("d1") >= least)).withColumn("w", odds).where("w > 1.5").orderBy(F.desc(F.col("d1") * F.col("w")), "f").limit(FEATURES).collect()
+    best = counts.where((F.col("f") != "") & (F.col("d1") >= least)).withColumn("w", odds).where("w > 1.5").select("f", "w").collect()  # words of the bounded sample
     model = Model(lm, {r["f"]: min(6.0, r["w"]) for r in best}, np.zeros(WIDTH), 0.0)
 
     def summaries(batches: Iterator) -> Iterator:

@@ -41,6 +41,27 @@ def test_language_model_counts_the_corpus(spark):
     assert lm.tri["^^a"] == 3 and lm.tri["abc"] == 2 and lm.tri["bd$"] == 1
 
 
+def test_language_model_keeps_every_trigram(spark):
+    def words():
+        for i in range(20_900 - 2):  # CJK words, one to four after each other
+            yield "".join(chr(0x4E00 + (i * k + k) % 20_900) for k in (1, 3, 7, 11))
+
+    want = {("^^" + w + "$")[i : i + 3] for w in words() for i in range(len(w) + 1)}
+    assert len(want) > 100_000
+    lm = char_model(spark.createDataFrame([(1, " ".join(words())), (2, "x" * 45)], "doc_id long, text string"))
+    assert set(lm.tri) == want | {"^^x", "^xx", "xxx", "xx$"} and lm.tri["xxx"] == 43
+    assert sum(lm.bi.values()) == sum(lm.tri.values()) and lm.size == len({t[2] for t in lm.tri}) + 1
+
+
+def test_every_word_that_passes_has_a_weight(spark):
+    letters = "abcdefghijklmnopq"
+    toxic = ["x" + "".join(letters[i // 17**k % 17] + "y" for k in range(4)) for i in range(5_000)]
+    rows = [(i, " ".join(toxic if i % 2 else ["plain", "words"] * 2_500)) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    assert set(toxic) <= set(fit(docs, labels).weights)
+
+
 @pytest.fixture(scope="module")
 def corpus(spark):
     import random
