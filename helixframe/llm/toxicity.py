@@ -37,7 +37,12 @@ ENDS = ".,;:!?\"'()[]{}%&#*$@+|<>=~«»„“”¿¡…-_"
 #: Costs of the channel in nats: a letter stands for itself at none.
 LEET_COST, APART_COST, REPEAT_COST, LITERAL_COST, UNSEEN = 1.0, 0.4, 0.3, 4.0, 1e-3
 WORDS_HELD = 200_000
-SPACED = re.compile(r"(?<!\S)[^\W_](?:[ ][^\W_]){3,}(?!\S)")
+#: Of the marks at a word's ends, those that may be letters, and of them those that are usual there as marks.
+LEET_MARKS = frozenset(ENDS) & frozenset(LEET) | {"€", "£"}
+USUAL = (frozenset("("), frozenset("!"))
+PLAIN_ENDS = "".join(c for c in ENDS if c not in LEET_MARKS)
+AMOUNT = re.compile(r"[-+($€£|!]*[\d.,:/-]+[-+$€£|!%)]*").fullmatch
+SPACED = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+(€£])(?:\s+(?:[^\W_]|[@$!|+(€£])){2,}(?!\S)")
 REPEATED = re.compile(r"(.)\1\1")
 
 
@@ -107,37 +112,57 @@ class CharModel:
 
 
 def readings(token: str) -> list[list[tuple[str, float]]]:
-    """The lattice: for each run of one character, what it may be read as, with the channel's cost."""
+    """The lattice: for each run of one character, what it may be read as, with the channel's cost.
+
+    Marks at the ends may also be no letter: those that are usual there at no cost."""
+    first, last = len(token) - len(token.lstrip(ENDS)), len(token.rstrip(ENDS))
     out = []
-    for m in re.finditer(r"(.)\1*", token):
+    for m in re.finditer(r"(.)\1*", token, re.S):
         c, n = m[1], len(m[0])
         if c.isalpha():
             opts = [(c * k, REPEAT_COST * (n - k)) for k in sorted({1, min(n, 2)})] if n > 2 else [(c * n, 0.0)]
         else:
             opts = [(c * n, LITERAL_COST * n)]
             opts += [(x * k, LEET_COST * k) for x in LEET.get(c, "") for k in sorted({1, min(n, 2)})]
-            if c in APART:
+            if m.end() <= first or m.start() >= last:
+                unusual = c in LEET_MARKS and c not in USUAL[m.start() >= last]
+                opts.append(("", LITERAL_COST if unusual else 0.0))
+            elif c in APART:
                 opts.append(("", APART_COST))
         out.append(opts)
     return out
 
 
 def viterbi(lattice: list[list[tuple[str, float]]], lm: CharModel) -> tuple[str, float]:
-    """The likeliest reading and its cost. A state is the last two characters read."""
-    best: dict[str, tuple[float, str]] = {"^^": (0.0, "")}
+    """The likeliest reading and its cost. A state is the last two characters read; a blank ends a word and begins one."""
+    best: dict[str, tuple[float, tuple]] = {"^^": (0.0, ())}
     for opts in [*lattice, [("$", 0.0)]]:
-        after: dict[str, tuple[float, str]] = {}
+        after: dict[str, tuple[float, tuple]] = {}
         for state, (cost, done) in best.items():
             for text, extra in opts:
                 c, s = cost + extra, state
                 for x in text:
-                    c += lm.cost(s, x)
-                    s = s[1] + x
+                    if x == " ":
+                        c += lm.cost(s, "$")
+                        s = "^^"
+                    else:
+                        c += lm.cost(s, x)
+                        s = s[1] + x
                 if s not in after or c < after[s][0]:
-                    after[s] = (c, done + text)
+                    after[s] = (c, (done, text))
         best = after
-    cost, text = min(best.values())
-    return text[:-1], cost
+    state = min(best, key=lambda s: (best[s][0], s))
+    cost, done = best[state]
+    parts = []
+    while done:
+        done, text = done
+        parts.append(text)
+    return "".join(reversed(parts))[:-1], cost
+
+
+def spells(core: str) -> bool:
+    """Whether a token without letters may be a word: it has different marks that may be letters, and is no amount."""
+    return len(set(core) & set(LEET)) > 1 and any(c in "@$€£" for c in core) and not AMOUNT(core)
 
 
 class Restorer(dict):
@@ -150,27 +175,33 @@ class Restorer(dict):
     def __missing__(self, word: str) -> str:
         if len(self) > 2 * WORDS_HELD:
             self.clear()
-        core = word.strip(ENDS)
-        plain = core.isalpha() and not REPEATED.search(core)
-        if plain or len(word) > 40 or sum(x.isalpha() for x in word) < 2:
+        core = word.strip(PLAIN_ENDS)
+        if core.isalpha() and not REPEATED.search(core):
             out = core
+        elif not any(x.isalpha() for x in core) and not spells(core):
+            out = word.strip(ENDS)
         else:
-            out = viterbi(readings(word.rstrip(".,;:?\"")), self.lm)[0].strip(ENDS)
+            out = viterbi(readings(core), self.lm)[0].strip(ENDS)
         self[word] = out
         return out
 
     def words(self, text: str) -> list[str]:
         """The words of the restored text."""
-        low = text.lower()
-        if " " in low:
-            low = SPACED.sub(self._joined, low)
+        low = SPACED.sub(self._joined, text.lower())
         return [self[w] for w in low.split()]
 
     def _joined(self, m: re.Match) -> str:
-        """Letters kept apart become one word if the model finds it likelier than so many words."""
-        letters = m[0].split(" ")
-        word, cost = viterbi(readings("".join(letters)), self.lm)
-        return word if cost < sum(self.lm.word_cost(x) for x in letters) else m[0]
+        """Letters kept apart become words where the model finds them likelier than as many words."""
+        letters = m[0].split()
+        if len(letters) < 4 and not any(x.isalpha() for x in letters):
+            return m[0]  # a few numbers
+        lattice = []
+        for before, c in zip(["", *letters], letters, strict=False):
+            opts = readings(f"x{c}x")[1] if not c.isalpha() else [(c, 0.0)]
+            if before == c:
+                opts = [*opts, ("", REPEAT_COST)]
+            lattice += ([[("", 0.0), (" ", 0.0)]] if before else []) + [opts]
+        return viterbi(lattice, self.lm)[0]
 
 
 def char_model(docs: DataFrame) -> CharModel:
@@ -319,11 +350,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", keep=None, lim
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """Adds score (double) and predicted (int)."""
     held = [c for c in docs.columns if c not in ("score", "predicted")]
+    restore = Restorer(model.lm)
 
     def run(b) -> list:
         import pyarrow as pa
 
-        restore = Restorer(model.lm)
         rows = np.array([model.summary(restore.words(t or "")) for t in b.column(text_col).to_pylist()]).reshape(-1, WIDTH)
         s = model.score(rows)
         return [pa.array(s, pa.float64()), pa.array((s >= CUT).astype(np.int32), pa.int32())]

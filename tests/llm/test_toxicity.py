@@ -27,6 +27,35 @@ def test_spaced_letters_become_a_word():
     assert Restorer(model()).words("the i d i o t house") == ["the", "idiot", "house"]
 
 
+@pytest.mark.parametrize(
+    ("written", "meant"),
+    [("$tupid", "stupid"), ("!diot", "idiot"), ("idio+", "idiot"), ("(lown", "clown"), ("st" + "u" * 60 + "pid!", "stupid"), ("(garden!)", "garden"), ("garden!!!", "garden"), ("house,", "house"), ("$100", "100"), ("+1", "1"), ("s.t.u.p.i.d.", "stupid"), ("m0r0n!", "moron")],
+)
+def test_marks_at_the_ends_and_long_words(written, meant):
+    assert Restorer(model())[written] == meant
+
+
+@pytest.mark.parametrize(("written", "meant"), [("@sshole", "asshole"), ("a$$", "ass"), ("@$$", "ass"), ("@$$!", "ass")])
+def test_words_of_few_letters(written, meant):
+    assert Restorer(model([*WORDS, "ass", "asshole", "assess"]))[written] == meant
+
+
+@pytest.mark.parametrize("text", ["the $ t u p 1 d house", "the s  t  u p  i d house", "the s\nt\nu\np\ni\nd house", "the s t u p i d\nhouse"])
+def test_spaced_marks_and_any_white_space(text):
+    assert Restorer(model()).words(text) == ["the", "stupid", "house"]
+
+
+def test_spaced_words_are_told_apart():
+    r = Restorer(model([*WORDS, "a", "ass", "assess"]))
+    assert r.words("the a s s house") == ["the", "ass", "house"] and r.words("a  i d i o t") == ["a", "idiot"]
+    assert r.words("s t u p i d\ni d i o t") == ["stupid", "idiot"]
+    assert r.words("4 5 5") == ["4", "5", "5"] and r.words("house garden") == ["house", "garden"]
+
+
+def test_long_tokens_are_linear():
+    assert len(Restorer(model())["a1-" * 50_000]) > 1000
+
+
 def test_viterbi_is_the_least_cost():
     lm = model()
     text, cost = viterbi(readings("m0r0n"), lm)
