@@ -1,7 +1,7 @@
 """Main-text extraction: page structure first, a host's suffix array for what structure leaves open.
 
-A page is cut into blocks in one pass over its markup. If it marks its article (article, main or a main
-role), the blocks in it that lie in no menu, notice, advert, form or comment are the text. Repeats must not
+A page is cut into blocks in one pass over its markup. If it marks its article (article, main, or a main
+role, class or id), the blocks in it that lie in no menu, notice, advert, form or comment are the text. Repeats must not
 decide there: copied articles are content. On pages without such a mark, the blocks outside all
 recognised boilerplate are open. Their token streams are concatenated by host into a suffix array (sorted
 by the first `run` tokens); substrings of at least that length that stand in distinct pages of the host
@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: The elements that end a block, those whose content is no text, those that nest, and the void ones among them.
 BLOCK = frozenset("address article aside blockquote body dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 HIDDEN = "script|style|noscript|template|title|textarea|iframe|svg|object|select|button"
@@ -40,7 +42,6 @@ TAG = re.compile(
     re.S | re.I,
 )
 MARKED = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-MARKS_ARTICLE = r"""(?i)<article|<main|role\s*=\s*["']?main"""
 #: The least tokens of a repeat, and the most pages of a host in one part.
 RUN, PART_PAGES = 8, 2_000
 
@@ -165,31 +166,25 @@ def main_text(pages: DataFrame, run: int = RUN, part_pages: int = PART_PAGES) ->
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     shape = "page_id long, url string, text string"
 
-    def marked(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for b in batches:
-            texts = []
-            for page in b.column(2).to_pylist():
-                text, loose = extract(page)
-                texts.append(text or "\n".join(loose))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
-
-    def cut(batches: Iterator) -> Iterator:
+    def read(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([extract(p)[1] for p in b.column(2).to_pylist()], pa.list_(pa.string()))], names=["page_id", "url", "open"])
+            got = [extract(p) for p in b.column(2).to_pylist()]
+            cols = [pa.array([t for t, _ in got], pa.string()), pa.array([o for _, o in got], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], names=["page_id", "url", "text", "open"])
 
     def settle(host: pd.DataFrame) -> pd.DataFrame:
         same = host.drop_duplicates("key")
         texts = dict(zip(same["key"], unique_runs([list(p) for p in same["open"]], run), strict=True))
         return pd.DataFrame({"page_id": host["page_id"].astype("Int64"), "url": host["url"], "text": host["key"].map(texts)})
 
-    has = F.col("html").rlike(MARKS_ARTICLE)
-    loose = rows.where(~has).mapInArrow(cut, "page_id long, url string, open array<string>")
+    # what extract() finds decides; each page is parsed once
+    pages = written(rows.mapInArrow(read, f"{shape}, open array<string>"), "pages")
+    found = pages.where("text != ''").select("page_id", "url", "text")
+    loose = pages.where("text = ''").select("page_id", "url", "open")
     host = F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit("")).alias("host")
     loose = loose.select("*", host, F.xxhash64("page_id", "url", "open").alias("key"))
-    parts = rows.where(~has).groupBy(host).agg(F.ceil(F.count("*") / F.lit(part_pages)).cast("int").alias("parts"))
+    parts = loose.groupBy("host").agg(F.ceil(F.count("*") / F.lit(part_pages)).cast("int").alias("parts"))
     dealt = loose.join(parts, "host").withColumn("part", F.pmod("key", F.col("parts")))
-    return rows.where(has).mapInArrow(marked, shape).unionByName(dealt.groupBy("host", "part").applyInPandas(settle, shape))
+    return found.unionByName(dealt.groupBy("host", "part").applyInPandas(settle, shape))

@@ -75,6 +75,13 @@ def test_pages_of_a_host(spark):
     assert sorted(map(repr, rows(main_text(df, part_pages=2), "page_id"))) == sorted(map(repr, rows(got, "page_id")))
 
 
+@pytest.mark.parametrize("mark", ['<div id="main">', '<div class="main-content">', '<section class="site-main">'])
+def test_text_marked_by_a_class_or_id_is_kept(spark, mark):
+    tag = mark[1:].split(" ")[0]
+    df = spark.createDataFrame([(1, "http://a.example/1", f"<body><nav>menu</nav>{mark}<p>the text</p></{tag}></body>")], "page_id long, url string, html string")
+    assert main_text(df).first().text == "the text"
+
+
 def test_driver_pages(spark):
     import html
     import re
