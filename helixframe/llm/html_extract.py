@@ -19,6 +19,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import pairwise
 
 import numpy as np
@@ -36,6 +37,8 @@ NESTED = frozenset("article aside body details dialog div dl fieldset figure foo
 OTHER = frozenset("aside dialog fieldset footer form menu nav".split())
 OTHER_WORDS = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus footer form gdpr legal login masthead menu modal nav navbar navigation newsletter notice notification pager pagination popup promo promoted recommended related replies search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
 TOP_WORDS = frozenset({"header", "banner", "masthead"})
+#: Words that in a compound class name only say where or how the other word is.
+PLACE_WORDS = frozenset("site page global main primary secondary top bottom left right upper lower inner outer box bar block area section container wrapper wrap list links link buttons button item items post posts article articles content".split())
 
 TAG = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({HIDDEN})\b[^>]*(?<!/)>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?/][^>]*>|<[a-zA-Z/!?][^>]*\Z",
@@ -46,24 +49,45 @@ MARKED = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]
 RUN, PART_PAGES = 8, 2_000
 
 
-def marks(attributes: str) -> set[str]:
-    """The words of class, id and role."""
-    if "=" not in attributes:
-        return set()
-    return {w for m in MARKED.finditer(attributes) for w in re.split(r"[\s_-]+", (m[1] or m[2] or m[3] or "").lower())}
+@dataclass
+class Element:
+    up: int  # the element around it, or -1
+    name: str
+    other: set[str]  # the boilerplate words of its class names, id and role
+    main: bool
+    size: int = 0  # characters of text inside it
+    kind: str = "open"
+    root: int = -1  # the outermost element whose class made it "other"
 
 
-def blocks(page: str) -> list[tuple[str, str]]:
-    """(text, kind) in page order. kind: "article", "main", "open" or "other"."""
-    out: list[tuple[str, str]] = []
+def marks(attributes: str) -> tuple[set[str], bool]:
+    """The boilerplate words of whole names in class, id and role, and whether one of the names says main.
+
+    A compound counts if all its words are boilerplate or say where or how: site-footer does, no-sidebar does not."""
+    words: set[str] = set()
+    main = False
+    if "=" in attributes:
+        for m in MARKED.finditer(attributes):
+            for name in (m[1] or m[2] or m[3] or "").lower().split():
+                parts = set(re.split(r"[_-]+", name)) - {""}
+                if parts <= OTHER_WORDS | TOP_WORDS | PLACE_WORDS:
+                    words |= parts & (OTHER_WORDS | TOP_WORDS)
+                main |= "main" in parts
+    return words, main
+
+
+def parse(page: str) -> tuple[list[Element], list[tuple[str, int]]]:
+    """The nesting elements, outer ones first, and (text, innermost element or -1) in page order."""
+    found: list[Element] = []
+    out: list[tuple[str, int]] = []
     held: list[str] = []
-    stack: list[tuple[str, str]] = []  # (element, kind inside it)
-    kind, at = "open", 0
+    stack: list[int] = []
+    at = 0
 
     def close() -> None:
         text = " ".join(entities.unescape("".join(held)).split())
         if text:
-            out.append((text, kind))
+            out.append((text, stack[-1] if stack else -1))
         held.clear()
 
     for m in TAG.finditer(page):
@@ -81,30 +105,84 @@ def blocks(page: str) -> list[tuple[str, str]]:
             continue
         if end:
             for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
+                if found[stack[i]].name == name:
                     del stack[i:]
                     break
         elif not attributes.endswith("/"):
-            words = marks(attributes)
-            inside = kind in ("article", "main")
-            if kind == "other" or name in OTHER or words & OTHER_WORDS - (TOP_WORDS if inside else set()) or not inside and (name == "header" or words & TOP_WORDS):
-                inner = "other"
-            else:
-                inner = "article" if name == "article" or kind == "article" else "main" if name == "main" or "main" in words or kind == "main" else kind
-            stack.append((name, inner))
-        kind = stack[-1][1] if stack else "open"
+            words, main = marks(attributes)
+            found.append(Element(stack[-1] if stack else -1, name, words, name == "main" or main and name != "body"))
+            stack.append(len(found) - 1)
     held.append(page[at:])
     close()
-    return out
+    return found, out
+
+
+def classify(found: list[Element], texts: list[tuple[str, int]]) -> None:
+    """Sets the kinds. A class marks neither body, main and outer articles nor what holds the page's largest article."""
+    for text, i in texts:
+        if i >= 0:
+            found[i].size += len(text)
+    for e in reversed(found):
+        if e.up >= 0:
+            found[e.up].size += e.size
+    free, outer = set(), {"article": [], "main": []}
+    barred: list[tuple[bool, bool]] = []  # inside an element of OTHER, inside an article
+    for i, e in enumerate(found):
+        other, nested = barred[e.up] if e.up >= 0 else (False, False)
+        other |= e.name in OTHER
+        if e.name == "article" and not nested or e.name in ("body", "main"):
+            free.add(i)
+        if e.size and not other and not nested and (e.name == "article" or e.main):
+            outer["article" if e.name == "article" else "main"].append(i)
+        barred.append((other, nested or e.name == "article"))
+    if held := outer["article"] or [i for i in outer["main"] if not found[i].other or found[i].name == "main"]:
+        i = max(held, key=lambda i: found[i].size)
+        while i >= 0:
+            free.add(i)
+            i = found[i].up
+    for i, e in enumerate(found):
+        up = found[e.up] if e.up >= 0 else None
+        around = up.kind if up else "open"
+        inside = around in ("article", "main")
+        by_class = i not in free and e.other - (TOP_WORDS if inside else set())
+        if around == "other" or e.name in OTHER or by_class or not inside and e.name == "header" and i not in free:
+            e.kind = "other"
+            if e.name not in OTHER and e.name != "header":
+                e.root = up.root if around == "other" else i
+        else:
+            e.kind = "article" if "article" in (e.name, around) else "main" if e.main or around == "main" else around
+
+
+def blocks(page: str) -> list[tuple[str, str]]:
+    """(text, kind) in page order. kind: "article", "main", "open" or "other"."""
+    found, texts = parse(page)
+    classify(found, texts)
+    return [(t, found[i].kind if i >= 0 else "open") for t, i in texts]
 
 
 def extract(page: str) -> tuple[str, list[str]]:
-    """(the article's text, []) if the page marks it, else ("", the open blocks)."""
-    got = blocks(page)
-    for kind in ("article", "main"):
-        if found := [t for t, k in got if k == kind]:
-            return "\n".join(found), []
-    return "", [t for t, k in got if k == "open"]
+    """(the article's text, []) if the page marks it, else ("", the open blocks).
+
+    If a main element holds more text outside its articles than all articles have, the main elements are the text. If
+    classes leave nothing, the largest element that a class marks is open."""
+    found, texts = parse(page)
+    classify(found, texts)
+    kinds = [found[i].kind if i >= 0 else "open" for _, i in texts]
+    size = {k: sum(len(t) for (t, _), x in zip(texts, kinds, strict=True) if x == k) for k in ("article", "main", "open")}
+    if size["article"] or size["main"]:
+        within: list[bool] = []  # in a main element
+        for e in found:
+            within.append(e.kind != "other" and (e.main or e.up >= 0 and within[e.up]))
+        if size["article"] >= size["main"]:
+            return "\n".join(t for (t, _), k in zip(texts, kinds, strict=True) if k == "article"), []
+        return "\n".join(t for (t, i), k in zip(texts, kinds, strict=True) if k in ("article", "main") and within[i]), []
+    if not size["open"]:
+        by_root: dict[int, list[str]] = {}
+        for t, i in texts:
+            if i >= 0 and found[i].root >= 0:
+                by_root.setdefault(found[i].root, []).append(t)
+        return "", max(by_root.values(), key=lambda x: sum(map(len, x)), default=[])
+    return "", [t for (t, _), k in zip(texts, kinds, strict=True) if k == "open"]
 
 
 def suffix_ranks(tokens: np.ndarray, depth: int) -> np.ndarray:

@@ -31,6 +31,23 @@ def test_pages(page, text, loose):
     assert extract(page) == (text, loose)
 
 
+@pytest.mark.parametrize(
+    ("page", "text", "loose"),
+    [
+        ('<body class="home no-sidebar"><article><p>x</p></article></body>', "x", []),
+        ('<body class="sidebar"><div class="cookie-notice">c</div><main class="search"><p>x</p></main></body>', "x", []),
+        ('<body class="cookie-banner-open"><p>x</p></body>', "", ["x"]),
+        ('<article class="post social-policy">x<div class="share-buttons">s</div></article>', "x", []),
+        ('<div class="layout with-sidebar"><article>x</article><div class="sidebar">s</div></div>', "x", []),
+        ('<div class="widget"><article>the long article</article></div><div class="related"><article>short</article></div>', "the long article", []),
+        ("<main><p>the text of the page</p><article>teaser</article></main><article>out</article>", "the text of the page\nteaser", []),
+        ('<nav>menu menu menu</nav><div class="promo">the only text<nav>n</nav></div><div class="ad">ad</div>', "", ["the only text"]),
+    ],
+)
+def test_a_class_word_does_not_drop_the_text(page, text, loose):
+    assert extract(page) == (text, loose)
+
+
 def test_unclosed_quote_is_linear():
     assert blocks("<article><p title=\"" + "x" * 50_000 + "<p>y</p></article>") is not None
 
