@@ -7,8 +7,9 @@ recognised boilerplate are open. Their token streams are concatenated by host in
 by the first `run` tokens); substrings of at least that length that stand in distinct pages of the host
 are boilerplate, and the unique runs between them are the text.
 
-Hosts are dealt over parts of bounded size by page, so a host with a third of all pages is many tasks;
-what repeats over a whole host repeats in every part.
+Hosts are dealt over parts of bounded size by page, so a host with a third of all pages is many tasks. The
+suffix array finds what repeats in a part; runs that repeat in other parts of the host are found by their
+128-bit hashes, which are counted over the whole host, so results do not depend on its size.
 
 Defined results: null or empty html gives an empty text; a null url is a host of its own; broken markup is
 read as far as it goes; rows that repeat a page are one page for the repeats, and each gives a row.
@@ -16,6 +17,7 @@ read as far as it goes; rows that repeat a page are one page for the repeats, an
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
@@ -224,11 +226,39 @@ def repeated(pages: list[list[str]], run: int = RUN) -> list[np.ndarray]:
     return [covered[a : b - 1] for a, b in pairwise(ends)]
 
 
-def unique_runs(pages: list[list[str]], run: int = RUN) -> list[str]:
-    """Each page's open blocks (white space already single) without the tokens that are covered by repeats."""
+class RunHashes(dict):
+    """Two 64-bit numbers by token, and from them those of every run of `run` tokens of a page."""
+
+    ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+
+    def __missing__(self, word: str) -> tuple[int, int]:
+        if len(self) > 500_000:
+            self.clear()
+        d = hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+        self[word] = out = (int.from_bytes(d[:8], "big"), int.from_bytes(d[8:], "big"))
+        return out
+
+    def of(self, tokens: list[str], run: int) -> np.ndarray:
+        n = len(tokens) - run + 1
+        out = np.zeros((2, max(0, n)), dtype=np.uint64)
+        if n > 0:
+            words = np.array([self[w] for w in tokens], dtype=np.uint64).T
+            for row, word, odd in zip(out, words, self.ODD, strict=True):
+                for i in range(run):
+                    row *= np.uint64(odd)
+                    row += word[i : i + n]
+        return out.view(np.int64)
+
+
+def unique_runs(pages: list[list[str]], run: int = RUN, elsewhere: list[list[int]] | None = None) -> list[str]:
+    """Each page's open blocks (white space already single) without the tokens that are covered by repeats.
+
+    elsewhere: for each page, where runs begin that repeat on pages that are not given."""
     tokens = [[w for block in p for w in block.split(" ")] for p in pages]
     out = []
-    for page, gone in zip(pages, repeated(tokens, run), strict=True):
+    for page, gone, starts in zip(pages, repeated(tokens, run), elsewhere or [[]] * len(pages), strict=True):
+        for i in starts:
+            gone[i : i + run] = True
         kept, at = [], 0
         for block in page:
             w = block.split(" ")
@@ -254,9 +284,20 @@ def main_text(pages: DataFrame, run: int = RUN, part_pages: int = PART_PAGES) ->
 
     def settle(host: pd.DataFrame) -> pd.DataFrame:
         same = host.drop_duplicates("key")
-        texts = dict(zip(same["key"], unique_runs([list(p) for p in same["open"]], run), strict=True))
+        elsewhere = [[] if x is None else list(x) for x in same["elsewhere"]]
+        texts = dict(zip(same["key"], unique_runs([list(p) for p in same["open"]], run, elsewhere), strict=True))
         return pd.DataFrame({"page_id": host["page_id"].astype("Int64"), "url": host["url"], "text": host["key"].map(texts)})
 
+    def runs(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        hashes = RunHashes()
+        for b in batches:
+            for host, key, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                h1, h2 = hashes.of([w for block in page for w in block.split(" ")], run)
+                cols = [pa.array([host] * len(h1), pa.string()), pa.array(h1), pa.array(h2), pa.array(np.full(len(h1), key, dtype=np.int64)), pa.array(np.arange(len(h1), dtype=np.int32))]
+                yield pa.RecordBatch.from_arrays(cols, names=["host", "h1", "h2", "key", "at"])
+
     # what extract() finds decides; each page is parsed once
     pages = written(rows.mapInArrow(read, f"{shape}, open array<string>"), "pages")
     found = pages.where("text != ''").select("page_id", "url", "text")
@@ -265,4 +306,10 @@ def main_text(pages: DataFrame, run: int = RUN, part_pages: int = PART_PAGES) ->
     loose = loose.select("*", host, F.xxhash64("page_id", "url", "open").alias("key"))
     parts = loose.groupBy("host").agg(F.ceil(F.count("*") / F.lit(part_pages)).cast("int").alias("parts"))
     dealt = loose.join(parts, "host").withColumn("part", F.pmod("key", F.col("parts")))
+    if parts.where("parts > 1").isEmpty():
+        dealt = dealt.withColumn("elsewhere", F.lit(None).cast("array<int>"))
+    else:
+        places = dealt.where("parts > 1").select("host", "key", "open").mapInArrow(runs, "host string, h1 long, h2 long, key long, at int")
+        shared = places.groupBy("host", "h1", "h2").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a != b").select("host", "h1", "h2")
+        dealt = dealt.join(places.join(shared, ["host", "h1", "h2"]).groupBy("key").agg(F.collect_set("at").alias("elsewhere")), "key", "left")
     return found.unionByName(dealt.groupBy("host", "part").applyInPandas(settle, shape))

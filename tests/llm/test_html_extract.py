@@ -99,6 +99,19 @@ def test_text_marked_by_a_class_or_id_is_kept(spark, mark):
     assert main_text(df).first().text == "the text"
 
 
+def test_results_do_not_depend_on_the_size_of_a_host(spark):
+    rng = np.random.default_rng(3)
+    menus = [" ".join(f"menu{m}x{i}" for i in range(9)) for m in range(30)]
+    data = []
+    for i in range(60):  # each menu stands on two pages
+        own = " ".join(str(x) for x in rng.integers(0, 1000, 40))
+        data.append((i, f"http://a.example/{i}", f"<div>{menus[i % 30]}</div><p>{own}</p><div>short {i}</div>"))
+    df = spark.createDataFrame(data, "page_id long, url string, html string")
+    whole = rows(main_text(df), "page_id", "text")
+    assert not any("menu" in t for _, t in whole) and all(t.endswith(f"short {i}") for i, t in whole)
+    assert rows(main_text(df, part_pages=3), "page_id", "text") == whole
+
+
 def test_driver_pages(spark):
     import html
     import re
