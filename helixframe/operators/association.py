@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intervals import small
+
 INF, NAN = float("inf"), float("nan")
 
 
@@ -16,7 +18,7 @@ def counts(active: DataFrame, labels: DataFrame, total: int, token: str = "token
     fires = active.groupBy(feature).agg(F.count("*").alias("fires"))
     holds = labels.groupBy(concept).agg(F.count("*").alias("n_pos"))
     both = active.join(labels, token).groupBy(concept, feature).agg(F.count("*").alias("tp"))
-    grid = F.broadcast(holds).crossJoin(fires)  # concepts are few: one row of features by concept is the result's own size
+    grid = small(holds).crossJoin(fires)  # one row of features by concept is the result's own size
     out = grid.join(both, [concept, feature], "left").withColumn("tp", F.coalesce("tp", F.lit(0)))
     return out.select(concept, feature, "tp", (F.col("fires") - F.col("tp")).alias("fp"), "n_pos", (F.lit(total) - F.col("n_pos")).alias("n_neg"))
 

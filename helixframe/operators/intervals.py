@@ -1,7 +1,7 @@
 """Interval operators over (key, start, end) rows, 0-based and half-open.
 
 No operator hands all rows of one key to one task: coordinates are cut into bins, work is done by
-(key, bin), and only one row a bin, or already merged rows, meet by key.
+(key, bin), where equal starts are one row, and only one row a bin meets by key to be carried on.
 """
 
 from __future__ import annotations
@@ -15,33 +15,63 @@ from pyspark.sql import functions as F
 BIN = 1 << 16
 
 
+#: The most rows of a side that is sent to every task.
+MAX_SMALL = 100_000
+
+
+def small(df: DataFrame, limit: int = MAX_SMALL) -> DataFrame:
+    """The table, to be broadcast if it is counted to be small; else Spark chooses."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
 def keys_of(keys: str | Sequence[str]) -> list[str]:
     return [keys] if isinstance(keys, str) else list(keys)
 
 
-def _islands(df: DataFrame, part: list[str], keys: list[str]) -> DataFrame:
-    w = Window.partitionBy(*part).orderBy("start", "end")
-    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.when(F.col("start") <= reach, 0).otherwise(1)
-    flagged = df.withColumn("__new", new)
-    island = flagged.withColumn("__island", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return island.groupBy(*part, "__island").agg(F.min("start").alias("start"), F.max("end").alias("end")).select(*dict.fromkeys([*keys, *part]), "start", "end")
+def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """An equi-join in which null keys meet null keys, with the left side's key columns."""
+    other = right.withColumnsRenamed({c: f"__r_{c}" for c in on})
+    return left.join(other, [F.col(c).eqNullSafe(F.col(f"__r_{c}")) for c in on], how).drop(*[f"__r_{c}" for c in on])
 
 
 def merge_intervals(df: DataFrame, keys: str | Sequence[str] = "key", bin_width: int = BIN) -> DataFrame:
-    """Overlapping or touching intervals of a key become one. Merging within bins first leaves few rows a key."""
-    keys = keys_of(keys)
-    rows = df.select(*keys, "start", "end").where("start IS NOT NULL AND end IS NOT NULL")
-    local = _islands(rows.withColumn("__bin", F.floor(F.col("start") / bin_width)), [*keys, "__bin"], keys)
-    return _islands(local.select(*keys, "start", "end"), keys, keys).select(*keys, "start", "end")
-
+    """Overlapping or touching intervals of a key become one.
 
-def gaps(df: DataFrame, keys: str | Sequence[str] = "key") -> DataFrame:
+    What reaches into a bin is carried from the bins before it, so islands are found inside bins; the
+    island that leaves a bin takes the greatest end of its parts in later bins."""
+    keys = keys_of(keys)
+    at = [*keys, "__bin"]
+    rows = df.where("start IS NOT NULL AND end IS NOT NULL").groupBy(*keys, "start").agg(F.max("end").alias("end"))
+    rows = rows.withColumn("__bin", F.floor(F.col("start") / bin_width))
+    bins = rows.groupBy(*at).agg(F.max("end").alias("__reach"))
+    before = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    carried = bins.select(*at, F.max("__reach").over(before).alias("__carry"))
+    here = Window.partitionBy(*at).orderBy("start")
+    reach = F.greatest(F.col("__carry"), F.max("end").over(here.rowsBetween(Window.unboundedPreceding, -1)))
+    flagged = null_safe_join(rows, carried, at).withColumn("__new", F.when(F.col("start") <= reach, 0).otherwise(1))
+    island = F.sum("__new").over(here.rowsBetween(Window.unboundedPreceding, 0))
+    # island 0 of a bin is the rest of one that began in an earlier bin
+    parts = flagged.withColumn("__i", island).groupBy(*at, "__i").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    ends = parts.groupBy(*at).agg(F.max("__i").alias("__last"), F.max(F.when(F.col("__i") == 0, F.col("end"))).alias("__rest"))
+    begun = (F.col("__last") > 0).cast("long")
+    upto = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, 0)
+    # bins in which islands began are numbered; a rest belongs to the last number before its bin
+    ends = ends.withColumn("__to", F.sum(begun).over(upto)).withColumn("__from", F.col("__to") - begun)
+    rests = ends.where("__rest IS NOT NULL").groupBy(*keys, F.col("__from").alias("__to")).agg(F.max("__rest").alias("__rest"))
+    leaving = null_safe_join(ends.where("__last > 0").select(*at, "__last", "__to"), rests, [*keys, "__to"]).select(*at, F.col("__last").alias("__i"), "__rest")
+    out = null_safe_join(parts.where("__i > 0"), leaving, [*at, "__i"], "left")
+    return out.select(*keys, "start", F.greatest("end", "__rest").alias("end"))
+
+
+def gaps(df: DataFrame, keys: str | Sequence[str] = "key", bin_width: int = BIN) -> DataFrame:
     """What lies between the merged intervals of a key (introns between exons)."""
     keys = keys_of(keys)
-    merged = merge_intervals(df.dropna(subset=keys), keys)
-    after = F.lead("start").over(Window.partitionBy(*keys).orderBy("start"))
-    return merged.withColumn("__next", after).where(F.col("end") < F.col("__next")).select(*keys, F.col("end").alias("start"), F.col("__next").alias("end"))
+    merged = merge_intervals(df.dropna(subset=keys), keys, bin_width).withColumn("__bin", F.floor(F.col("start") / bin_width))
+    after = F.lead("start").over(Window.partitionBy(*keys, "__bin").orderBy("start"))
+    firsts = merged.groupBy(*keys, "__bin").agg(F.min("start").alias("__first"))
+    carried = firsts.select(*keys, "__bin", F.lead("__first").over(Window.partitionBy(*keys).orderBy("__bin")).alias("__later"))
+    out = merged.withColumn("__next", after).join(carried, [*keys, "__bin"]).withColumn("__next", F.coalesce("__next", "__later"))
+    return out.where(F.col("end") < F.col("__next")).select(*keys, F.col("end").alias("start"), F.col("__next").alias("end"))
 
 
 def with_predecessor(points: DataFrame, intervals: DataFrame, keys: str | Sequence[str] = "key", pos: str = "pos", bin_width: int = BIN) -> DataFrame:
@@ -60,7 +90,7 @@ def with_predecessor(points: DataFrame, intervals: DataFrame, keys: str | Sequen
     bins = both.groupBy(*keys, "__bin").agg(F.max("__span").alias("__last"))
     before = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
     carried = bins.select(*keys, "__bin", F.last("__last", ignorenulls=True).over(before).alias("__carry"))
-    out = in_bin.join(carried, [*keys, "__bin"], "left")
+    out = null_safe_join(in_bin, carried, [*keys, "__bin"], "left")
     got = F.coalesce("__in", "__carry")
     return out.select("__row.*", got["start"].alias("p_start"), got["end"].alias("p_end"))
 
@@ -129,7 +159,7 @@ def set_overlap(bins: DataFrame, label: str, on: Sequence[str]) -> DataFrame:
     """a, b, n_a, n_b, both, jaccard, b_given_a for every pair of labels, also those that share no bin."""
     sizes = bins.groupBy(label).agg(F.count("*").alias("n"))
     shared = bins.select(F.col(label).alias("a"), *on).join(bins.select(F.col(label).alias("b"), *on), list(on)).groupBy("a", "b").agg(F.count("*").alias("both"))
-    pairs = sizes.select(F.col(label).alias("a"), F.col("n").alias("n_a")).crossJoin(F.broadcast(sizes.select(F.col(label).alias("b"), F.col("n").alias("n_b"))))
+    pairs = sizes.select(F.col(label).alias("a"), F.col("n").alias("n_a")).crossJoin(small(sizes.select(F.col(label).alias("b"), F.col("n").alias("n_b"))))
     both = F.coalesce("both", F.lit(0))
     out = pairs.join(shared, ["a", "b"], "left").withColumn("both", both)
     return out.withColumns({"jaccard": F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both")), "b_given_a": F.col("both") / F.col("n_a")})

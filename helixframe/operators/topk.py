@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intervals import small
+
 
 def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str = "rank") -> DataFrame:
     """The first n rows of each key; partial limits run before the shuffle."""
@@ -41,7 +43,7 @@ def crosstab(tokens: DataFrame, members: DataFrame, feature: str = "feature", to
     """feature, concept, n_total, n, pct: tokens of a feature that lie in a concept, for all pairs that occur on either side."""
     total = tokens.groupBy(feature).agg(F.count("*").alias("n_total"))
     hit = tokens.join(members.select(token, concept).distinct(), token).groupBy(feature, concept).agg(F.count("*").alias("n"))
-    grid = total.crossJoin(F.broadcast(members.select(concept).distinct()))
+    grid = total.crossJoin(small(members.select(concept).distinct()))
     n = F.coalesce("n", F.lit(0))
     return grid.join(hit, [feature, concept], "left").select(feature, concept, "n_total", n.alias("n"), F.when(F.col("n_total") > 0, 100 * n / F.col("n_total")).alias("pct"))
 
@@ -60,17 +62,19 @@ def neither(tokens: DataFrame, members: DataFrame, feature: str = "feature", tok
 
 def venn(tokens: DataFrame, members: DataFrame, pairs: DataFrame, feature: str = "feature", token: str = "token", concept: str = "concept") -> DataFrame:
     """feature, a, b, n_total, n_a, n_b, n_both, n_neither for each pair (a, b); membership is computed once."""
-    held = members.select(token, concept).distinct().groupBy(token).agg(F.collect_set(concept).alias("__c"))  # a token's concepts, few
-    rows = tokens.join(held, token, "left").crossJoin(F.broadcast(pairs))
+    held = members.select(token, concept).groupBy(token).agg(F.sort_array(F.collect_set(concept)).alias("__c"))  # a token's concepts, few
+    # equal sets of concepts are one row before pairs are looked at
+    sets = tokens.join(held, token, "left").groupBy(feature, "__c").agg(F.count("*").alias("__n"))
+    rows = sets.crossJoin(small(pairs))
     a, b = (F.coalesce(F.array_contains("__c", F.col(x)), F.lit(False)) for x in "ab")
-    n = lambda c: F.sum(c.cast("long"))
-    return rows.groupBy(feature, "a", "b").agg(F.count("*").alias("n_total"), n(a & ~b).alias("n_a_only"), n(b & ~a).alias("n_b_only"), n(a & b).alias("n_both"), n(~a & ~b).alias("n_neither"))
+    n = lambda c: F.sum(F.when(c, F.col("__n")).otherwise(0))
+    return rows.groupBy(feature, "a", "b").agg(F.sum("__n").alias("n_total"), n(a & ~b).alias("n_a_only"), n(b & ~a).alias("n_b_only"), n(a & b).alias("n_both"), n(~a & ~b).alias("n_neither"))
 
 
 def concept_pairs(concepts: DataFrame, concept: str = "concept") -> DataFrame:
     """Unordered pairs of a small set of names."""
     c = concepts.select(concept).distinct()
-    return c.select(F.col(concept).alias("a")).crossJoin(F.broadcast(c.select(F.col(concept).alias("b")))).where("a < b")
+    return c.select(F.col(concept).alias("a")).crossJoin(small(c.select(F.col(concept).alias("b")))).where("a < b")
 
 
 def scaled_0_10(value: Column, group: Column | str) -> Column:
@@ -83,41 +87,42 @@ def scaled_0_10(value: Column, group: Column | str) -> Column:
 def nearest_control(targets: DataFrame, pool: DataFrame, limit: float, keys: Sequence[str] = ()) -> DataFrame:
     """For each target the row of the pool with the nearest rate (rate > 0, abs(mcc) <= limit, not itself; ties to the lower id).
 
-    targets: (target, rate, keys...), pool: (id, rate, mcc, keys...). Targets are a stated, small set."""
+    targets: (target, rate, keys...), pool: (id, rate, mcc, keys...). For few targets, as every one meets the whole pool; nearest_controls() is for all rows."""
     fit = pool.where((F.col("rate") > 0) & (F.abs("mcc") <= limit))
     on = [F.col(f"t.{k}") == F.col(f"p.{k}") for k in keys] + [F.col("t.target") != F.col("p.id")]
-    pairs = fit.alias("p").join(F.broadcast(targets.alias("t")), on)
+    pairs = fit.alias("p").join(small(targets).alias("t"), on)
     gap = F.abs(F.col("p.rate") - F.col("t.rate"))
     best = pairs.groupBy(*[F.col(f"t.{k}").alias(k) for k in keys], F.col("t.target").alias("target")).agg(F.min(F.struct(gap.alias("gap"), F.col("p.id").alias("id"))).alias("b"))
     return best.select(*keys, "target", F.col("b.id").alias("control"), F.col("b.gap").alias("gap"))
 
 
-def nearest_controls(rows: DataFrame, limit: float, per_bin: int = 2_000) -> DataFrame:
-    """nearest_control for every row of (id, rate, mcc), without pairs: target, control, gap.
+def nearest_controls(rows: DataFrame, limit: float, per_bin: int = 2_000, keys: Sequence[str] = ()) -> DataFrame:
+    """nearest_control for every row of (id, rate, mcc, keys...), without pairs: keys..., target, control, gap.
 
     The nearest is at the row's own rate (the lowest other id) or at the next lower or higher rate of the pool.
     Rates are walked by bin; only one row a bin meets in order."""
-    fit = rows.where((F.col("rate") > 0) & (F.abs("mcc") <= limit)).select("id", "rate")
-    first = fit.groupBy("rate").agg(F.min("id").alias("a"))
-    second = fit.join(first, "rate").where(F.col("id") != F.col("a")).groupBy("rate").agg(F.min("id").alias("b"))
-    held = rows.where("rate IS NOT NULL").select("rate").distinct().join(first, "rate", "left").join(second, "rate", "left")
+    keys = list(keys)
+    fit = rows.where((F.col("rate") > 0) & (F.abs("mcc") <= limit)).select(*keys, "id", "rate")
+    first = fit.groupBy(*keys, "rate").agg(F.min("id").alias("a"))
+    second = fit.join(first, [*keys, "rate"]).where(F.col("id") != F.col("a")).groupBy(*keys, "rate").agg(F.min("id").alias("b"))
+    held = rows.where("rate IS NOT NULL").select(*keys, "rate").distinct().join(first, [*keys, "rate"], "left").join(second, [*keys, "rate"], "left")
     low, high, n = held.agg(F.min("rate"), F.max("rate"), F.count("*")).first()
     width = ((high - low) / (n // per_bin + 1) or 1.0) if n else 1.0
     held = held.withColumn("__bin", F.floor((F.col("rate") - F.lit(low)) / F.lit(width)))
     pick = F.when(F.col("a").isNotNull(), F.struct("rate", F.col("a").alias("id")))
-    here = Window.partitionBy("__bin").orderBy("rate")
+    here = Window.partitionBy(*keys, "__bin").orderBy("rate")
     down, up = here.rowsBetween(Window.unboundedPreceding, -1), here.rowsBetween(1, Window.unboundedFollowing)
     inside = held.withColumns({"__down": F.last(pick, ignorenulls=True).over(down), "__up": F.first(pick, ignorenulls=True).over(up)})
-    ends = held.groupBy("__bin").agg(F.max(pick).alias("__max"), F.min(pick).alias("__min"))
-    order = Window.orderBy("__bin")
-    carried = ends.select("__bin", F.last("__max", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"), F.first("__min", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("__after"))
-    near = inside.join(carried, "__bin").select("rate", "a", "b", F.coalesce("__down", "__before").alias("__down"), F.coalesce("__up", "__after").alias("__up"))
+    ends = held.groupBy(*keys, "__bin").agg(F.max(pick).alias("__max"), F.min(pick).alias("__min"))
+    order = Window.partitionBy(*keys).orderBy("__bin") if keys else Window.orderBy("__bin")
+    carried = ends.select(*keys, "__bin", F.last("__max", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"), F.first("__min", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("__after"))
+    near = inside.join(carried, [*keys, "__bin"]).select(*keys, "rate", "a", "b", F.coalesce("__down", "__before").alias("__down"), F.coalesce("__up", "__after").alias("__up"))
     same = F.when(F.col("a") != F.col("target"), F.col("a")).otherwise(F.col("b"))
     at = lambda side: F.when(F.col(side).isNotNull(), F.struct(F.abs(F.col(f"{side}.rate") - F.col("rate")).alias("gap"), F.col(f"{side}.id").alias("id")))
     own = F.when(same.isNotNull(), F.struct((F.col("rate") - F.col("rate")).alias("gap"), same.alias("id")))
     best = F.array_min(F.filter(F.array(own, at("__down"), at("__up")), lambda x: x.isNotNull()))
-    out = rows.select(F.col("id").alias("target"), "rate").join(near, "rate").select("target", best.alias("c")).where("c IS NOT NULL")
-    return out.select("target", F.col("c.id").alias("control"), F.col("c.gap").alias("gap"))
+    out = rows.select(*keys, F.col("id").alias("target"), "rate").join(near, [*keys, "rate"]).select(*keys, "target", best.alias("c")).where("c IS NOT NULL")
+    return out.select(*keys, "target", F.col("c.id").alias("control"), F.col("c.gap").alias("gap"))
 
 
 def greedy_controls(targets: DataFrame, pool: DataFrame, size: int, limit: float, keys: Sequence[str]) -> DataFrame:
@@ -158,8 +163,9 @@ def runs(df: DataFrame, key: Sequence[str], order: str, zero: Column) -> DataFra
 
 
 def seeded_sample(df: DataFrame, n: int, columns: Sequence[str], seed: int) -> DataFrame:
-    """Exactly n rows (or all), the same for any partitioning."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *columns), *columns).limit(n)
+    """Exactly n rows (or all), the same for any partitioning: those with the least hash of the seed and the columns as text."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in columns])
+    return df.orderBy(F.substring(F.md5(text), 1, 15), *columns).limit(n)
 
 
 def weighted_sample(df: DataFrame, n: int, weight: str, tie: str) -> DataFrame:

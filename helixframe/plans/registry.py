@@ -6,6 +6,7 @@ embedding dimensions are neurons, labels are concepts, events are activations. D
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,6 +45,17 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """What driver and executors share. A local session that names none gets a folder of its own; a cluster must name it."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="helixframe-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")
+
+
 def day(c: str) -> Column:
     return F.datediff(F.col(c), F.lit("1970-01-01").cast("date")).cast("long")
 
@@ -179,11 +191,18 @@ def order_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", (F.col("o_custkey") % 100 + 1).alias("key"), day("o_orderdate").alias("pos"))
 
 
-def sparse_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans(spark, sf_dir).where("start % 5 = 0")
+# By part, spans leave gaps, so that hits and misses both occur; by supplier they cover nearly all. Orders meet parts by customer key.
+FINE = SPANS.replace("SELECT l_suppkey AS key", "SELECT l_partkey AS key")
+FINE_POINTS = POINTS.replace("o_custkey % 100 + 1 AS key", "o_custkey AS key")
 
 
-SPARSE = SPANS.replace("FROM lineitem)", "FROM lineitem WHERE date_diff('day', DATE '1970-01-01', l_shipdate::DATE) % 5 = 0)")
+def fine_spans(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
+    li = read(spark, sf_dir, "lineitem")
+    return li.select(*more, F.col("l_partkey").alias("key"), day("l_shipdate").alias("start"), (day("l_shipdate") + F.col("l_quantity").cast("long")).alias("end"))
+
+
+def fine_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("key"), day("o_orderdate").alias("pos"))
 
 
 @query(f'WITH {SPANS} SELECT key, s AS start, e AS "end" FROM merged')
@@ -191,42 +210,40 @@ def interval_merge(spark, sf_dir):
     return intervals.merge_intervals(spans(spark, sf_dir), bin_width=512)
 
 
-@query(f'WITH {SPARSE} SELECT key, e AS start, nx AS "end" FROM (SELECT *, lead(s) OVER (PARTITION BY key ORDER BY s) AS nx FROM merged) WHERE e < nx')
+@query(f'WITH {FINE} SELECT key, e AS start, nx AS "end" FROM (SELECT *, lead(s) OVER (PARTITION BY key ORDER BY s) AS nx FROM merged) WHERE e < nx')
 def gaps_between(spark, sf_dir):
-    return intervals.gaps(sparse_spans(spark, sf_dir))
+    return intervals.gaps(fine_spans(spark, sf_dir))
 
 
-@query(f"WITH {SPARSE}, {POINTS} SELECT o_orderkey FROM pts WHERE EXISTS (SELECT 1 FROM spans WHERE spans.key = pts.key AND s <= pos AND pos < e)")
+@query(f"WITH {FINE}, {FINE_POINTS} SELECT o_orderkey FROM pts WHERE EXISTS (SELECT 1 FROM spans WHERE spans.key = pts.key AND s <= pos AND pos < e)")
 def interval_overlap_semi(spark, sf_dir):
-    rows = order_points(spark, sf_dir).withColumns({"start": F.col("pos"), "end": F.col("pos") + 1})
-    return intervals.overlap_semi(rows, sparse_spans(spark, sf_dir)).select("o_orderkey")
+    rows = fine_points(spark, sf_dir).withColumns({"start": F.col("pos"), "end": F.col("pos") + 1})
+    return intervals.overlap_semi(rows, fine_spans(spark, sf_dir)).select("o_orderkey")
 
 
-@query(f"WITH {SPARSE}, {POINTS} SELECT o_orderkey, pos FROM pts WHERE NOT EXISTS (SELECT 1 FROM spans WHERE spans.key = pts.key AND s < pos + 20 AND pos < e)")
+@query(f"WITH {FINE}, {FINE_POINTS} SELECT o_orderkey, pos FROM pts WHERE NOT EXISTS (SELECT 1 FROM spans WHERE spans.key = pts.key AND s < pos + 20 AND pos < e)")
 def interval_overlap_anti(spark, sf_dir):
-    rows = order_points(spark, sf_dir).withColumns({"start": F.col("pos"), "end": F.col("pos") + 20})
-    return intervals.overlap_anti(rows, sparse_spans(spark, sf_dir)).select("o_orderkey", "pos")
+    rows = fine_points(spark, sf_dir).withColumns({"start": F.col("pos"), "end": F.col("pos") + 20})
+    return intervals.overlap_anti(rows, fine_spans(spark, sf_dir)).select("o_orderkey", "pos")
 
 
-@query(f"WITH {SPARSE}, {POINTS}, d AS (SELECT key, s, max(e) AS e FROM spans GROUP BY 1, 2) SELECT o_orderkey, coalesce(pos < e, false) AS hit FROM pts ASOF LEFT JOIN d ON pts.key = d.key AND pts.pos >= d.s")
+@query(f"WITH {FINE}, {FINE_POINTS}, d AS (SELECT key, s, max(e) AS e FROM spans GROUP BY 1, 2) SELECT o_orderkey, coalesce(pos < e, false) AS hit FROM pts ASOF LEFT JOIN d ON pts.key = d.key AND pts.pos >= d.s")
 def asof_containment(spark, sf_dir):
-    return intervals.asof_contains(order_points(spark, sf_dir), sparse_spans(spark, sf_dir)).select("o_orderkey", "hit")
+    return intervals.asof_contains(fine_points(spark, sf_dir), fine_spans(spark, sf_dir)).select("o_orderkey", "hit")
 
 
-@query(f"WITH {SPARSE}, {POINTS} SELECT o_orderkey, EXISTS (SELECT 1 FROM spans WHERE spans.key = pts.key AND s <= pos AND pos < e) AS hit FROM pts")
+@query(f"WITH {FINE}, {FINE_POINTS} SELECT o_orderkey, EXISTS (SELECT 1 FROM spans WHERE spans.key = pts.key AND s <= pos AND pos < e) AS hit FROM pts")
 def true_containment(spark, sf_dir):
-    return intervals.asof_contains(order_points(spark, sf_dir), sparse_spans(spark, sf_dir), mode="overlap").select("o_orderkey", "hit")
+    return intervals.asof_contains(fine_points(spark, sf_dir), fine_spans(spark, sf_dir), mode="overlap").select("o_orderkey", "hit")
 
 
-@query(f"WITH {SPARSE}, {POINTS} SELECT DISTINCT o_orderkey, l_returnflag AS concept FROM pts JOIN lineitem ON l_suppkey = key WHERE date_diff('day', DATE '1970-01-01', l_shipdate::DATE) % 5 = 0 AND date_diff('day', DATE '1970-01-01', l_shipdate::DATE) <= pos AND pos < date_diff('day', DATE '1970-01-01', l_shipdate::DATE) + l_quantity::BIGINT")
+@query(f"WITH {FINE_POINTS} SELECT DISTINCT o_orderkey, l_returnflag AS concept FROM pts JOIN lineitem ON l_partkey = key WHERE date_diff('day', DATE '1970-01-01', l_shipdate::DATE) <= pos AND pos < date_diff('day', DATE '1970-01-01', l_shipdate::DATE) + l_quantity::BIGINT")
 def label_tokens(spark, sf_dir):
-    li = read(spark, sf_dir, "lineitem").where(day("l_shipdate") % 5 == 0)
-    rows = li.select(F.col("l_returnflag").alias("concept"), F.col("l_suppkey").alias("key"), day("l_shipdate").alias("start"), (day("l_shipdate") + F.col("l_quantity").cast("long")).alias("end"))
-    return intervals.label_points(order_points(spark, sf_dir), rows).select("o_orderkey", "concept")
+    rows = fine_spans(spark, sf_dir, F.col("l_returnflag").alias("concept"))
+    return intervals.label_points(fine_points(spark, sf_dir), rows).select("o_orderkey", "concept")
 
 
-# The queries above whose SQL has SPARSE read a fifth of lineitem, and nearest_rate_control the targets of a hundredth of part.
-# Their SQL is fixed, so the same operators over whole tables are queries of their own.
+# The same operators by supplier: few keys with many spans each.
 
 
 @query(f'WITH {SPANS} SELECT key, e AS start, nx AS "end" FROM (SELECT *, lead(s) OVER (PARTITION BY key ORDER BY s) AS nx FROM merged) WHERE e < nx')
@@ -284,12 +301,12 @@ def coord_windows_with_tail(spark, sf_dir):
     return intervals.tumble(o, 16_384, keep_tail=True)
 
 
-NATION_BINS = "b AS (SELECT DISTINCT s_nationkey AS nation, date_diff('day', DATE '1970-01-01', l_shipdate::DATE) // 7 AS bin FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity > 45), z AS (SELECT nation, count(*) AS n FROM b GROUP BY 1), i AS (SELECT x.nation AS a, y.nation AS b, count(*) AS \"both\" FROM b x JOIN b y USING (bin) GROUP BY 1, 2), j AS (SELECT p.nation AS a, q.nation AS b, p.n AS n_a, q.n AS n_b, coalesce(\"both\", 0) AS \"both\" FROM z p CROSS JOIN z q LEFT JOIN i ON i.a = p.nation AND i.b = q.nation)"
+NATION_BINS = "b AS (SELECT DISTINCT s_nationkey AS nation, l_orderkey // 7 AS bin FROM lineitem JOIN supplier ON l_suppkey = s_suppkey), z AS (SELECT nation, count(*) AS n FROM b GROUP BY 1), i AS (SELECT x.nation AS a, y.nation AS b, count(*) AS \"both\" FROM b x JOIN b y USING (bin) GROUP BY 1, 2), j AS (SELECT p.nation AS a, q.nation AS b, p.n AS n_a, q.n AS n_b, coalesce(\"both\", 0) AS \"both\" FROM z p CROSS JOIN z q LEFT JOIN i ON i.a = p.nation AND i.b = q.nation)"
 
 
 def nation_bins(spark, sf_dir):
-    li = read(spark, sf_dir, "lineitem").where("l_quantity > 45").join(read(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    rows = li.select(F.col("s_nationkey").alias("nation"), day("l_shipdate").alias("start"), (day("l_shipdate") + 1).alias("end"))
+    li = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    rows = li.select(F.col("s_nationkey").alias("nation"), F.col("l_orderkey").alias("start"), (F.col("l_orderkey") + 1).alias("end"))
     return intervals.set_overlap(intervals.bins_of(rows, 7, "nation"), "nation", ["bin"])
 
 
@@ -298,14 +315,14 @@ def interval_jaccard(spark, sf_dir):
     return rounded(nation_bins(spark, sf_dir), "jaccard", "b_given_a")
 
 
-@query(f"WITH {NATION_BINS} SELECT DISTINCT CASE WHEN length(a::VARCHAR) > length(b::VARCHAR) THEN a ELSE b END AS dropped FROM j WHERE a < b AND \"both\"::DOUBLE / (n_a + n_b - \"both\") >= 0.6")
+@query(f"WITH {NATION_BINS} SELECT DISTINCT CASE WHEN length(a::VARCHAR) > length(b::VARCHAR) THEN a ELSE b END AS dropped FROM j WHERE a < b AND \"both\"::DOUBLE / (n_a + n_b - \"both\") >= 0.5")
 def redundant_concepts(spark, sf_dir):
-    return intervals.redundant(nation_bins(spark, sf_dir), 0.6)
+    return intervals.redundant(nation_bins(spark, sf_dir), 0.5)
 
 
-@query(f'WITH {SPARSE}, pos AS (SELECT DISTINCT key, unnest(range(s - 8000, e - 8000)) AS p FROM spans), h AS (SELECT key, p // 30 AS bin, count(*) AS n FROM pos WHERE p >= 0 AND p < 1000 GROUP BY 1, 2), k AS (SELECT key, bin FROM (SELECT DISTINCT key FROM spans), range(34) t(bin)) SELECT key, bin, CAST(coalesce(n, 0) > 0 AS INTEGER) AS "any", CAST(coalesce(n, 0) = 30 AS INTEGER) AS "all", round(coalesce(n, 0) / 30.0::DOUBLE, 6) AS frac FROM k LEFT JOIN h USING (key, bin)')
+@query(f'WITH {FINE}, pos AS (SELECT DISTINCT key, unnest(range(s - 8000, e - 8000)) AS p FROM spans), h AS (SELECT key, p // 30 AS bin, count(*) AS n FROM pos WHERE p >= 0 AND p < 1000 GROUP BY 1, 2), k AS (SELECT key, bin FROM (SELECT DISTINCT key FROM spans), range(34) t(bin)) SELECT key, bin, CAST(coalesce(n, 0) > 0 AS INTEGER) AS "any", CAST(coalesce(n, 0) = 30 AS INTEGER) AS "all", round(coalesce(n, 0) / 30.0::DOUBLE, 6) AS frac FROM k LEFT JOIN h USING (key, bin)')
 def base_mask_bins(spark, sf_dir):
-    rows = sparse_spans(spark, sf_dir).withColumns({"start": F.col("start") - 8000, "end": F.col("end") - 8000})
+    rows = fine_spans(spark, sf_dir).withColumns({"start": F.col("start") - 8000, "end": F.col("end") - 8000})
     return rounded(intervals.mask_bins(rows, 1000, 30), "frac")
 
 
@@ -364,29 +381,40 @@ def holdout_slice(spark, sf_dir):
     return topk.rank_slice(read(spark, sf_dir, "events"), ["user_id"], [F.desc("value"), F.asc("event_id")], 4, 8).select("user_id", "event_id", "rank")
 
 
-PARTS = "r AS (SELECT p_partkey AS id, p_size AS size, p_retailprice / 10000 AS rate, (p_partkey % 21 - 10) / 100.0::DOUBLE AS mcc FROM part), t AS (SELECT * FROM r WHERE id % 100 = 0)"
+PARTS = "t AS (SELECT p_partkey AS id, p_size AS size, p_retailprice / 10000 AS rate, (p_partkey % 21 - 10) / 100.0::DOUBLE AS mcc FROM part)"
+#: The next pool row below and above each rate, and the lowest other id at the rate itself.
+CONTROLS = """p AS (SELECT id, rate FROM t WHERE rate > 0 AND abs(mcc) <= 0.05), g AS (SELECT rate, min(id) AS id, CASE WHEN count(*) > 1 THEN (list_sort(list(id)))[2] END AS id2 FROM p GROUP BY 1),
+lo AS (SELECT t.id AS target, g.id AS control, t.rate - g.rate AS gap FROM t ASOF JOIN g ON t.rate > g.rate), hi AS (SELECT t.id AS target, g.id AS control, g.rate - t.rate AS gap FROM t ASOF JOIN g ON t.rate < g.rate),
+eq AS (SELECT t.id AS target, CASE WHEN g.id <> t.id THEN g.id ELSE g.id2 END AS control, 0.0::DOUBLE AS gap FROM t JOIN g ON t.rate = g.rate), c AS (SELECT * FROM lo UNION ALL SELECT * FROM hi UNION ALL SELECT * FROM eq WHERE control IS NOT NULL)"""
 
 
 def part_rates(spark, sf_dir):
-    rows = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_size", (F.col("p_retailprice") / 10_000).alias("rate"), ((F.col("p_partkey") % 21 - 10) / 100.0).alias("mcc"))
-    return rows, rows.where("id % 100 = 0").select(F.col("id").alias("target"), "p_size", "rate")
+    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_size", (F.col("p_retailprice") / 10_000).alias("rate"), ((F.col("p_partkey") % 21 - 10) / 100.0).alias("mcc"))
 
 
-@query(f"WITH {PARTS} SELECT target, control, round(gap, 6) AS gap FROM (SELECT t.id AS target, r.id AS control, abs(r.rate - t.rate) AS gap, row_number() OVER (PARTITION BY t.id ORDER BY abs(r.rate - t.rate), r.id) AS k FROM t JOIN r ON r.id <> t.id AND r.rate > 0 AND abs(r.mcc) <= 0.05) WHERE k = 1")
+@query(f"WITH {PARTS}, {CONTROLS} SELECT target, control, round(gap, 6) AS gap FROM c QUALIFY row_number() OVER (PARTITION BY target ORDER BY gap, control) = 1")
 def nearest_rate_control(spark, sf_dir):
-    pool, targets = part_rates(spark, sf_dir)
-    return rounded(topk.nearest_control(targets.drop("p_size"), pool, 0.05), "gap")
+    return rounded(topk.nearest_controls(part_rates(spark, sf_dir), 0.05), "gap")
 
 
-@query()
-def nearest_rate_control_whole(spark, sf_dir):
-    return rounded(topk.nearest_controls(part_rates(spark, sf_dir)[0], 0.05), "gap")
+@query(f"WITH {PARTS} SELECT target, control, round(gap, 6) AS gap FROM (SELECT a.id AS target, b.id AS control, abs(a.rate - b.rate) AS gap, row_number() OVER (PARTITION BY a.id ORDER BY abs(a.rate - b.rate), b.id) AS k FROM t a JOIN t b ON a.size = b.size AND b.id <> a.id AND b.rate > 0 AND abs(b.mcc) <= 0.05) WHERE k = 1")
+def nearest_control_by_size(spark, sf_dir):
+    pool = part_rates(spark, sf_dir)
+    return rounded(topk.nearest_controls(pool, 0.05, keys=["p_size"]).select("target", "control", "gap"), "gap")
 
 
-@query()
+# Of each size, the parts with a high mcc are the group, those with a low one the pool.
+@query(f"""WITH RECURSIVE {PARTS}, w AS (SELECT *, row_number() OVER (PARTITION BY size ORDER BY id) AS k FROM t WHERE mcc >= 0.08), want AS (SELECT * FROM w WHERE k <= 5), f AS (SELECT * FROM t WHERE rate > 0 AND abs(mcc) <= 0.05),
+ok AS (SELECT size FROM (SELECT size, count(*) AS n FROM want GROUP BY 1) JOIN (SELECT size, count(*) AS free FROM f GROUP BY 1) USING (size) WHERE free >= n),
+step(size, k, target, control, used) AS (
+  SELECT size, 0::BIGINT, NULL::BIGINT, NULL::BIGINT, []::BIGINT[] FROM ok
+  UNION ALL
+  SELECT s.size, want.k, want.id, c.id, list_append(s.used, c.id) FROM step s JOIN want ON want.size = s.size AND want.k = s.k + 1,
+  LATERAL (SELECT arg_min(f.id, (abs(f.rate - want.rate), f.id)) AS id FROM f WHERE f.size = s.size AND NOT list_contains(s.used, f.id)) c)
+SELECT size AS p_size, target, control FROM step WHERE k > 0""")
 def greedy_group_control(spark, sf_dir):
-    pool, targets = part_rates(spark, sf_dir)
-    return topk.greedy_controls(targets, pool, 5, 0.05, ["p_size"])
+    pool = part_rates(spark, sf_dir)
+    return topk.greedy_controls(pool.where("mcc >= 0.08").select(F.col("id").alias("target"), "p_size", "rate"), pool, 5, 0.05, ["p_size"])
 
 
 @query("SELECT c_mktsegment, c_custkey, CAST(dense_rank() OVER (ORDER BY f) - 1 AS INTEGER) AS code FROM (SELECT *, min(c_custkey) OVER (PARTITION BY c_mktsegment) AS f FROM customer)")
@@ -399,7 +427,7 @@ def weighted_draws(spark, sf_dir):
     return topk.weighted_sample(read(spark, sf_dir, "customer").where("c_acctbal > 0"), 500, "c_acctbal", "c_custkey").groupBy("c_custkey").agg(F.count("*").alias("draws"))
 
 
-@query()
+@query("SELECT c_custkey FROM customer ORDER BY substr(md5('7|' || c_custkey::VARCHAR), 1, 15), c_custkey LIMIT 100")
 def seeded_sample(spark, sf_dir):
     return topk.seeded_sample(read(spark, sf_dir, "customer").select("c_custkey"), 100, ["c_custkey"], 7)
 
@@ -538,10 +566,10 @@ def best_layer(spark, sf_dir):
     return out.withColumn("best_value", F.round("best_value", 4))
 
 
-@query("SELECT c_mktsegment, round(avg(c_acctbal) FILTER (c_nationkey = 1), 4) AS \"1\", round(avg(c_acctbal) FILTER (c_nationkey = 2), 4) AS \"2\", round(avg(c_acctbal) FILTER (c_nationkey = 3), 4) AS \"3\" FROM customer WHERE c_nationkey <= 3 GROUP BY 1")
+@query("SELECT c_mktsegment, " + ", ".join(f'round(avg(c_acctbal) FILTER (c_nationkey = {i}), 4) AS "{i}"' for i in range(25)) + " FROM customer GROUP BY 1")
 def layer_step_pivot(spark, sf_dir):
-    g = read(spark, sf_dir, "customer").where("c_nationkey <= 3").groupBy("c_mktsegment", "c_nationkey").agg(F.round(F.avg("c_acctbal"), 4).alias("v"))
-    return sweeps.pivoted(g, "c_mktsegment", "c_nationkey", "v", [1, 2, 3])
+    g = read(spark, sf_dir, "customer").groupBy("c_mktsegment", "c_nationkey").agg(F.round(F.avg("c_acctbal"), 4).alias("v"))
+    return sweeps.pivoted(g, "c_mktsegment", "c_nationkey", "v", list(range(25)))
 
 
 @query("SELECT * FROM (SELECT c_nationkey, c_custkey FROM customer QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey DESC) = 1)")
@@ -569,17 +597,17 @@ def feature_group(spark, sf_dir):
     return steering.feature_group(assoc(spark, sf_dir), 0.08)
 
 
-@query(f"WITH {NEURONS}, o AS (SELECT *, row_number() OVER (PARTITION BY concept ORDER BY mcc DESC, feature) AS k FROM m) SELECT concept, feature, tp FROM o WHERE concept >= 5 OR k <= 3")
+@query(f"WITH {NEURONS}, o AS (SELECT *, mcc >= 0.08 AND row_number() OVER (PARTITION BY concept ORDER BY mcc DESC, feature) <= 3 AS own FROM m) SELECT concept, feature, tp FROM o WHERE own OR concept NOT IN (SELECT concept FROM o WHERE own)")
 def own_candidates(spark, sf_dir):
     table = assoc(spark, sf_dir)
-    own = steering.candidates(association.ranked(table, "mcc").where("concept < 5"), 3)
+    own = steering.candidates(association.ranked(table, "mcc").where("mcc >= 0.08"), 3)
     return steering.own_candidates(table.select("concept", "feature", "tp"), own)
 
 
-@query(f"WITH {SPARSE}, w AS (SELECT o_orderkey AS id, key, pos AS s, pos + 24 AS e FROM (SELECT o_orderkey, o_custkey % 100 + 1 AS key, date_diff('day', DATE '1970-01-01', o_orderdate::DATE) AS pos FROM orders)) SELECT id FROM w WHERE EXISTS (SELECT 1 FROM spans, (SELECT unnest([0, 8, 16]) AS k) WHERE spans.key = w.key AND spans.s <= w.s + k AND w.s + k < spans.e) ORDER BY id LIMIT 200")
+@query(f"WITH {FINE}, w AS (SELECT o_orderkey AS id, key, pos AS s, pos + 24 AS e FROM (SELECT o_orderkey, o_custkey AS key, date_diff('day', DATE '1970-01-01', o_orderdate::DATE) AS pos FROM orders)) SELECT id FROM w WHERE EXISTS (SELECT 1 FROM spans, (SELECT unnest([0, 8, 16]) AS k) WHERE spans.key = w.key AND spans.s <= w.s + k AND w.s + k < spans.e) ORDER BY id LIMIT 200")
 def probed_windows(spark, sf_dir):
-    w = order_points(spark, sf_dir).select(F.col("o_orderkey").alias("id"), "key", F.col("pos").alias("start"), (F.col("pos") + 24).alias("end"))
-    return steering.probed_windows(w, sparse_spans(spark, sf_dir), 200).select("id")
+    w = fine_points(spark, sf_dir).select(F.col("o_orderkey").alias("id"), "key", F.col("pos").alias("start"), (F.col("pos") + 24).alias("end"))
+    return steering.probed_windows(w, fine_spans(spark, sf_dir), 200).select("id")
 
 
 @query(f"WITH {SPANS}, w AS (SELECT o_orderkey AS id, key, pos AS s, pos + 24 AS e FROM (SELECT o_orderkey, o_custkey % 100 + 1 AS key, date_diff('day', DATE '1970-01-01', o_orderdate::DATE) AS pos FROM orders)) SELECT id FROM w WHERE EXISTS (SELECT 1 FROM spans, (SELECT unnest([0, 8, 16]) AS k) WHERE spans.key = w.key AND spans.s <= w.s + k AND w.s + k < spans.e) ORDER BY id LIMIT 200")
@@ -684,8 +712,8 @@ def conversation_summary(spark, sf_dir):
 def kmeans_annot(spark, sf_dir):
     from .interpret import cluster_summary, clusters
 
-    e = read(spark, sf_dir, "embeddings").select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"v{i}") for i in range(20)])
-    return cluster_summary(clusters(e, [f"v{i}" for i in range(20)], 3), "label", "v0", ["cluster"])
+    e = read(spark, sf_dir, "embeddings").select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"v{i}") for i in range(64)])
+    return cluster_summary(clusters(e, [f"v{i}" for i in range(64)], 3), "label", "v0", ["cluster"])
 
 
 @query("SELECT ts::DATE AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
@@ -700,7 +728,4 @@ def stream_daily_counts(spark, sf_dir):
 
 
 def stream_checkpoint(spark: SparkSession, name: str) -> str:
-    """In the folder that the cluster shares; a temporary one for a local session that names none."""
-    import tempfile
-
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/{name}"
+    return f"{shared_folder(spark)}/{name}"
