@@ -38,7 +38,7 @@ def extracted(c: Column, pattern: str, group: int = 1) -> Column:
 
 
 def tags(c: Column, sep: str = ",") -> Column:
-    return F.filter(F.transform(F.split(c, sep), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, sep), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def score_category(r: Column) -> Column:
@@ -51,10 +51,12 @@ def quality_flag(r: Column, consistent: Column) -> Column:
 
 
 def int_list(answer: Column, n: Column | int) -> Column:
-    """The first JSON list of whole numbers in the answer, clamped to 0..10; null unless it has n."""
-    found = F.from_json(F.regexp_extract(answer, r"(\[[\s\d,+\-]*\])", 1), "array<int>")
-    clamped = F.transform(found, lambda x: F.greatest(F.lit(0), F.least(F.lit(10), x)))
-    return F.when(F.size(clamped) == n, clamped)
+    """The first JSON list of whole numbers in the answer, clamped to 0..10, if it has n of them; else all single digits and tens of the text, if they are n; else null."""
+    plain = F.regexp_replace(answer, "```(?:json)?", "")
+    listed = F.from_json(F.regexp_extract(plain, r"(\[[\s\d,+\-]*\])", 1), "array<int>")
+    loose = F.transform(F.regexp_extract_all(plain, F.lit(r"\b(10|\d)\b"), F.lit(1)), lambda x: x.cast("int"))
+    found = F.when(F.size(listed) == n, listed).when(F.size(loose) == n, loose)
+    return F.transform(found, lambda x: F.greatest(F.lit(0), F.least(F.lit(10), x)))
 
 
 def section(answer: Column, name: str) -> Column:

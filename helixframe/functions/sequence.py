@@ -79,3 +79,13 @@ def centered_window(seq: Column, at: Column, radius: int) -> Column:
     left = F.greatest(F.lit(0), at - radius)
     body = seq.substr(left + 1, F.greatest(F.lit(0), F.lit(2 * radius + 1) - before))
     return F.rpad(F.concat(F.repeat(F.lit("N"), before.cast("int")), body), 2 * radius + 1, "N")
+
+
+def pfm_text(profile: DataFrame, keys: Sequence[str] = (), bases: str = BASES) -> DataFrame:
+    """keys..., text: a line of counts and a line of frequencies for each base, by position; missing cells are 0."""
+    cells = profile.groupBy(*keys, "pos").pivot("base", list(bases)).agg(F.first("n"), F.first("freq"))
+    rows = F.sort_array(F.collect_list(F.struct("pos", *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in cells.columns if c not in (*keys, "pos")])))
+    line = lambda b, of, form: F.concat(F.lit(f"{b}\t"), F.array_join(F.transform("rows", lambda r: F.format_string(form, r[of])), "\t"))
+    first, second = (f"first({x})" for x in ("n", "freq"))
+    text = F.concat_ws("\n", *[line(b, f"{b}_{first}", "%d") for b in bases], *[line(b, f"{b}_{second}", "%.4f") for b in bases])
+    return cells.groupBy(*keys).agg(rows.alias("rows")).select(*keys, text.alias("text"))

@@ -101,3 +101,25 @@ def steer(vector: Column, decoder: Column, old: Column, factor: Column) -> Colum
 
 def mean_pool(x: DataFrame, keys: list[str]) -> DataFrame:
     return x.groupBy(*keys, "dim").agg(F.avg("x").alias("x"))
+
+
+def fused(x: DataFrame) -> DataFrame:
+    """concept, feature, tp, fires, mse from one pass over (concept, feature, x, x_hat): firing counts and squared error by both, then sums over the small table."""
+    res = F.col("x") - F.col("x_hat")
+    by = x.groupBy("concept", "feature").agg(F.sum((F.col("x") > 0).cast("long")).alias("tp"), F.avg(res * res).alias("mse"))
+    return by.withColumn("fires", F.sum("tp").over(Window.partitionBy("feature")))
+
+
+def activations(kind: str, x: DataFrame, weights: DataFrame | None = None, row: str = "row") -> DataFrame:
+    """Adds act, or encodes: "raw_neuron" takes the values themselves, "relu" the positive part of the pre-activations, "jump" those above exp(threshold)."""
+    if kind == "raw_neuron":
+        return x.withColumn("act", F.col("x"))
+    if weights is None:
+        raise ValueError(f"{kind} needs weights")
+    pre = pre_activations(x, weights, row)
+    if kind == "relu":
+        return pre.select(row, "feature", relu(F.col("pre")).alias("act"))
+    if kind == "jump":
+        limits = weights.select("feature", "log_threshold").distinct()
+        return pre.join(limits, "feature").select(row, "feature", jump_relu(F.col("pre"), F.col("log_threshold")).alias("act"))
+    raise ValueError(f"unknown kind {kind}")

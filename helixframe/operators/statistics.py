@@ -67,3 +67,14 @@ def recovered(original: Column, ablated: Column, replaced: Column) -> Column:
     """Share of the loss recovered, in percent, 0 if ablation changes nothing."""
     gap = ablated - original
     return F.when(F.abs(gap) > 1e-12, 100 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - (replaced - original) / F.when(F.abs(gap) > 1e-12, gap)))).otherwise(F.lit(0.0))
+
+
+def score_summary(df: DataFrame, column: str, keys: Sequence[str]) -> DataFrame:
+    """keys..., max, mean, sample std and median of the values that are numbers (none: all null)."""
+    v = F.nanvl(F.col(column), F.lit(None).cast("double"))
+    return df.groupBy(*keys).agg(F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.median(v).alias("median"))
+
+
+def group_sizes(df: DataFrame, keys: Sequence[str], top: int) -> DataFrame:
+    """The `top` largest groups, on a tie in order of their keys."""
+    return df.groupBy(*keys).agg(F.count("*").alias("n")).orderBy(F.desc("n"), *keys).limit(top)

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import token_midpoint
 from .intervals import asof_contains
 
 
@@ -66,3 +67,21 @@ def warm_then_cosine(step: Column, warm: int, total: int, peak: float) -> Column
 def numbered(sequences: Column) -> Column:
     """"Seq 01: ..." lines of an array of strings."""
     return F.array_join(F.transform(sequences, lambda s, i: F.format_string("Seq %02d: %s", i + 1, s)), "\n")
+
+
+def window_of(one: Column, tokens: Column) -> Column:
+    """(chrom, start, end) of a window from its triple or, in the older form, from its tokens' triples; null without a chromosome."""
+    span = F.when(F.size(tokens) > 0, F.struct(tokens[0]["chrom"].alias("chrom"), tokens[0]["start"].alias("start"), F.element_at(tokens, -1)["end"].alias("end")))
+    w = F.coalesce(one, span)
+    return F.when((w["chrom"] != "") & w["start"].isNotNull() & w["end"].isNotNull(), w)
+
+
+def place_text(window: Column) -> Column:
+    return F.concat(window["chrom"], F.lit(":"), window["start"].cast("string"), F.lit("-"), window["end"].cast("string"))
+
+
+def token_bases(rows: DataFrame, length: int | None = None, tok: str = "tok") -> DataFrame:
+    """start, end become the one base in the middle of the token's share of the window; without a length a token is a base."""
+    size = F.lit(length) if length else F.greatest(F.lit(1), F.col("end") - F.col("start"))
+    mid = token_midpoint(F.col("start"), F.col("end"), F.col(tok), size)
+    return rows.withColumn("__mid", mid).withColumns({"start": F.col("__mid"), "end": F.col("__mid") + 1}).drop("__mid")

@@ -98,3 +98,40 @@ def listed(df: DataFrame, key: str, name: str, score: str, top: int) -> DataFram
     w = Window.partitionBy(key).orderBy(F.desc(score), F.asc(name))
     rows = df.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= top)
     return rows.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("__r", name))), lambda s: s[name]), "|").alias("names"))
+
+
+def final_table(ours: DataFrame, base: DataFrame, degenerate: Sequence[str] = (), layer: str = "layer", step: str = "step", concept: str = "concept", value: str = "f1") -> DataFrame:
+    """layer, feature_f1, neuron_f1, delta: means over the concepts that count, at each layer's last step, beside the baseline's."""
+    counts = ~F.col(concept).isin(*degenerate) if degenerate else F.lit(True)
+    last = ours.groupBy(layer).agg(F.max(step).alias(step))
+    mine = ours.where(counts).join(last, [layer, step]).groupBy(layer).agg(F.avg(value).alias("feature_f1"))
+    theirs = base.where(counts).groupBy(layer).agg(F.avg(value).alias("neuron_f1"))
+    return mine.join(theirs, layer, "left").withColumn("delta", F.col("feature_f1") - F.col("neuron_f1"))
+
+
+def baseline_delta(rows: DataFrame, base: DataFrame, degenerate: Sequence[str] = (), key: str = "concept", value: str = "f1") -> DataFrame:
+    """concept, best, base, delta, degenerate, place: each concept's best value beside the baseline's, the best first."""
+    best = rows.groupBy(key).agg(F.max(value).alias("best")).join(base.groupBy(key).agg(F.max(value).alias("base")), key, "left")
+    out = best.withColumns({"delta": F.col("best") - F.col("base"), "degenerate": F.col(key).isin(*degenerate) if degenerate else F.lit(False)})
+    return out.withColumn("place", F.row_number().over(Window.orderBy(F.desc("best"), F.asc(key))))  # a row a concept
+
+
+def name_union(tables: Sequence[DataFrame], name: str = "concept") -> DataFrame:
+    """The sorted union of the names of several runs, with their places from 1."""
+    out = tables[0].select(name)
+    for df in tables[1:]:
+        out = out.union(df.select(name))
+    return out.distinct().withColumn("place", F.row_number().over(Window.orderBy(name)))  # a row a name
+
+
+def step_list(dirs: DataFrame, column: str, prefix: str = "step") -> DataFrame:
+    """step, place: the distinct step numbers of folder names, in numeric order."""
+    steps = dirs.select(F.regexp_extract(column, rf"{prefix}[_=]?(\d+)", 1).try_cast("long").alias("step")).where("step IS NOT NULL").distinct()
+    return steps.withColumn("place", F.row_number().over(Window.orderBy("step")))
+
+
+def plot_rows(df: DataFrame, observed: str = "observed", limit: str = "q95", flag: str = "significant_bh", tie: str = "concept") -> DataFrame:
+    """Adds significant (from a text flag, or whether the observed value is above the limit) and place, in rising order of the observed value."""
+    above = F.col(observed) > F.col(limit)
+    said = F.lower(F.col(flag).cast("string")).isin("true", "1") if flag in df.columns else F.lit(None).cast("boolean")
+    return df.withColumns({"significant": F.coalesce(said, above), "place": F.row_number().over(Window.orderBy(observed, tie)) - 1})

@@ -182,3 +182,11 @@ def ordinal(df: DataFrame, column: str, order: str) -> DataFrame:
     first = df.groupBy(column).agg(F.min(order).alias("__f"))
     return df.join(first.withColumn("code", F.dense_rank().over(Window.orderBy("__f")) - 1).drop("__f"), column)
 
+
+
+def appended(tables: Sequence[DataFrame]) -> DataFrame:
+    """One table of all rows; columns that a table lacks are null there."""
+    out = tables[0]
+    for df in tables[1:]:
+        out = out.unionByName(df, allowMissingColumns=True)
+    return out

@@ -4,14 +4,15 @@ Asking a model is a function that the caller passes in; everything around it is
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import int_list, quality_flag, score_category, section
 from ..operators.statistics import correlation
+from ..operators.steering import numbered
 from ..operators.topk import override, rank_slice, scaled_0_10, top_n
 
 
@@ -32,26 +33,133 @@ def prompts(examples: DataFrame, enrichment: DataFrame, shown: int, holdout: tup
     return out.select(feature, text.alias("prompt"), F.coalesce(F.transform("h", lambda s: s["context"]), empty[0]).alias("holdout_sequences"), F.coalesce(F.transform("h", lambda s: s["norm"]), empty[1]).alias("holdout_activations"))
 
 
-def asked(df: DataFrame, prompt: str, ask: Callable[[str], str], answer: str = "answer") -> DataFrame:
-    """Adds what `ask` returns for each prompt; null if it raises."""
-    fields = ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + f", `{answer}` string"
+class Transient(Exception):
+    """What a caller's model raises when another try may help."""
 
-    def one(p: str) -> str | None:
-        try:
-            return ask(p)
-        except Exception:
-            return None
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def asked(df: DataFrame, prompt: str, ask: Callable[[str], str], answer: str = "answer", tries: int = 3, wait: float = 0.0, transient: type[Exception] = Transient) -> DataFrame:
+    """Adds the answer to each prompt, error (null if there is none) and attempts.
+
+    A transient error is tried again after attempt * wait seconds, any other one is final; both leave a null answer."""
+    fields = ", ".join(f"`{n}` {t}" for n, t in df.dtypes if n not in (answer, "error", "attempts")) + f", `{answer}` string, error string, attempts int"
+
+    def one(p: str) -> tuple[str | None, str | None, int]:
+        import time
+
+        for k in range(1, tries + 1):
+            try:
+                return ask(p), None, k
+            except transient as e:
+                error = str(e)
+                if k < tries:
+                    time.sleep(wait * k)
+            except Exception as e:
+                return None, str(e), k
+        return None, error, tries
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
         for b in batches:
-            yield b.assign(**{answer: [one(p) for p in b[prompt]]})
+            got = [one(p) for p in b.column(prompt).to_pylist()]
+            cols = [pa.array([g[i] for g in got], t) for i, t in enumerate((pa.string(), pa.string(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=[*b.schema.names, answer, "error", "attempts"])
 
-    return df.mapInPandas(run, fields)
+    return df.drop(answer, "error", "attempts").mapInArrow(run, fields)
 
 
 def explanations(df: DataFrame, answer: str = "answer") -> DataFrame:
+    """Adds hypothesis, evidence, confidence (lower case) and parse_ok: whether hypothesis and confidence are there."""
+    a = F.col(answer)
+    sure = F.nullif(F.lower(F.regexp_extract(a, r"(?i)CONFIDENCE\s*:\s*(HIGH|MEDIUM|LOW)", 1)), F.lit(""))
+    ok = F.col("hypothesis").isNotNull() & F.col("confidence").isNotNull()
+    return df.withColumns({"hypothesis": section(a, "HYPOTHESIS"), "evidence": section(a, "EVIDENCE"), "confidence": sure}).withColumn("parse_ok", ok)
+
+
+#: What a model is told and asked, by step; braces are filled from columns of the same name.
+TEMPLATES = {
+    "explain_system": "You see stretches of sequence on which one feature is most active, with what is annotated there.",
+    "explain": "Feature {feature}\n{prompt}\nName the pattern as HYPOTHESIS, EVIDENCE and CONFIDENCE (high, medium or low), a line each.",
+    "simulate_system": "You predict how active a feature is, as a whole number from 0 to 10 for each sequence.",
+    "simulate": "Hypothesis: {hypothesis}\n{n_examples} sequences:\n{sequences}\nAnswer with a JSON list of {n_examples} numbers.",
+    "recluster_system": "A feature may have several meanings; each group of its examples is explained for itself.",
+    "recluster": "Feature {feature} scored {score} with: {hypothesis}\n{blocks}\nFor each group write SUBCLUSTER n: and then HYPOTHESIS, EVIDENCE and CONFIDENCE.",
+    "consistency_system": "You compare a hypothesis with the share of examples in each annotation.",
+    "consistency": "Feature {feature}\nHypothesis: {hypothesis}\n{annotations}\nAnswer with CONSISTENT: yes, no or partial, then ISSUES and REVISED_HYPOTHESIS.",
+    "label_system": "You name groups of hypotheses in a few words.",
+    "label": "Group {cluster} of {n} features:\n{hypotheses}\nAnswer with LABEL and DESCRIPTION.",
+}
+
+
+def filled(template: str) -> Column:
+    """The template with each {column} replaced by the column's text, null as nothing."""
+    parts = re.split(r"\{(\w+)\}", TEMPLATES.get(template, template))
+    return F.concat(*[F.coalesce(F.col(p).cast("string"), F.lit("")) if i % 2 else F.lit(p) for i, p in enumerate(parts)])
+
+
+def simulations(df: DataFrame, sequences: str = "holdout_sequences") -> DataFrame:
+    """Adds prompt: the held-out sequences, numbered, under the hypothesis."""
+    rows = df.withColumns({"n_examples": F.size(sequences), "sequences": numbered(F.col(sequences))})
+    return rows.withColumn("prompt", filled("simulate")).drop("n_examples", "sequences")
+
+
+def recluster_prompts(examples: DataFrame, explained: DataFrame, shown: int = 10, feature: str = "feature") -> DataFrame:
+    """feature, prompt, n_clusters: each cluster with its size, mean activation and best examples, under the first hypothesis.
+
+    examples: feature, cluster, norm, place, context; explained: feature, hypothesis, score."""
+    size = examples.groupBy(feature, "cluster").agg(F.count("*").alias("n"), F.round(F.avg("norm"), 2).alias("mean"))
+    best = top_n(examples, [feature, "cluster"], [F.desc("norm"), F.asc("place")], shown, "__r")
+    line = F.format_string("  [%d] activation %d/10 | %s\n      %s", F.col("__r"), F.col("norm"), F.col("place"), F.col("context"))
+    text = best.groupBy(feature, "cluster").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("__r", line.alias("l")))), lambda s: s["l"]), "\n").alias("lines"))
+    block = F.format_string("Sub-cluster %d (%d examples, mean activation %.2f):\n%s", F.col("cluster") + 1, F.col("n"), F.col("mean"), F.col("lines"))
+    blocks = size.join(text, [feature, "cluster"]).groupBy(feature).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("cluster", block.alias("b")))), lambda s: s["b"]), "\n\n").alias("blocks"), F.count("*").alias("n_clusters"))
+    return blocks.join(explained, feature).withColumn("prompt", filled("recluster")).select(feature, "prompt", "n_clusters")
+
+
+def recluster_answers(df: DataFrame, answer: str = "answer", feature: str = "feature") -> DataFrame:
+    """feature, cluster (from 1), hypothesis, evidence, confidence, parse_ok for each "SUBCLUSTER n:" part of an answer."""
+    parts = df.select(feature, F.explode(F.regexp_extract_all(F.col(answer), F.lit(r"(?is)(SUBCLUSTER\s+\d+\s*:.*?)(?=\n\s*SUBCLUSTER\s+\d+\s*:|\z)"), F.lit(1))).alias("part"))
+    number = F.regexp_extract("part", r"(?i)SUBCLUSTER\s+(\d+)", 1).cast("int")
+    body = F.regexp_replace("part", r"(?i)^SUBCLUSTER\s+\d+\s*:\s*", "")
+    return explanations(parts.select(feature, number.alias("cluster"), body.alias("part")), "part").drop("part")
+
+
+def best_of(first: DataFrame, parts: DataFrame, feature: str = "feature") -> DataFrame:
+    """feature, hypothesis, r, improved: the best scored part where it is above the first score, else the first (a missing score counts as -2)."""
+    best = parts.groupBy(feature).agg(F.max(F.struct(F.coalesce("r", F.lit(-2.0)).alias("r"), (-F.col("cluster")).alias("c"), "hypothesis")).alias("b"))
+    rows = first.join(best, feature, "left")
+    better = F.coalesce(F.col("b.r") > F.coalesce("r", F.lit(-2.0)), F.lit(False))
+    return rows.select(feature, F.when(better, F.col("b.hypothesis")).otherwise(F.col("hypothesis")).alias("hypothesis"), F.when(better, F.col("b.r")).otherwise(F.col("r")).alias("r"), better.alias("improved"))
+
+
+def consistency(df: DataFrame, answer: str = "answer") -> DataFrame:
+    """Adds verdict (YES, NO, PARTIAL or UNKNOWN), consistent (null unless yes or no), issues, revised (the hypothesis if the answer has none)."""
     a = F.col(answer)
-    return df.withColumns({"hypothesis": section(a, "HYPOTHESIS"), "evidence": section(a, "EVIDENCE"), "confidence": F.lower(section(a, "CONFIDENCE"))})
+    said = F.nullif(F.upper(F.regexp_extract(a, r"(?i)CONSISTENT\s*:\s*(YES|NO|PARTIAL)", 1)), F.lit(""))
+    verdict = F.coalesce(said, F.lit("UNKNOWN"))
+    return df.withColumns({"verdict": verdict, "consistent": F.when(said == "YES", True).when(said == "NO", False), "issues": F.coalesce(section(a, "ISSUES"), F.lit("")), "revised": F.coalesce(section(a, "REVISED_HYPOTHESIS"), F.col("hypothesis"))})
+
+
+def cluster_labels(df: DataFrame, answer: str = "answer", cluster: str = "cluster") -> DataFrame:
+    """Adds label ("Cluster n" if the answer has none) and description."""
+    a = F.col(answer)
+    found = lambda n: F.nullif(F.trim(F.regexp_extract(a, rf"{n}\s*:\s*([^\n]*)", 1)), F.lit(""))
+    return df.withColumns({"label": F.coalesce(found("LABEL"), F.concat(F.lit("Cluster "), F.col(cluster).cast("string"))), "description": F.coalesce(found("DESCRIPTION"), F.lit(""))})
+
+
+def label_prompts(df: DataFrame, cluster: str = "cluster", shown: int = 15) -> DataFrame:
+    """cluster, n, prompt over the first hypotheses of each cluster, by feature."""
+    first = top_n(df, [cluster], [F.asc("feature")], shown, "__r")
+    line = F.format_string("  [%d] %s", F.col("__r"), F.col("hypothesis"))
+    text = first.groupBy(cluster).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("__r", line.alias("l")))), lambda s: s["l"]), "\n").alias("hypotheses"))
+    return df.groupBy(cluster).agg(F.count("*").alias("n")).join(text, cluster).withColumn("prompt", filled("label")).drop("hypotheses")
+
+
+def star(features: DataFrame, sides: dict[str, DataFrame], feature: str = "feature") -> DataFrame:
+    """One row a feature with the columns of all side tables, each of them null where it has no row."""
+    for df in sides.values():
+        features = features.join(df, feature, "left")
+    return features
 
 
 def scores(df: DataFrame, feature: str = "feature", answer: str = "answer", real: str = "holdout_activations") -> DataFrame:

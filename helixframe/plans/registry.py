@@ -729,3 +729,6 @@ def stream_daily_counts(spark, sf_dir):
 
 def stream_checkpoint(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}"
+
+
+from . import formats, records  # noqa: E402, F401  (they add their queries)

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.intervals import clamp, prefixed
+
 #: Lines that are no records, and the keys under which index lists are stored.
 SKIPPED = r"^\s*$|^(#|track|browser)"
 GTF_COLUMNS = ("chrom", "source", "feature", "start", "end", "score", "strand", "frame", "attributes")
@@ -45,8 +47,7 @@ def bed(spark: SparkSession, path: str, strict: bool = True, length: int | None
 
 def region(intervals: DataFrame, chrom: str, start: int, end: int) -> DataFrame:
     """What overlaps the region, clamped to it."""
-    hit = intervals.where((F.col("chrom") == chrom) & (F.col("start") < end) & (F.col("end") > start))
-    return hit.withColumns({"start": F.greatest("start", F.lit(start)), "end": F.least("end", F.lit(end))})
+    return clamp(intervals.where(F.col("chrom") == chrom), start, end)
 
 
 def gtf(spark: SparkSession, path: str) -> DataFrame:
@@ -117,6 +118,25 @@ def fetch(windows: DataFrame, chunks: DataFrame, chunk: int = 1 << 16, keys: Seq
     return windows.join(got, list(keys), "left").withColumn("seq", F.coalesce("seq", F.lit("")))
 
 
+def fetch_flanked(windows: DataFrame, chunks: DataFrame, flank: int, chunk: int = 1 << 16) -> DataFrame:
+    """Adds seq with `flank` letters on both sides, clamped to the chromosome; names meet with or without "chr"."""
+    named = chunks.withColumn("chrom", prefixed(F.col("chrom"), True))
+    wide = windows.select("*", prefixed(F.col("chrom"), True).alias("__c"), F.greatest(F.col("start") - flank, F.lit(0)).alias("__s"), (F.col("end") + flank).alias("__e"))
+    got = fetch(wide.select(F.col("__c").alias("chrom"), F.col("__s").alias("start"), F.col("__e").alias("end")).distinct(), named, chunk)
+    got = got.select(F.col("chrom").alias("__c"), F.col("start").alias("__s"), F.col("end").alias("__e"), "seq")
+    return wide.join(got, ["__c", "__s", "__e"], "left").drop("__c", "__s", "__e")
+
+
+def fetch_centered(points: DataFrame, chunks: DataFrame, radius: int, pos: str = "pos", chunk: int = 1 << 16) -> DataFrame:
+    """Adds seq: 2 * radius + 1 letters around the position, N beyond the ends and for unknown chromosomes."""
+    at = points.withColumns({"__s": F.greatest(F.col(pos) - radius, F.lit(0)), "__e": F.greatest(F.col(pos) + radius + 1, F.lit(0))})
+    got = fetch(at.select("chrom", F.col("__s").alias("start"), F.col("__e").alias("end")).distinct(), chunks, chunk)
+    got = got.select("chrom", F.col("start").alias("__s"), F.col("end").alias("__e"), F.col("seq").alias("__got"))
+    left = F.repeat(F.lit("N"), F.greatest(F.lit(0), F.lit(radius) - F.col(pos)).cast("int"))
+    seq = F.rpad(F.concat(left, F.coalesce("__got", F.lit(""))), 2 * radius + 1, "N")
+    return at.join(got, ["chrom", "__s", "__e"], "left").withColumn("seq", seq).drop("__s", "__e", "__got")
+
+
 def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One object a line; blank lines are skipped."""
     rows = lines(spark, path).where(F.trim("value") != "")
@@ -152,11 +172,11 @@ def indented(text: str) -> dict:
     return out
 
 
-def metrics_file(spark: SparkSession, path: str) -> DataFrame:
-    """path, metrics (a map of dotted names to numbers) of small metrics files."""
-    rows = []
-    for p, text in spark.sparkContext.wholeTextFiles(path).collect():  # a handful of run summaries
-        flat: dict[str, float] = {}
+def metrics_file(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """path, metrics (a map of dotted names to numbers) of small metrics files, each parsed in the task that reads it."""
+
+    def flat(text: str) -> dict[str, float]:
+        out: dict[str, float] = {}
         todo = [("", indented(text))]
         while todo:
             prefix, d = todo.pop()
@@ -164,9 +184,18 @@ def metrics_file(spark: SparkSession, path: str) -> DataFrame:
                 if isinstance(v, dict):
                     todo.append((f"{prefix}{k}.", v))
                 elif isinstance(v, (int, float)):
-                    flat[prefix + k] = float(v)
-        rows.append((p, flat))
-    return spark.createDataFrame(rows, "path string, metrics map<string, double>")
+                    out[prefix + k] = float(v)
+        return out
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            maps = [list(flat(t).items()) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(maps, pa.map_(pa.string(), pa.float64()))], names=["path", "metrics"])
+
+    files = spark.read.text([path] if isinstance(path, str) else list(path), wholetext=True)
+    return files.select(F.col("_metadata.file_path").alias("path"), "value").mapInArrow(run, "path string, metrics map<string, double>")
 
 
 def result_tree(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -175,6 +204,38 @@ def result_tree(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return rows.withColumns({"layer": F.regexp_extract("__p", r"layer[_=]?(\d+)", 1).try_cast("int"), "step": F.regexp_extract("__p", r"step[_=]?(\d+)", 1).try_cast("long"), "concept": F.regexp_extract("__p", r"([^/]+)/[^/]+$", 1)}).drop("__p")
 
 
+def with_columns(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """The named columns with their types; one that the file lacks is null, a value that does not fit as well."""
+    return df.select(*[(F.col(c).try_cast(t) if c in df.columns else F.lit(None).cast(t)).alias(c) for c, t in columns.items()])
+
+
+def required(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The table itself, if it has the columns."""
+    if missing := [c for c in columns if c not in df.columns]:
+        raise ValueError(f"the input lacks {missing}; it has {df.columns}")
+    return df
+
+
+def labelled_paths(arguments: Sequence[str]) -> dict[str, str]:
+    """label -> path of "LABEL=PATH" arguments; a plain path is labelled by its file name."""
+    out = {}
+    for a in arguments:
+        label, equals, path = a.partition("=")
+        out[label if equals else re.sub(r"\.[^./]*(\.gz)?$", "", a.rsplit("/", 1)[-1])] = path if equals else a
+    return out
+
+
+def shards(spark: SparkSession, path: str, splits: Sequence[str], layer: int) -> DataFrame:
+    """split, shard, place: the shards of some splits of a layer in order of the splits and their names; raises if there is none."""
+    order = F.array_position(F.array(*[F.lit(x) for x in splits]), F.col("split"))
+    files = spark.read.parquet(path).where(F.col("split").isin(*splits) & (F.col("layer") == layer))
+    plan = files.select("split", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("shard")).distinct()
+    plan = plan.withColumn("place", order.cast("int"))
+    if plan.isEmpty():
+        raise FileNotFoundError(f"no shard of {list(splits)}, layer {layer} under {path}")
+    return plan
+
+
 def first_existing(spark: SparkSession, paths: Sequence[str]) -> str:
     """The first path that exists."""
     jvm = spark.sparkContext._jvm

@@ -54,6 +54,13 @@ def append_csv(df: DataFrame, path: str) -> None:
     df.write.mode("append").option("header", True).csv(path)
 
 
+def label_tracks(rows: DataFrame, path: str, bins: int, window: str = "window", concept: str = "concept", place: str = "bin") -> None:
+    """window, concept, track: an array of `bins` flags for each window and concept with any row (window, bin, concept)."""
+    held = rows.groupBy(window, concept).agg(F.collect_set(place).alias("__held"))  # at most `bins` places
+    track = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: F.array_contains("__held", i).cast("int"))
+    held.select(window, concept, track.alias("track")).write.parquet(path)
+
+
 def sidecar(df: DataFrame, path: str) -> None:
     """A few rows of run metadata, as JSON."""
     df.coalesce(1).write.json(path)

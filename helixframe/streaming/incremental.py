@@ -45,9 +45,9 @@ def accumulate(stream: DataFrame, count: Callable[[DataFrame], DataFrame], keys:
     """Adds each batch's counts to a table of partial counts, one folder a batch, so a repeated batch replaces its own."""
 
     def put(batch: DataFrame, batch_id: int) -> None:
-        count(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        counts = count(batch)
+        counts.select(*keys, *[c for c in counts.columns if c not in keys]).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    _ = keys
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
@@ -67,3 +67,43 @@ def completed(expected: DataFrame, done: DataFrame, keys: Sequence[str]) -> Data
 def valid_state(state: DataFrame, fingerprint: str) -> DataFrame:
     """Rows of a state table that were made under the same fingerprint; with another, nothing counts as done."""
     return state.where(F.col("fingerprint") == fingerprint)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jpath)
+
+
+def cleared(spark: SparkSession, path: str) -> None:
+    """Deletes a state that is no longer needed."""
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
+def resumed(parts: DataFrame, part: str, count: Callable[[DataFrame], DataFrame], keys: Sequence[str], sums: Sequence[str], state: str, fingerprint: str, at_most: int | None = None) -> DataFrame | None:
+    """Counts by part, resumable: what `count` gives for the parts that the state does not hold is added to it.
+
+    The state is a folder of count tables under the fingerprint of the run; states of other fingerprints go, as their
+    counts mean something else. at_most: how many parts this call may take, in order. Gives the sums over all parts
+    once none is left, and clears nothing by itself: see cleared(). Returns None while parts are left."""
+    spark, own = parts.sparkSession, f"{state}/fingerprint={fingerprint}"
+    if not exists(spark, own):
+        cleared(spark, state)
+    done = spark.read.parquet(own).select(part).distinct() if exists(spark, own) else None
+    todo = remaining(parts, done, [part]) if done is not None else parts
+    if at_most is not None:
+        todo = todo.join(todo.select(part).distinct().orderBy(part).limit(at_most), part, "left_semi")
+    count(todo).write.mode("append").parquet(own)
+    held = spark.read.parquet(own)
+    if not remaining(parts, held, [part]).isEmpty():
+        return None
+    return held.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums])
+
+
+def append_new(rows: DataFrame, path: str, keys: Sequence[str]) -> None:
+    """Appends the rows whose keys the table does not hold yet, each key once, so a repeated append adds nothing."""
+    spark = rows.sparkSession
+    rows = rows.dropDuplicates(list(keys))
+    if exists(spark, path):
+        rows = remaining(rows, spark.read.schema(rows.schema).json(path), keys)
+    rows.write.mode("append").json(path)
