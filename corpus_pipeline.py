@@ -3,7 +3,10 @@
 toxicity: documents predicted toxic go. line_dedup: lines that an earlier document holds go; a document
 that loses all of them stays, empty. near_dedup: one document of each near-duplicate group stays.
 decontaminate: documents that hold a benchmark window go. pack: the rest becomes fixed-length sequences.
-All but the last return the columns of documents, n_chars always telling the length of the text.
+All but the last return the columns of documents; from line_dedup on n_chars is the length of the text.
+
+Defined results, for every stage: an empty table gives an empty table, extra columns of documents pass
+unchanged, and each row is judged by its own text, also where ids are null or repeat.
 """
 
 from __future__ import annotations
@@ -12,31 +15,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.llm import decontaminate, line_dedup, near_dedup, packing, toxicity
-from helixframe.llm.common import table, written
+from helixframe.llm.common import fresh_name, table, written
 
-#: The most ids that a stage sends to every task; beyond it the ids are joined by shuffle.
+#: The most rows that a stage names to every task; beyond it they are joined by shuffle.
 MAX_IDS = 2_000_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A null text is not toxic and stays."""
     return toxicity.toxicity(docs, table(spark, sf_dir, "labels")).where("predicted = 0").select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A null text becomes empty; rows that repeat an id are one document, so lines that they share stay in them."""
     out = line_dedup.dedup_lines(docs)
     return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = written(near_dedup.near_duplicates(docs).where("NOT kept").select("doc_id").distinct(), "near-duplicates")
-    return docs.join(F.broadcast(gone) if gone.count() <= MAX_IDS else gone, "doc_id", "left_anti").select(*docs.columns)
+    """Rows go by id and text: of a repeated id only those go whose text has a copy in a smaller id. Empty texts and null ids without a copy stay."""
+    gone = written(near_dedup.with_keys(docs).where("NOT kept").select("key").distinct(), "near-duplicates")
+    rows = docs.withColumn(key := fresh_name(docs, "__key"), near_dedup.row_key("doc_id", "text"))
+    gone = gone.select(F.col("key").alias(key))
+    return rows.join(F.broadcast(gone) if gone.count() <= MAX_IDS else gone, key, "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A null text holds no benchmark window and stays."""
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("NOT contaminated").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row a piece of a document; a null text is one separator."""
     return packing.pack(docs)
 
 

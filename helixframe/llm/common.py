@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: The white space that the text contracts strip or split at.
 WHITE = " \t\n\x0b\x0c\r"
@@ -22,7 +27,9 @@ def ship(spark: SparkSession) -> None:
     if getattr(sc, "_helixframe_sent", False):
         return
     package = Path(__file__).resolve().parent.parent
-    path = os.path.join(os.path.realpath(tempfile.mkdtemp()), "helixframe.zip")
+    folder = os.path.realpath(tempfile.mkdtemp())
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, "helixframe.zip")
     with zipfile.ZipFile(path, "w") as z:
         for f in sorted(package.rglob("*.py")):
             z.write(f, f.relative_to(package.parent))
@@ -73,21 +80,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def extend(df: DataFrame, make, added: str) -> DataFrame:
-    """Adds columns that make(batch) -> list of Arrow arrays computes from Arrow batches; the other columns pass untouched."""
-    from pyspark.sql.types import StructType
+#: Texts that a task turns into Python objects at once.
+SLICE = 256
 
-    new = StructType.fromDDL(added)
 
-    def run(batches):
-        import pyarrow as pa
+def fresh_name(df: DataFrame, name: str) -> str:
+    """The name, lengthened until the table has no such column."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name += "_"
+    return name
 
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, *make(b)], names=[*b.schema.names, *new.names])
 
-    return df.mapInArrow(run, StructType([*df.schema.fields, *new.fields]))
+def extend(df: DataFrame, column: Column, make: Callable[[pa.Array], list], added: str) -> DataFrame:
+    """Adds the columns that make(values) -> list of Arrow arrays computes from slices of a column.
 
+    Only that column goes to Python, and only the new ones come back: the other columns wait in the JVM."""
+    ship(df.sparkSession)
+    shape = StructType.fromDDL(added)
 
-def raw(column) -> list:
+    @F.arrow_udf(shape)
+    def run(values: pa.Array) -> pa.Array:
+        parts = [pa.StructArray.from_arrays(make(values.slice(i, SLICE)), names=shape.names) for i in range(0, max(1, len(values)), SLICE)]
+        return pa.concat_arrays(parts)
+
+    got = fresh_name(df, "__got")
+    # not deterministic for the optimizer, which otherwise evaluates it once a use
+    out = df.withColumn(got, run.asNondeterministic()(column))
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], *[F.col(got)[n].alias(n) for n in shape.names])
+
+
+def raw(column: pa.Array) -> list:
     """The texts of an Arrow string column as UTF-8 bytes; null as empty."""
     return [x or b"" for x in column.cast("binary").to_pylist()]
+
+
+def slices(column: pa.Array) -> Iterator[list]:
+    """The same, a slice at a time."""
+    for i in range(0, len(column), SLICE):
+        yield raw(column.slice(i, SLICE))

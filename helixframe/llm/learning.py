@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: At most about so many labelled rows are used; the sample is by hash of the id, so it is the same for any partitioning.
 MAX_LABELLED = 60_000
 #: Fixed value: a row is predicted positive from this score on.
@@ -23,6 +25,13 @@ def labelled_sample(labels: DataFrame, label: str, keep: Column, limit: int = MA
     return rows if share == 1 else rows.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
 
 
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, keep: Column | None, limit: int = MAX_LABELLED) -> DataFrame:
+    """(doc_id, label, text) of the sample, written: one row an id, the least of its texts, so ids that repeat do not make it larger."""
+    sample = labelled_sample(labels, label, F.lit(True) if keep is None else keep, limit)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
+    return written(rows.groupBy("doc_id", "label").agg(F.min("text").alias("text")), "labelled")
+
+
 def fold(id_col: Column, n: int) -> Column:
     return F.pmod(F.xxhash64(F.lit("fold"), id_col), F.lit(n))
 

@@ -18,8 +18,9 @@ are confirmed on full sets, which are made again for candidates alone.
 Texts do not move, and neither links nor components come to the driver.
 
 Defined results: null or empty text has an empty set, is linked with nothing and stays; a null id counts
-as the largest one and has a null component; rows that repeat an id share its fate; an empty table
-gives an empty table.
+as larger than any other, and documents of null ids alone have a null component and stay; rows that repeat
+an id and its text are one document and share its fate, while rows that repeat an id with other texts each
+follow their own text; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -27,12 +28,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import raw, written
+from .common import SLICE, raw, ship, written
 
-LAST = 2**63 - 1
 #: Of the shingle hash and the second permutation (odd multipliers, so that the latter is one).
 STEP = np.uint64(0x9E3779B97F4A7C15)
 MIX = (np.uint32(0x7FEB352D), np.uint32(0x846CA68B))
@@ -42,8 +42,8 @@ CHUNK = 1 << 17
 LARGE = 24
 #: So many members of a component are tried in that join before all are.
 MEMBERS = 8
-#: Candidate ids that may be broadcast (16 bytes each).
-MAX_BROADCAST = 2_000_000
+#: Candidate ids that may be broadcast (16 bytes each), and hubs (32 bytes).
+MAX_BROADCAST, MAX_HUBS = 2_000_000, 300_000
 
 
 class WordHashes(dict):
@@ -52,7 +52,7 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 400_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
@@ -133,22 +133,21 @@ def _set_hashes(sets: list[np.ndarray]) -> list:
 
 
 def sketch(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n, h1, h2 (the set's 128-bit hash), bands. The result is small beside the texts."""
+    """docs: doc_id, key, text. doc_id, key, n, h1, h2 (the set's 128-bit hash), bands. The result is small beside the texts."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         seen = WordHashes()
         for b in batches:
-            texts, ids = raw(b.column(1)), b.column(0)
-            for at in range(0, len(texts), 256):
-                sets = shingles(texts[at : at + 256], words, seen)
+            for at in range(0, b.num_rows, SLICE):
+                sets = shingles(raw(b.column(2).slice(at, SLICE)), words, seen)
                 keys = band_keys(signatures(sets, bands * rows), rows)
                 lists = _flat([keys[i] if len(s) else keys[i][:0] for i, s in enumerate(sets)])
-                cols = [ids.slice(at, len(sets)), pa.array([len(s) for s in sets], pa.int64()), *_set_hashes(sets), lists]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "h1", "h2", "bands"])
+                cols = [b.column(0).slice(at, SLICE), b.column(1).slice(at, SLICE), pa.array([len(s) for s in sets], pa.int64()), *_set_hashes(sets), lists]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "key", "n", "h1", "h2", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, key long, n long, h1 long, h2 long, bands array<long>")
 
 
 def full_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -159,9 +158,8 @@ def full_sets(docs: DataFrame, words: int) -> DataFrame:
 
         seen = WordHashes()
         for b in batches:
-            texts = raw(b.column(1))
-            for at in range(0, len(texts), 256):
-                sets = shingles(texts[at : at + 256], words, seen)
+            for at in range(0, b.num_rows, SLICE):
+                sets = shingles(raw(b.column(0).slice(at, SLICE)), words, seen)
                 yield pa.RecordBatch.from_arrays([*_set_hashes(sets), _flat(sets)], names=["h1", "h2", "items"])
 
     return docs.mapInArrow(run, "h1 long, h2 long, items array<long>")
@@ -183,11 +181,17 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75, bands: int = 32, rows: int = 4) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row an input row."""
-    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def row_key(id_col: str, text_col: str) -> Column:
+    """A hash of id and text: equal for rows that are one document."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.lit("text"), F.col(text_col).cast("string"))
+
+
+def with_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75, bands: int = 32, rows: int = 4) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, and key (row_key() of the row): one row an input row."""
+    ship(docs.sparkSession)
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
     sig = written(sketch(base, words, bands, rows), "signatures")
-    classes = sig.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    classes = sig.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.min("key").alias("key"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     classes = written(classes.select(F.monotonically_increasing_id().alias("cls"), "*"), "classes")
 
     members = classes.select(F.explode("bands").alias("bucket"), "cls", "n").repartition("bucket")
@@ -202,10 +206,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         known = named.join(least, "comp")
     else:
         known = known.withColumn("component", F.col("first"))
-    out = sig.select("doc_id", "n", "h1", "h2").join(known.select("h1", "h2", "component"), ["h1", "h2"], "left")
+    out = sig.select("doc_id", "key", "n", "h1", "h2").join(known.select("h1", "h2", "component"), ["h1", "h2"], "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    named = [F.when(c != LAST, c).alias(n) for c, n in ((F.col("doc_id"), "doc_id"), (component, "component_id"))]
-    return out.select(named[0], F.col("n").alias("n_shingles"), named[1], (F.col("doc_id") == component).alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "key")
+
+
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row an input row. Options: those of with_keys()."""
+    return with_keys(docs, **options).drop("key")
 
 
 def prefixes(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -250,13 +258,13 @@ def with_comp(rows: DataFrame, comp: DataFrame | None) -> DataFrame:
 
 def verified(live: DataFrame, classes: DataFrame, base: DataFrame, words: int, percent: int) -> DataFrame | None:
     """(node, comp) over the classes that true links join; None if there are no candidates."""
-    ids = written(live.select("cls").distinct().join(classes.select("cls", "first", "h1", "h2"), "cls"), "candidates")
+    ids = written(live.select("cls").distinct().join(classes.select("cls", "key", "h1", "h2"), "cls"), "candidates")
     n = ids.count()
     if not n:
         return None
-    firsts = ids.select(F.col("first").alias("doc_id")).distinct()
+    firsts = ids.select("key").distinct()
     firsts = F.broadcast(firsts) if n <= MAX_BROADCAST else firsts
-    sets = full_sets(base.join(firsts, "doc_id", "left_semi"), words).join(ids.select("cls", "h1", "h2"), ["h1", "h2"])
+    sets = full_sets(base.join(firsts, "key", "left_semi").select("text"), words).join(ids.select("cls", "h1", "h2"), ["h1", "h2"])
     sets = written(sets.dropDuplicates(["cls"]).select("cls", "items"), "sets")
 
     comp, failed, hubs, prefix = None, None, 1, None
@@ -284,6 +292,8 @@ def verified(live: DataFrame, classes: DataFrame, base: DataFrame, words: int, p
             rank = F.row_number().over(Window.partitionBy("bucket").orderBy("cls"))
             chosen = at.withColumn("r", rank).where(F.col("r") <= hubs).drop("r")
         chosen = chosen.withColumnsRenamed({"cls": "hub", "n": "hub_n", "comp": "hub_comp"})
+        if at.count() <= MAX_HUBS:  # hubs are rows of it
+            chosen = F.broadcast(chosen)
         near = (F.col("cls") > F.col("hub")) & (F.col("comp") != F.col("hub_comp")) & (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n"))
         pairs = at.join(chosen, "bucket").where(near).select("cls", "hub", "n", "hub_n", "comp", "hub_comp").distinct()
         if apart is not None:

@@ -14,15 +14,18 @@ also when ids repeat; an empty table gives an empty table.
 from __future__ import annotations
 
 import base64
+import os
+import re
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import SLICE, ship, written
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Fixed value: the characters for which the fast encoder is tested equal to the tokenizer file's own library; texts with others take that library.
@@ -42,21 +45,22 @@ class Encoder:
     _held: dict = {}
 
     def __init__(self, json_path: str, rank_path: str):
-        import os
-        import re
-
         import public_tokenizers
         import tiktoken
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
         with open(rank_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.fast = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.exact = Tokenizer.from_file(json_path)
+        self.json_path = json_path
         self.plain = re.compile(PLAIN).fullmatch
 
+    @cached_property
+    def exact(self):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.json_path)
+
     @classmethod
     def get(cls, *paths: str) -> Encoder:
         if paths not in cls._held:
@@ -78,16 +82,18 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def tokenize(docs: DataFrame, capacity: int, separator: int, paths: tuple[str, str]) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator) -> Iterator:
         encode = Encoder.get(*paths)
         for b in batches:
-            rows = []
-            for doc, text in zip(b["doc_id"], b["text"], strict=True):
-                ids = np.array([*encode(text or ""), separator], dtype="<u4")
-                rows += [(doc, i, s, n, zlib.crc32(ids[s : s + n].tobytes())) for i, (s, n) in enumerate(cut(len(ids), capacity))]
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
+            for at in range(0, b.num_rows, SLICE):
+                rows = []  # row of the slice, piece, start, length, checksum
+                for i, text in enumerate(b.column(1).slice(at, SLICE).to_pylist()):
+                    ids = np.array([*encode(text or ""), separator], dtype="<u4")
+                    rows += [(i, k, s, n, zlib.crc32(ids[s : s + n].tobytes())) for k, (s, n) in enumerate(cut(len(ids), capacity))]
+                cols = [pa.array(x, pa.int32() if c == 1 else pa.int64()) for c, x in enumerate(zip(*rows, strict=True))]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, SLICE).take(cols[0]), *cols[1:]], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)
 
 
 def pair(total: int, avail: np.ndarray) -> tuple[int, int] | None:
@@ -164,6 +170,7 @@ def places(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int,
 
 def pack(docs: DataFrame, capacity: int = 2048, separator: int = 0, paths: tuple[str, str] | None = None, rows_a_group: int = 50_000) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row a piece."""
+    ship(docs.sparkSession)
     pieces = written(tokenize(docs, capacity, separator, paths or tokenizer_paths()), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     rows = places(plan(counts, capacity))
@@ -176,12 +183,13 @@ def pack(docs: DataFrame, capacity: int = 2048, separator: int = 0, paths: tuple
     within = Window.partitionBy("length", "__g").orderBy("doc_id", "piece", "ids_crc32", "start")
     ranked = dealt.join(sizes, ["length", "__g"]).withColumn("__rank", F.col("__base") + F.row_number().over(within) - 1)
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place(batches: Iterator) -> Iterator:
         lens, ranks, seqs, offs = (np.array(x, dtype=np.int64) for x in zip(*rows, strict=True)) if rows else [np.zeros(0, np.int64)] * 4
         keys = lens * 2**50 + ranks
         for b in batches:
-            at = np.searchsorted(keys, b["length"].to_numpy() * 2**50 + b["__rank"].to_numpy(), "right") - 1
-            b["sequence_id"], b["offset"] = seqs[at] + b["__rank"].to_numpy() - ranks[at], offs[at]
-            yield b.drop(columns="__rank").astype({"doc_id": "Int64"})
+            length, rank = (b.column(c).to_numpy() for c in ("length", "__rank"))
+            at = np.searchsorted(keys, length * 2**50 + rank, "right") - 1
+            held = [b.column(i) for i in range(5)]
+            yield pa.RecordBatch.from_arrays([*held, pa.array(seqs[at] + rank - ranks[at]), pa.array(offs[at])], names=[*b.schema.names[:5], "sequence_id", "offset"])
 
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "__rank").mapInPandas(place, PIECES + ", sequence_id long, offset long")
+    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "__rank").mapInArrow(place, PIECES + ", sequence_id long, offset long")

@@ -20,11 +20,12 @@ from dataclasses import dataclass
 from operator import eq
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import extend, raw
-from .learning import CUT, MAX_LABELLED, best_cut, crc_of, labelled_sample, newton, to_unit
+from .common import extend, raw, ship, slices
+from .learning import CUT, MAX_LABELLED, best_cut, crc_of, labelled_texts, newton, to_unit
 
 #: Pairs that the ranking is learned from, drawn in equal parts over the worse documents.
 PAIRS = 200_000
@@ -108,14 +109,13 @@ def rank(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, seed: int = 7) -> Mod
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", keep=None, limit: int = MAX_LABELLED) -> Model:
-    sample = labelled_sample(labels, label, F.lit(True) if keep is None else keep, limit)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
+    ship(docs.sparkSession)
+    texts = labelled_texts(docs, labels, label, keep, limit)
 
     def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([describe(t) for t in raw(b.column(0))], pa.list_(pa.float64())), b.column(1)], names=["x", "label"])
+            x = [describe(t) for texts in slices(b.column(0)) for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), b.column(1)], names=["x", "label"])
 
     rows = texts.select("text", "label").mapInArrow(run, "x array<double>, label int").collect()  # of the bounded sample
     x = np.array([r["x"] for r in rows]).reshape(-1, len(NAMES))
@@ -124,15 +124,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", keep=None, l
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """Adds score (double) and predicted (int)."""
-    held = [F.col(c).cast("string").alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in ("score", "predicted")]
-
-    def run(b) -> list:
-        import pyarrow as pa
+    held = [c for c in docs.columns if c not in ("score", "predicted")]
 
-        s = model.score(np.array([describe(t) for t in raw(b.column(text_col))]).reshape(-1, len(NAMES)))
+    def run(texts: pa.Array) -> list:
+        s = model.score(np.array([describe(t) for t in raw(texts)]).reshape(-1, len(NAMES)))
         return [pa.array(s, pa.float64()), pa.array((s >= CUT).astype(np.int32), pa.int32())]
 
-    return extend(docs.select(*held), run, "score double, predicted int")
+    return extend(docs.select(*held), F.col(text_col).cast("string"), run, "score double, predicted int")
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

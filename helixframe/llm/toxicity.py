@@ -23,11 +23,12 @@ from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import extend, raw, written
-from .learning import CUT, MAX_LABELLED, best_cut, crc_of, fold, labelled_sample, newton, to_unit
+from .common import SLICE, extend, ship, slices, written
+from .learning import CUT, MAX_LABELLED, best_cut, crc_of, fold, labelled_texts, newton, to_unit
 
 #: Letters that a character may stand for in leetspeak.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "li", "+": "t", "(": "c", "€": "e", "£": "l"}
@@ -36,7 +37,8 @@ APART = ".-_*~'·"
 ENDS = ".,;:!?\"'()[]{}%&#*$@+|<>=~«»„“”¿¡…-_"
 #: Costs of the channel in nats: a letter stands for itself at none.
 LEET_COST, APART_COST, REPEAT_COST, LITERAL_COST, UNSEEN = 1.0, 0.4, 0.3, 4.0, 1e-3
-WORDS_HELD = 200_000
+#: How many words or trigrams a task counts before it sends them on, and how many words and costs it remembers.
+WORDS_HELD, REMEMBERED = 200_000, 80_000
 #: Of the marks at a word's ends, those that may be letters, and of them those that are usual there as marks.
 LEET_MARKS = frozenset(ENDS) & frozenset(LEET) | {"€", "£"}
 USUAL = (frozenset("("), frozenset("!"))
@@ -101,7 +103,7 @@ class CharModel:
         """-log P(c | the two characters before)."""
         got = self.known.get((before, c))
         if got is None:
-            if len(self.known) > 2 * WORDS_HELD:
+            if len(self.known) > REMEMBERED:
                 self.known.clear()
             got = self.known[before, c] = -math.log((self.tri.get(before + c, 0) + UNSEEN) / (self.bi.get(before, 0) + UNSEEN * self.size))
         return got
@@ -173,7 +175,7 @@ class Restorer(dict):
         self.lm = lm
 
     def __missing__(self, word: str) -> str:
-        if len(self) > 2 * WORDS_HELD:
+        if len(self) > REMEMBERED:
             self.clear()
         core = word.strip(PLAIN_ENDS)
         if core.isalpha() and not REPEATED.search(core):
@@ -208,24 +210,21 @@ def char_model(docs: DataFrame) -> CharModel:
     """Trigram counts over the words of all documents."""
 
     def count(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
         seen: Counter = Counter()
 
         def out():
             return pa.RecordBatch.from_pydict({"w": pa.array(list(seen), pa.binary()), "n": pa.array(list(seen.values()), pa.int64())})
 
         for b in batches:
-            for text in raw(b.column(0)):
-                seen.update(text.lower().split())
+            for texts in slices(b.column(0)):
+                for text in texts:
+                    seen.update(text.lower().split())
             if len(seen) > WORDS_HELD:
                 yield out()
                 seen.clear()
         yield out()
 
     def trigrams(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
         got: Counter = Counter()
 
         def out():
@@ -248,6 +247,12 @@ def char_model(docs: DataFrame) -> CharModel:
     return CharModel.of_codes(grams["t"].to_numpy(), grams["n"].to_numpy())
 
 
+def rows_of(b: pa.RecordBatch) -> Iterator[tuple]:
+    """The rows of a batch, a slice of them as Python objects at a time."""
+    for i in range(0, b.num_rows, SLICE):
+        yield from zip(*(c.slice(i, SLICE).to_pylist() for c in b.columns), strict=True)
+
+
 def stem(word: str) -> str:
     return "^" + word[:5]
 
@@ -279,14 +284,12 @@ WIDTH = 6
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", keep=None, limit: int = MAX_LABELLED) -> Model:
     """docs: doc_id, text. labels: doc_id and the label column; keep: which of its rows may be learned from."""
+    ship(docs.sparkSession)
     lm = char_model(docs)
-    sample = labelled_sample(labels, label, F.lit(True) if keep is None else keep, limit)
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").withColumn("part", fold(F.col("doc_id"), 3))
+    texts = labelled_texts(docs, labels, label, keep, limit).withColumn("part", fold(F.col("doc_id"), 3))
 
     def count(batches: Iterator) -> Iterator:
         """For each word and stem: documents and occurrences by label. The empty word counts documents and words."""
-        import pyarrow as pa
-
         restore = Restorer(lm)
         seen: dict[str, list[int]] = {}
 
@@ -300,7 +303,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", keep=None, lim
             return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), *(pa.array(c, pa.int64()) for c in cols)], names=["f", "d0", "d1", "c0", "c1"])
 
         for b in batches:
-            for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for text, y in rows_of(b):
                 words = Counter(w for w in restore.words(text or "") if w)
                 stems: Counter = Counter()
                 for w, c in words.items():
@@ -326,11 +329,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", keep=None, lim
     model = Model(lm, {r["f"]: min(6.0, r["w"]) for r in best}, np.zeros(WIDTH), 0.0)
 
     def summaries(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
         restore = Restorer(lm)
         for b in batches:
-            rows = [model.summary(restore.words(t or "")) for t in b.column(0).to_pylist()]
+            rows = [model.summary(restore.words(t or "")) for t, _ in rows_of(b)]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), b.column(1)], names=["x", "label"])
 
     rows = texts.where("part = 0").select("text", "label").mapInArrow(summaries, "x array<double>, label int").collect()  # of the bounded sample
@@ -352,18 +353,15 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     held = [c for c in docs.columns if c not in ("score", "predicted")]
     restore = Restorer(model.lm)
 
-    def run(b) -> list:
-        import pyarrow as pa
-
-        rows = np.array([model.summary(restore.words(t or "")) for t in b.column(text_col).to_pylist()]).reshape(-1, WIDTH)
+    def run(texts: pa.Array) -> list:
+        rows = np.array([model.summary(restore.words(t or "")) for t in texts.to_pylist()]).reshape(-1, WIDTH)
         s = model.score(rows)
         return [pa.array(s, pa.float64()), pa.array((s >= CUT).astype(np.int32), pa.int32())]
 
-    return extend(docs.select(*held), run, "score double, predicted int")
+    return extend(docs.select(*held), F.col(text_col).cast("string"), run, "score double, predicted int")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The input columns with held_out, score and predicted; labels of held-out rows are never learned from."""
     model = fit(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), labels, keep=crc_of(F.col("doc_id"), 4) != 2)
-    rows = docs.drop("held_out").withColumn("text", F.col("text").cast("string")) if dict(docs.dtypes)["text"] != "string" else docs.drop("held_out")
-    return score(rows, model).withColumn("held_out", crc_of(F.col("doc_id"), 4) == 2)
+    return score(docs.drop("held_out"), model).withColumn("held_out", crc_of(F.col("doc_id"), 4) == 2)

@@ -56,8 +56,9 @@ def test_pack(spark, odd_documents):
     got = pack(odd_documents, capacity=64, rows_a_group=2).collect()
     texts = {r.doc_id: r.text for r in odd_documents.collect()}
     assert Counter(r.doc_id for r in got if r.piece == 0) == Counter(r.doc_id for r in odd_documents.collect())
+    encoded = dict(zip(texts, exact([t or "" for t in texts.values()]), strict=True))  # each text once
     for r in got:
-        ids = np.array([*exact([texts[r.doc_id] or ""])[0], 0], dtype="<u4")
+        ids = np.array([*encoded[r.doc_id], 0], dtype="<u4")
         assert zlib.crc32(ids[r.start : r.start + r.length].tobytes()) == r.ids_crc32
     at = {}
     for r in got:
@@ -73,3 +74,9 @@ def test_pack(spark, odd_documents):
 
 def test_empty_table(spark, odd_documents):
     assert pack(odd_documents.where("false")).count() == 0
+
+
+def test_ids_beside_a_null_are_exact(spark):
+    big = 2**53 + 1
+    got = pack(spark.createDataFrame([(big, "a b"), (None, "a b"), (2**63 - 1, None)], "doc_id long, text string")).collect()
+    assert {r.doc_id for r in got} == {big, None, 2**63 - 1}
