@@ -1,18 +1,20 @@
-"""Main-text extraction: page structure first, a host's suffix array for what structure leaves open.
+"""Main-text extraction: page structure where a page marks its article, its host's suffix array for all other pages.
 
 A page is cut into blocks in one pass over its markup. If it marks its article (article, main, or a main
 role, class or id), the blocks in it that lie in no menu, notice, advert, form or comment are the text. Repeats must not
-decide there: copied articles are content. On pages without such a mark, the blocks outside all
+decide there: articles share passages with other pages of their host. On pages without such a mark, the blocks outside all
 recognised boilerplate are open. Their token streams are concatenated by host into a suffix array (sorted
 by the first `run` tokens); substrings of at least that length that stand in distinct pages of the host
-are boilerplate, and the unique runs between them are the text.
+are boilerplate, and the unique runs between them are the text. Copies are content, too: pages whose open
+texts are near-duplicates (see near_dedup) count as one page, so they do not remove what they share.
 
 Hosts are dealt over parts of bounded size by page, so a host with a third of all pages is many tasks. The
 suffix array finds what repeats in a part; runs that repeat in other parts of the host are found by their
 128-bit hashes, which are counted over the whole host, so results do not depend on its size.
 
 Defined results: null or empty html gives an empty text; a null url is a host of its own; broken markup is
-read as far as it goes; rows that repeat a page are one page for the repeats, and each gives a row.
+read as far as it goes, pages are read whole; rows that repeat a page are one page for the repeats, and each
+gives a row; other columns are left out.
 """
 
 from __future__ import annotations
@@ -25,11 +27,12 @@ from dataclasses import dataclass
 from itertools import pairwise
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import SLICE, ship, written
+from .near_dedup import near_duplicates
 
 #: The elements that end a block, those whose content is no text, those that nest, and the void ones among them.
 BLOCK = frozenset("address article aside blockquote body dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
@@ -199,14 +202,16 @@ def suffix_ranks(tokens: np.ndarray, depth: int) -> np.ndarray:
     return rank
 
 
-def repeated(pages: list[list[str]], run: int = RUN) -> list[np.ndarray]:
-    """For each page's tokens, which lie in a substring of at least `run` tokens that stands in distinct pages too."""
+def repeated(pages: list[list[str]], run: int = RUN, families: list[int] | None = None) -> list[np.ndarray]:
+    """For each page's tokens, which lie in a substring of at least `run` tokens that stands in distinct pages too.
+
+    families: a number for each page; pages with one number count as one."""
     words: dict[str, int] = {}
     lengths = [len(p) for p in pages]
     ids = [words.setdefault(w, len(words)) for p in pages for w in p]
     ends = np.cumsum([0, *(n + 1 for n in lengths)])
     stream = np.empty(ends[-1], dtype=np.int64)
-    owner = np.repeat(np.arange(len(pages)), [n + 1 for n in lengths])
+    owner = np.repeat(np.arange(len(pages)) if families is None else np.array(families, dtype=np.int64), [n + 1 for n in lengths])
     place = np.ones(len(stream), dtype=bool)
     place[ends[1:] - 1] = False
     stream[place] = ids
@@ -250,13 +255,13 @@ class RunHashes(dict):
         return out.view(np.int64)
 
 
-def unique_runs(pages: list[list[str]], run: int = RUN, elsewhere: list[list[int]] | None = None) -> list[str]:
+def unique_runs(pages: list[list[str]], run: int = RUN, elsewhere: list[list[int]] | None = None, families: list[int] | None = None) -> list[str]:
     """Each page's open blocks (white space already single) without the tokens that are covered by repeats.
 
-    elsewhere: for each page, where runs begin that repeat on pages that are not given."""
+    elsewhere: for each page, where runs begin that repeat on pages that are not given. families: see repeated()."""
     tokens = [[w for block in p for w in block.split(" ")] for p in pages]
     out = []
-    for page, gone, starts in zip(pages, repeated(tokens, run), elsewhere or [[]] * len(pages), strict=True):
+    for page, gone, starts in zip(pages, repeated(tokens, run, families), elsewhere or [[]] * len(pages), strict=True):
         for i in starts:
             gone[i : i + run] = True
         kept, at = [], 0
@@ -275,41 +280,46 @@ def main_text(pages: DataFrame, run: int = RUN, part_pages: int = PART_PAGES) ->
     shape = "page_id long, url string, text string"
 
     def read(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
         for b in batches:
-            got = [extract(p) for p in b.column(2).to_pylist()]
-            cols = [pa.array([t for t, _ in got], pa.string()), pa.array([o for _, o in got], pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], names=["page_id", "url", "text", "open"])
-
-    def settle(host: pd.DataFrame) -> pd.DataFrame:
-        same = host.drop_duplicates("key")
-        elsewhere = [[] if x is None else list(x) for x in same["elsewhere"]]
-        texts = dict(zip(same["key"], unique_runs([list(p) for p in same["open"]], run, elsewhere), strict=True))
-        return pd.DataFrame({"page_id": host["page_id"].astype("Int64"), "url": host["url"], "text": host["key"].map(texts)})
+            for at in range(0, b.num_rows, SLICE):
+                part = b.slice(at, SLICE)
+                got = [extract(p) for p in part.column(2).to_pylist()]
+                cols = [pa.array([t for t, _ in got], pa.string()), pa.array([o for _, o in got], pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *cols], names=["page_id", "url", "text", "open"])
+
+    def settle(host: pa.Table) -> pa.Table:
+        keys = host["key"].to_pylist()
+        first = {k: i for i, k in reversed(list(enumerate(keys)))}  # rows that repeat a page are one
+        same = host.take(pa.array(list(first.values()), pa.int64()))
+        texts = unique_runs(same["open"].to_pylist(), run, [x or [] for x in same["elsewhere"].to_pylist()], same["family"].to_pylist())
+        by_key = dict(zip(first, texts, strict=True))
+        return host.select(["page_id", "url"]).append_column("text", pa.array([by_key[k] for k in keys], pa.string()))
 
     def runs(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
         hashes = RunHashes()
         for b in batches:
-            for host, key, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for host, key, family, page in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 h1, h2 = hashes.of([w for block in page for w in block.split(" ")], run)
-                cols = [pa.array([host] * len(h1), pa.string()), pa.array(h1), pa.array(h2), pa.array(np.full(len(h1), key, dtype=np.int64)), pa.array(np.arange(len(h1), dtype=np.int32))]
-                yield pa.RecordBatch.from_arrays(cols, names=["host", "h1", "h2", "key", "at"])
+                cols = [pa.array([host] * len(h1), pa.string()), pa.array(h1), pa.array(h2), *(pa.array(np.full(len(h1), x, dtype=np.int64)) for x in (key, family)), pa.array(np.arange(len(h1), dtype=np.int32))]
+                yield pa.RecordBatch.from_arrays(cols, names=["host", "h1", "h2", "key", "family", "at"])
 
+    ship(pages.sparkSession)
     # what extract() finds decides; each page is parsed once
     pages = written(rows.mapInArrow(read, f"{shape}, open array<string>"), "pages")
     found = pages.where("text != ''").select("page_id", "url", "text")
     loose = pages.where("text = ''").select("page_id", "url", "open")
     host = F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit("")).alias("host")
     loose = loose.select("*", host, F.xxhash64("page_id", "url", "open").alias("key"))
+    if loose.isEmpty():
+        return found
+    same = near_duplicates(loose.select("key", F.array_join("open", " ").alias("t")), id_col="key", text_col="t").select(F.col("doc_id").alias("key"), F.col("component_id").alias("family")).distinct()
+    loose = loose.join(same, "key")
     parts = loose.groupBy("host").agg(F.ceil(F.count("*") / F.lit(part_pages)).cast("int").alias("parts"))
     dealt = loose.join(parts, "host").withColumn("part", F.pmod("key", F.col("parts")))
     if parts.where("parts > 1").isEmpty():
         dealt = dealt.withColumn("elsewhere", F.lit(None).cast("array<int>"))
     else:
-        places = dealt.where("parts > 1").select("host", "key", "open").mapInArrow(runs, "host string, h1 long, h2 long, key long, at int")
-        shared = places.groupBy("host", "h1", "h2").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a != b").select("host", "h1", "h2")
+        places = dealt.where("parts > 1").select("host", "key", "family", "open").mapInArrow(runs, "host string, h1 long, h2 long, key long, family long, at int")
+        shared = places.groupBy("host", "h1", "h2").agg(F.min("family").alias("a"), F.max("family").alias("b")).where("a != b").select("host", "h1", "h2")
         dealt = dealt.join(places.join(shared, ["host", "h1", "h2"]).groupBy("key").agg(F.collect_set("at").alias("elsewhere")), "key", "left")
-    return found.unionByName(dealt.groupBy("host", "part").applyInPandas(settle, shape))
+    return found.unionByName(dealt.groupBy("host", "part").applyInArrow(settle, shape))

@@ -122,3 +122,42 @@ def test_driver_pages(spark):
         inner = re.search(r"(?s)<article>(.*)</article>", pages[r.page_id])[1]
         want = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", x.replace("<br>", " "))).split()) for x in re.split(r"</?(?:p|h1|article)>", inner)]
         assert r.text == "\n".join(x for x in want if x)
+
+
+def test_ids_beside_a_null_are_exact(spark):
+    big = 2**53 + 1
+    data = [(big, "http://a.example/1", "<p>one</p>"), (None, "http://a.example/2", "<p>two</p>"), (2**63 - 1, "http://a.example/3", "<article>x</article>")]
+    got = main_text(spark.createDataFrame(data, "page_id long, url string, html string")).collect()
+    assert {(r.page_id, r.text) for r in got} == {(big, "one"), (None, "two"), (2**63 - 1, "x")}
+
+
+def test_copies_are_content(spark):
+    rng = np.random.default_rng(4)
+    menu = "<p>" + " ".join(f"menu{i}" for i in range(12)) + "</p>"
+    base = [f"w{x}" for x in rng.integers(0, 10_000, 200)]
+    data = []
+    for i in range(40):
+        w = list(base) if i < 12 else [f"v{x}" for x in rng.integers(0, 10_000, 200)]
+        if i % 3 == 0:
+            w[int(rng.integers(0, 200))] = f"changed{i}"
+        data.append((i, f"http://a.example/{i}", f"{menu}<p>{' '.join(w)}</p>"))
+    df = spark.createDataFrame(data, "page_id long, url string, html string")
+    want = [(i, h.split("<p>")[2].removesuffix("</p>")) for i, _, h in data]
+    for pages in (2000, 7):
+        assert rows(main_text(df, part_pages=pages), "page_id", "text") == sorted(want, key=repr)
+
+
+def test_large_page(spark):
+    body = " ".join(f"w{i}" for i in range(400_000))
+    df = spark.createDataFrame([(1, "http://a.example/1", f"<nav>m</nav><article><p>{body}</p></article>"), (2, "http://a.example/2", f"<p>{body}</p>")], "page_id long, url string, html string")
+    assert {r.text for r in main_text(df).collect()} == {body}
+
+
+def test_pages_that_lose_their_article_mark(spark):
+    """The suffix array on all driver pages: near all text is what structure gives; repeats of unlike pages go."""
+    df = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    marked = {r.page_id: r.text.split() for r in main_text(df).collect()}
+    bare = {r.page_id: r.text.split() for r in main_text(df.selectExpr("page_id", "url", "regexp_replace(html, '</?article>', '') AS html")).collect()}
+    extra = sum(len(bare[i]) > len(w) for i, w in marked.items())
+    kept = sum(len(bare[i]) for i in marked) / sum(map(len, marked.values()))
+    assert extra == 0 and kept > 0.95
