@@ -42,6 +42,8 @@ CHUNK = 1 << 17
 LARGE = 24
 #: So many members of a component are tried in that join before all are.
 MEMBERS = 8
+#: So many shingles before one tell whether a pair has met already.
+BEFORE = 16
 #: Candidate ids that may be broadcast (16 bytes each), and hubs (32 bytes).
 MAX_BROADCAST, MAX_HUBS = 2_000_000, 300_000
 
@@ -194,9 +196,10 @@ def with_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     classes = sig.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.min("key").alias("key"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     classes = written(classes.select(F.monotonically_increasing_id().alias("cls"), "*"), "classes")
 
-    members = classes.select(F.explode("bands").alias("bucket"), "cls", "n").repartition("bucket")
-    shared = members.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
-    live = written(members.join(shared, "bucket"), "buckets")
+    members = classes.select(F.explode("bands").alias("bucket"), "cls", "n")
+    # most buckets hold one class: they are told apart by counts, so only members of shared buckets move
+    shared = written(members.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket"), "shared")
+    live = written(members.join(F.broadcast(shared) if shared.count() <= MAX_BROADCAST else shared, "bucket"), "buckets")
     comp = verified(live, classes, base, words, percent)
 
     known = classes.select("h1", "h2", "first", "cls")
@@ -217,30 +220,33 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
 
 
 def prefixes(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """cls, n, token, pos, short: the rarest shingles of each member (cls, n), which linked sets must share.
+    """cls, n, token, pos, short, prev: the rarest shingles of each member (cls, n), which linked sets must share.
 
     Shingles are ordered by how few of the members hold them. Linked sets share a shingle within the first
-    n - ceil(p n) + 1 of the larger and n - ceil(2 p n / (1 + p)) + 1 (marked short) of the smaller one."""
+    n - ceil(p n) + 1 of the larger and n - ceil(2 p n / (1 + p)) + 1 (marked short) of the smaller one. prev: the
+    BEFORE shared shingles before this one in the member's order."""
     tokens = written(members.join(sets, "cls").select("cls", "n", F.explode("items").alias("token")), "tokens")
     held = tokens.groupBy("token").agg(F.count("*").alias("df"))
     order = F.row_number().over(Window.partitionBy("cls").orderBy("df", "token"))
     probe = F.col("n") - F.expr(f"({percent} * n + 99) div 100") + 1
     index = F.col("n") - F.expr(f"({2 * percent} * n + {99 + percent}) div {100 + percent}") + 1
     prefix = tokens.join(held, "token").withColumn("pos", order).where((F.col("pos") <= probe) & (F.col("df") > 1))
-    return written(prefix.select("cls", "n", "token", "pos", (F.col("pos") <= index).alias("short")), "prefixes")
+    prev = F.collect_list("token").over(Window.partitionBy("cls").orderBy("pos").rowsBetween(-BEFORE, -1))
+    return written(prefix.select("cls", "n", "token", "pos", (F.col("pos") <= index).alias("short"), prev.alias("prev")), "prefixes")
 
 
 def prefix_pairs(prefix: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
     """Pairs in different components (cls, comp) that may be linked: an exact filter, not a sketch.
 
-    At their first common shingle enough of both sets must be left to reach the needed overlap."""
+    At their first common shingle enough of both sets must be left to reach the needed overlap. A pair is made there
+    and not again at later ones, as far as the shingles before show that they are later."""
     named = prefix.join(comps, "cls")
     x, y = named.alias("x"), named.where("short").alias("y")
-    c = {k: F.col(k) for k in ("x.cls", "x.n", "x.pos", "x.comp", "y.cls", "y.n", "y.pos", "y.comp")}
+    c = {k: F.col(k) for k in ("x.cls", "x.n", "x.pos", "x.comp", "x.prev", "y.cls", "y.n", "y.pos", "y.comp", "y.prev")}
     needed = F.ceil(percent * (c["x.n"] + c["y.n"]) / F.lit(100 + percent))
     smaller = (c["y.n"] < c["x.n"]) | ((c["y.n"] == c["x.n"]) & (c["y.cls"] < c["x.cls"]))
     left = 1 + F.least(c["x.n"] - c["x.pos"], c["y.n"] - c["y.pos"])
-    fits = smaller & (100 * c["y.n"] >= percent * c["x.n"]) & (c["x.comp"] != c["y.comp"]) & (left >= needed)
+    fits = smaller & (100 * c["y.n"] >= percent * c["x.n"]) & (c["x.comp"] != c["y.comp"]) & (left >= needed) & ~F.arrays_overlap(c["x.prev"], c["y.prev"])
     both = x.join(y, (F.col("x.token") == F.col("y.token")) & fits)
     a, b = F.struct("x.cls", "x.n", "x.comp"), F.struct("y.cls", "y.n", "y.comp")
     pairs = both.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
