@@ -168,15 +168,15 @@ def places(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int,
     return sorted(rows)
 
 
-def pack(docs: DataFrame, capacity: int = 2048, separator: int = 0, paths: tuple[str, str] | None = None, rows_a_group: int = 50_000) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = 2048, separator: int = 0, paths: tuple[str, str] | None = None, rows_a_group: int = 1_000) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row a piece."""
     ship(docs.sparkSession)
     pieces = written(tokenize(docs, capacity, separator, paths or tokenizer_paths()), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     rows = places(plan(counts, capacity))
     # ranks among equal lengths: a frequent length is dealt over groups, whose sizes give each group its first rank
-    groups = max(1, -(-max(counts.values(), default=0) // rows_a_group))
-    dealt = pieces.withColumn("__g", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
+    spread = docs.sparkSession.createDataFrame([(n, -(-c // rows_a_group)) for n, c in sorted(counts.items())], "length long, __groups long")
+    dealt = pieces.join(F.broadcast(spread), "length").withColumn("__g", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("__groups"))).drop("__groups")
     sizes = dealt.groupBy("length", "__g").agg(F.count("*").alias("__n"))
     before = Window.partitionBy("length").orderBy("__g").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("length", "__g", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
