@@ -58,3 +58,17 @@ def test_empty_tables(spark, odd_documents):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     assert decontaminate(odd_documents.where("false"), bench).count() == 0
     assert decontaminate(odd_documents, bench.where("false")).where("contaminated").count() == 0
+
+
+def test_clashing_names_and_repeated_ids(spark):
+    names = ["__text", "__spans", "__items", "__words", "__got", "n_words", "contaminated", "t"]
+    docs = spark.createDataFrame([(1, "w5 " * 12, *[0] * 8), (1, "own words", *[1] * 8), (None, None, *[2] * 8)], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    for options in ({}, {"block_bytes": 40}):
+        got = check(spark, docs, ITEMS, **options)
+        assert set(docs.columns) <= set(got.columns) and sorted(r.t for r in got.collect()) == [0, 1, 2]
+
+
+def test_long_document(spark):
+    text = " ".join(f"w{i % 7}" for i in range(200_000)) + " " + " ".join(f"passage{i}" for i in range(20, 45))
+    got = decontaminate(spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame(ITEMS, "item_id long, text string")).first()
+    assert (got.n_words, got.n_hit, got.n_items) == (200_025, 25, 1)

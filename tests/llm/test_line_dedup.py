@@ -65,3 +65,9 @@ def test_query_hash(spark):
     first = op1_line_dedup(spark, "/root/testdata/sf0.001").where("n_dropped = 0").orderBy("doc_id").first()
     text = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where(f"doc_id = {first.doc_id}").first().text
     assert first.kept_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_clashing_names_null_ids_and_the_largest_id(spark):
+    docs = spark.createDataFrame([(2**63 - 1, "a line of some length\nown line one", 1, 2, 3), (None, "a line of some length\nown line two", 1, 2, 3), (None, "own line two", 4, 5, 6)], "doc_id long, text string, __t int, __k1 int, __lines int")
+    got = check(spark, docs)
+    assert got.columns == [*docs.columns, "n_lines", "n_dropped"] and {r.n_dropped for r in got.collect()} == {0, 1}

@@ -91,3 +91,11 @@ def test_signatures_estimate_jaccard():
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 30)] + [(50, 40), (50, 60), (7, 3)], "a long, b long")
     assert rows(components(edges)) == sorted([(i, 1) for i in range(1, 31)] + [(i, 40) for i in (40, 50, 60)], key=repr)
+
+
+def test_repeated_ids_follow_their_own_texts(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
+    docs = spark.createDataFrame([(5, a), (6, a), (6, b), (6, b), (2**63 - 1, b + " c"), (None, a), (None, "alone here")], "doc_id long, text string")
+    got = rows(near_duplicates(docs), "doc_id", "component_id", "kept")
+    want = [(5, 5, True), (6, 5, False), (6, 6, True), (6, 6, True), (2**63 - 1, 6, False), (None, 5, False), (None, None, True)]
+    assert got == sorted(want, key=repr)

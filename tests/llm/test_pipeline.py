@@ -1,12 +1,19 @@
+import os
+import subprocess
+import sys
+from pathlib import Path
+
 import numpy as np
 
 import corpus_pipeline as p
+from tests.conftest import rows
 from tests.llm.test_decontaminate import brute as contamination
 from tests.llm.test_line_dedup import brute as lines
 from tests.llm.test_near_dedup import brute as groups
 from tests.llm.test_packing import exact
 
 SF = "/root/testdata/sf0.001"
+ROOT = Path(__file__).resolve().parents[2]
 
 
 def test_stages_equal_brute_force(spark):
@@ -52,4 +59,31 @@ def test_odd_documents(spark, odd_documents, tmp_path):
 
 def test_run(spark):
     assert [n for n, _ in p.STAGES] == ["toxicity", "line_dedup", "near_dedup", "decontaminate", "pack"]
-    assert p.run(spark, SF).count() > 0
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for _, stage in p.STAGES:
+        docs = stage(spark, docs, SF)
+    got = p.run(spark, SF)
+    key = ("doc_id", "piece", "start", "length", "ids_crc32")
+    assert rows(got, *key) == rows(docs, *key) and got.count() > 0
+
+
+def test_repeated_ids_with_unlike_texts_stay(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
+    docs = spark.createDataFrame([(5, a, 0), (6, a, 1), (6, b, 2), (None, b + " c", 3), (None, None, 4)], "doc_id long, text string, __key int")
+    assert rows(p.drop_near_duplicates(spark, docs, SF), "doc_id", "__key") == sorted([(5, 0), (6, 2), (None, 4)], key=repr)
+
+
+def test_an_operator_can_be_the_first_call_of_a_driver(tmp_path):
+    """Workers that have no copy of the package get it before the first function is made."""
+    code = f"""
+import sys; sys.path.insert(0, {str(ROOT)!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", {str(tmp_path)!r}).getOrCreate()
+from helixframe.llm import {{module}} as m
+docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+pages = spark.createDataFrame([(1, "http://a.example/", "<p>x</p>")], "page_id long, url string, html string")
+assert {{call}}.count() == 1
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    for module, call in (("packing", "m.pack(docs)"), ("html_extract", "m.main_text(pages)"), ("near_dedup", "m.near_duplicates(docs)")):
+        subprocess.run([sys.executable, "-c", code.format(module=module, call=call)], check=True, timeout=200, cwd=tmp_path, env=env)

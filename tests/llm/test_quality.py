@@ -37,3 +37,26 @@ def test_odd_documents(spark, odd_documents):
     assert len(got) == odd_documents.count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= CUT) for r in got)
     assert score(odd_documents.where("false"), m).count() == 0
     assert all(r.score == 1 for r in quality(odd_documents, labels.where("false")).collect())
+
+
+def test_learning_equals_plain_gradient_descent():
+    """The coefficients minimise the logistic loss of feature differences, as plain descent over the same pairs finds."""
+    from helixframe.llm.learning import newton
+
+    rng = np.random.default_rng(3)
+    d = rng.normal(size=(500, 4)) + [0.5, -0.2, 0.0, 0.1]
+    w = np.zeros(4)
+    for _ in range(4000):
+        w -= 0.002 * (d.T @ (1 / (1 + np.exp(-d @ w)) - 1) + 0.05 * w)
+    assert np.allclose(newton(d, np.ones(500), 0.05), w, atol=1e-4)
+
+
+def test_scores_equal_a_plain_scorer(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(spark.createDataFrame([(-1, None), (-2, ""), (-3, "A b. " * 50_000)], "doc_id long, text string"))
+    m = fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    for r in score(docs, m).collect():
+        z = [max(-6, min(6, (a - b) / c)) for a, b, c in zip(describe(texts[r.doc_id]), m.mean, m.scale, strict=True)]
+        raw = sum(a * b for a, b in zip([*z, *(a * a for a in z)], m.coef, strict=True)) - m.cut + np.log(CUT / (1 - CUT))
+        assert np.isclose(r.score, 1 / (1 + np.exp(-np.clip(raw, -30, 30)))) and r.predicted == (r.score >= CUT)

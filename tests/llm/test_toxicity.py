@@ -1,9 +1,13 @@
+import math
 import zlib
 from collections import Counter
+from itertools import product
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
-from helixframe.llm.learning import CUT
+from helixframe.llm.learning import CUT, labelled_texts
 from helixframe.llm.queries import op8_toxicity
 from helixframe.llm.toxicity import CharModel, Restorer, char_model, fit, readings, score, toxicity, viterbi
 
@@ -137,3 +141,51 @@ def test_driver_table(spark):
     labels = {r.doc_id: r.toxic for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
     held = [(r.predicted, labels[r.doc_id]) for r in op8_toxicity(spark, "/root/testdata/sf0.01").collect() if r.held_out and r.doc_id in labels]
     assert sum(p == y for p, y in held) >= 0.85 * len(held)
+
+
+def cheapest(lattice, lm):
+    """The least cost over all readings, one by one: blanks end a word and begin one."""
+    best = None
+    for pick in product(*lattice):
+        words = "".join(t for t, _ in pick).split(" ")
+        cost = sum(c for _, c in pick) + sum(lm.word_cost(w) for w in words)
+        best = cost if best is None else min(best, cost)
+    return best
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text("aidot01$@!.-s", min_size=1, max_size=7))
+def test_decoder_equals_enumeration(token):
+    lm = model()
+    lattice = readings(token)
+    text, cost = viterbi(lattice, lm)
+    assert cost == pytest.approx(cheapest(lattice, lm))
+    spaced = [opts for o in lattice for opts in (o, [("", 0.0), (" ", 0.0)])][:9]
+    assert viterbi(spaced, lm)[1] == pytest.approx(cheapest(spaced, lm))
+
+
+def test_scores_equal_a_plain_scorer(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(spark.createDataFrame([(-1, None), (-2, "")], "doc_id long, text string"))
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    m = fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text"), labels)
+    assert m.weights
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    restore = Restorer(m.lm)
+    for r in score(docs, m).collect():
+        words = restore.words(texts[r.doc_id] or "")
+        found = {}
+        for w in words:
+            if w in m.weights or "^" + w[:5] in m.weights:
+                found.setdefault(w, [max(m.weights.get(w, 0.0), m.weights.get("^" + w[:5], 0.0)), 0])[1] += 1
+        strong = sorted((w for w, _ in found.values()), reverse=True)
+        total, hits = sum(w * n for w, n in found.values()), sum(n for _, n in found.values())
+        x = [1.0, math.log1p(hits), strong[0] if strong else 0.0, sum(strong[:3]), total / math.sqrt(1 + len(words)), 10 * total / (10 + len(words))]
+        z = sum(a * b for a, b in zip(x, m.coef, strict=True)) - m.cut + math.log(CUT / (1 - CUT))
+        assert r.score == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, z))))) and r.predicted == (r.score >= CUT)
+
+
+def test_repeated_ids_do_not_grow_the_sample(spark):
+    docs = spark.createDataFrame([(i % 4, f"w{i} text") for i in range(400)], "doc_id long, text string")
+    rows = labelled_texts(docs, spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id long, toxic int"), "toxic", None)
+    assert sorted((r.doc_id, r.label, r.text) for r in rows.collect()) == [(i, i % 2, min(f"w{j} text" for j in range(i, 400, 4))) for i in range(4)]
