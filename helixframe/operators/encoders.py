@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +37,43 @@ def pre_activations(x: DataFrame, weights: DataFrame, row: str = "row") -> DataF
     return x.join(weights, "dim").groupBy(row, "feature").agg((F.sum(F.col("x") * F.col("w")) + F.first("b")).alias("pre"))
 
 
+#: The most weights (8 bytes each) that encode() hands to every task.
+MAX_WEIGHTS = 20_000_000
+
+
+def encode(df: DataFrame, weights: DataFrame, k: int, row: str = "row", vector: str = "x") -> DataFrame:
+    """(row, feature, act): the k highest positive activations of each vector, ties to the lower feature; NaN counts as 0.
+
+    One matrix product a batch, with the k highest taken in the same pass. weights: (feature, dim, w, b), a model of
+    bounded size; a larger one takes pre_activations() and top_k(), which join."""
+    n = weights.count()
+    if n > MAX_WEIGHTS:
+        acts = pre_activations(long_form(df, row, vector), weights, row).withColumn("act", relu(F.col("pre")))
+        return top_k(acts.drop("pre"), k, row)
+    table = weights.select("feature", "dim", "w", "b").toPandas()
+    features = np.sort(table["feature"].unique())
+    place = np.searchsorted(features, table["feature"])
+    w, b = np.zeros((len(features), int(table["dim"].max()) + 1 if n else 0)), np.zeros(len(features))
+    w[place, table["dim"]], b[place] = table["w"], table["b"]
+    kind = df.schema[row].dataType.simpleString()
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for part in batches:
+            for at in range(0, part.num_rows, 1024):
+                rows = part.slice(at, 1024)
+                x = np.nan_to_num(np.array(rows.column(1).to_pylist(), dtype=np.float64).reshape(rows.num_rows, -1), nan=0.0)
+                act = np.maximum(x @ w[:, : x.shape[1]].T + b, 0)
+                best = np.argsort(-act, axis=1, kind="stable")[:, :k]
+                got = np.take_along_axis(act, best, axis=1)
+                i, j = np.nonzero(got > 0)
+                yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(i)), pa.array(features[best[i, j]].astype(np.int32)), pa.array(got[i, j])], names=[row, "feature", "act"])
+
+    vectors = df.select(row, F.col(vector).cast("array<double>")).where(F.col(vector).isNotNull())
+    return vectors.mapInArrow(run, f"`{row}` {kind}, feature int, act double")
+
+
 def relu(pre: Column) -> Column:
     return F.greatest(pre, F.lit(0.0))
 

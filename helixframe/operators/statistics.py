@@ -7,14 +7,39 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intervals import null_safe_join
+
+
+def ordered_bin(column: Column, bounds: Column) -> Column:
+    """How many of the bounds (ascending) lie below the value: rising with it."""
+    return F.size(F.filter(bounds, lambda x: x < column))
+
+
+def quantile_bounds(column: str, parts: int) -> Column:
+    """An aggregate: about equal shares of the values lie between its bounds. A sketch, so of bounded size."""
+    return F.array_distinct(F.percentile_approx(column, [i / parts for i in range(1, parts)], 50 * parts))
+
 
 def bh(df: DataFrame, p: str, keys: Sequence[str], tie: str) -> DataFrame:
-    """Adds q: Benjamini-Hochberg over the rows of each key."""
-    up = Window.partitionBy(*keys).orderBy(F.col(p).asc(), F.col(tie).asc())
-    n = F.count("*").over(Window.partitionBy(*keys))
-    scaled = df.withColumn("__s", F.col(p) * n / F.row_number().over(up))
-    least = F.min("__s").over(up.rowsBetween(0, Window.unboundedFollowing))
-    return scaled.withColumn("q", F.least(F.lit(1.0), F.greatest(F.lit(0.0), least))).drop("__s")
+    """Adds q: Benjamini-Hochberg over the rows of each key.
+
+    Rows are ranked within bins of p, small ones by magnitude; only one row a bin meets by key."""
+    keys = list(keys)
+    c = F.col(p)
+    small = F.floor(F.log2(F.greatest(c, F.lit(1e-300))) * 8)
+    rows = df.withColumn("__bin", F.when(c < 2.0**-10, small).otherwise(F.floor(c * 4096)).cast("long"))
+    at = [*keys, "__bin"]
+    every = Window.partitionBy(*keys)
+    counted = rows.groupBy(*at).agg(F.count("*").alias("__c"))
+    base = F.coalesce(F.sum("__c").over(every.orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counted = counted.select(*at, base.alias("__base"), F.sum("__c").over(every).alias("__n"))
+    here = Window.partitionBy(*at).orderBy(c.asc(), F.col(tie).asc())
+    scaled = null_safe_join(rows, counted, at).withColumn("__s", c * F.col("__n") / (F.col("__base") + F.row_number().over(here)))
+    least = scaled.groupBy(*at).agg(F.min("__s").alias("__least"))
+    after = F.min("__least").over(every.orderBy("__bin").rowsBetween(1, Window.unboundedFollowing))
+    out = null_safe_join(scaled, least.select(*at, after.alias("__after")), at)
+    q = F.least(F.min("__s").over(here.rowsBetween(0, Window.unboundedFollowing)), F.col("__after"))
+    return out.withColumn("q", F.least(F.lit(1.0), F.greatest(F.lit(0.0), q))).select(*df.columns, "q")
 
 
 def empirical_p(exceed: Column, permutations: Column | int) -> Column:
@@ -42,11 +67,40 @@ def reconstruction(df: DataFrame, x: str, x_hat: str, dim: str) -> DataFrame:
     return by.agg(F.avg("m").alias("mse"), F.stddev_samp("m").alias("mse_std"), F.max("m").alias("mse_max"), explained.alias("variance_explained"))
 
 
-def summary(df: DataFrame, column: str, keys: Sequence[str] = (), percentiles: Sequence[float] = (0.5, 0.9, 0.99, 0.999)) -> DataFrame:
+def percentiles(df: DataFrame, column: str, keys: Sequence[str], names: dict[float, str], parts: int = 64) -> DataFrame:
+    """keys..., and each percentile (exact, linear interpolation) under its name.
+
+    Bounds from a sketch cut each key's values into parts; ranks are counted by part, and only the parts that hold a
+    wanted rank are sorted."""
+    keys = list(keys)
+    held = df.where(F.col(column).isNotNull()).groupBy(*keys, F.col(column).cast("double").alias("__v")).agg(F.count("*").alias("__c"))
+    bounds = held.groupBy(*keys).agg(quantile_bounds("__v", parts).alias("__bounds"))
+    rows = null_safe_join(held, bounds, keys) if keys else held.crossJoin(F.broadcast(bounds))  # one row of bounds
+    rows = rows.withColumn("__part", ordered_bin(F.col("__v"), F.col("__bounds"))).drop("__bounds")
+    at = [*keys, "__part"]
+    sizes = rows.groupBy(*at).agg(F.sum("__c").alias("__n"))
+    every = Window.partitionBy(*keys)
+    base = F.coalesce(F.sum("__n").over(every.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(*at, "__n", base.alias("__base"), F.sum("__n").over(every).alias("__all"))
+    place = lambda q: F.lit(float(q)) * (F.col("__all") - 1)
+    wanted = [F.struct(F.lit(name).alias("name"), F.lit(i).alias("side"), (F.floor(place(q)) if i == 0 else F.ceil(place(q))).cast("long").alias("rank"), (place(q) - F.floor(place(q))).alias("share")) for q, name in names.items() for i in (0, 1)]
+    asked = sizes.withColumn("__w", F.explode(F.array(*wanted))).where((F.col("__w.rank") >= F.col("__base")) & (F.col("__w.rank") < F.col("__base") + F.col("__n")))
+    parts_asked = asked.select(*at, "__base").distinct()
+    here = Window.partitionBy(*at).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = null_safe_join(rows, parts_asked, at).withColumn("__to", F.col("__base") + F.sum("__c").over(here)).drop("__base")
+    found = null_safe_join(ranked, asked.select(*at, "__w"), at).where((F.col("__w.rank") < F.col("__to")) & (F.col("__w.rank") >= F.col("__to") - F.col("__c")))
+    pick = lambda name, side: F.max(F.when((F.col("__w.name") == name) & (F.col("__w.side") == side), F.col("__v")))
+    share = lambda name: F.max(F.when(F.col("__w.name") == name, F.col("__w.share")))
+    return found.groupBy(*keys).agg(*[(pick(n, 0) + (pick(n, 1) - pick(n, 0)) * share(n)).alias(n) for n in names.values()])
+
+
+def summary(df: DataFrame, column: str, keys: Sequence[str] = (), percents: Sequence[float] = (0.5, 0.9, 0.99, 0.999)) -> DataFrame:
     """count, mean, std, min, max and exact percentiles (linear interpolation)."""
-    c = F.col(column)
-    names = {p: "p" + f"{100 * p:g}".replace(".", "_") for p in percentiles}
-    return df.groupBy(*keys).agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"), *[F.percentile(c, F.lit(p)).alias(a) for p, a in names.items()])
+    c, keys = F.col(column), list(keys)
+    names = {p: "p" + f"{100 * p:g}".replace(".", "_") for p in percents}
+    plain = df.groupBy(*keys).agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"))
+    cut = percentiles(df, column, keys, names)
+    return null_safe_join(plain, cut, keys, "left") if keys else plain.join(cut, F.lit(True), "left")
 
 
 def value_counts(df: DataFrame, column: str, top: int) -> DataFrame:

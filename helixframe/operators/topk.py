@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .intervals import small
+from .statistics import ordered_bin, quantile_bounds
 
 
 def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str = "rank") -> DataFrame:
@@ -168,20 +169,37 @@ def seeded_sample(df: DataFrame, n: int, columns: Sequence[str], seed: int) -> D
     return df.orderBy(F.substring(F.md5(text), 1, 15), *columns).limit(n)
 
 
-def weighted_sample(df: DataFrame, n: int, weight: str, tie: str) -> DataFrame:
-    """n draws with replacement in proportion to weight, at evenly spaced points of the cumulated weights."""
-    total = F.sum(weight).over(Window.partitionBy())
-    run = F.sum(weight).over(Window.orderBy(tie).rowsBetween(Window.unboundedPreceding, 0))
-    c = df.where(F.col(weight) > 0).withColumns({"__hi": run / total * n, "__lo": (run - F.col(weight)) / total * n})
+def weighted_sample(df: DataFrame, n: int, weight: str, tie: str, parts: int = 64) -> DataFrame:
+    """n draws with replacement in proportion to weight, at evenly spaced points of the weights cumulated by tie (a number).
+
+    Weights are summed within parts of about equal size, and the parts' sums are carried on."""
+    rows = df.where(F.col(weight) > 0)
+    bounds = rows.agg(quantile_bounds(tie, parts)).first()[0] or []
+    rows = rows.withColumn("__part", ordered_bin(F.col(tie), F.array(*[F.lit(x) for x in bounds]).cast("array<double>")))
+    sums = rows.groupBy("__part").agg(F.sum(weight).alias("__sum"))
+    order = Window.orderBy("__part")  # at most `parts` rows
+    before = F.coalesce(F.sum("__sum").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    sums = sums.select("__part", before.alias("__before"), F.sum("__sum").over(Window.partitionBy()).alias("__total"))
+    run = F.col("__before") + F.sum(weight).over(Window.partitionBy("__part").orderBy(tie).rowsBetween(Window.unboundedPreceding, 0))
+    c = rows.join(F.broadcast(sums), "__part").withColumn("__run", run)
+    c = c.withColumns({"__hi": F.col("__run") / F.col("__total") * n, "__lo": (F.col("__run") - F.col(weight)) / F.col("__total") * n})
     hits = F.ceil(F.col("__hi") - 0.5) - F.ceil(F.col("__lo") - 0.5)
-    return c.withColumn("__n", hits).where("__n > 0").withColumn("draw", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n")))).drop("__hi", "__lo", "__n")
+    out = c.withColumn("__n", hits).where("__n > 0").withColumn("draw", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n"))))
+    return out.select(*df.columns, "draw")
 
 
-def ordinal(df: DataFrame, column: str, order: str) -> DataFrame:
-    """Adds code: 0, 1, ... by first appearance of the value."""
-    first = df.groupBy(column).agg(F.min(order).alias("__f"))
-    return df.join(first.withColumn("code", F.dense_rank().over(Window.orderBy("__f")) - 1).drop("__f"), column)
+def ordinal(df: DataFrame, column: str, order: str, parts: int = 64) -> DataFrame:
+    """Adds code: 0, 1, ... by first appearance of the value in order of a number; equal first places share a code.
 
+    Codes are counted within parts of about equal size, and the parts' counts are carried on."""
+    first = df.groupBy(column).agg(F.min(order).alias("__f"))
+    bounds = first.agg(quantile_bounds("__f", parts)).first()[0] or []
+    first = first.withColumn("__part", ordered_bin(F.col("__f"), F.array(*[F.lit(x) for x in bounds]).cast("array<double>")))
+    sizes = first.groupBy("__part").agg(F.countDistinct("__f").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # at most `parts` rows
+    code = F.col("__before") + F.dense_rank().over(Window.partitionBy("__part").orderBy("__f")) - 1
+    codes = first.join(F.broadcast(sizes.select("__part", before.alias("__before"))), "__part").withColumn("code", code.cast("int"))
+    return df.join(codes.select(column, "code"), column)
 
 
 def appended(tables: Sequence[DataFrame]) -> DataFrame:

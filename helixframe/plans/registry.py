@@ -135,9 +135,7 @@ def sparsity_metrics(spark, sf_dir):
 
 @query(f"WITH {NEURON_X}, w AS (SELECT f AS feature, d AS dim, ((f * 7 + d * 3) % 11 - 5) / 10.0::DOUBLE AS w FROM range(32) a(f), range(64) b(d)), h AS (SELECT vec_id, feature, greatest(sum(v * w) + 0.01 * feature, 0) AS act FROM x JOIN w USING (dim) GROUP BY 1, 2) SELECT vec_id, CAST(feature AS INTEGER) AS feature, round(act, 6) AS act FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY act DESC, feature) AS r FROM h WHERE act > 0) WHERE r <= 4")
 def sae_encode_topk(spark, sf_dir):
-    x = encoders.long_form(read(spark, sf_dir, "embeddings"), "vec_id", "embedding")
-    acts = encoders.pre_activations(x, toy_weights(spark), "vec_id").withColumn("act", encoders.relu(F.col("pre"))).drop("pre")
-    return rounded(encoders.top_k(acts, 4, "vec_id"), "act")
+    return rounded(encoders.encode(read(spark, sf_dir, "embeddings"), toy_weights(spark), 4, "vec_id", "embedding"), "act")
 
 
 def toy_weights(spark: SparkSession) -> DataFrame:
