@@ -42,6 +42,8 @@ CHUNK = 1 << 17
 LARGE = 24
 #: So many members of a component are tried in that join before all are.
 MEMBERS = 8
+#: A shingle in more members than this is frequent; so many frequent ones (16 bytes each) are handed to every task.
+FREQUENT, MAX_FREQUENT = 16, 1_000_000
 #: So many shingles before one tell whether a pair has met already.
 BEFORE = 16
 #: Candidate ids that may be broadcast (16 bytes each), and hubs (32 bytes).
@@ -222,15 +224,51 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
 def prefixes(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """cls, n, token, pos, short, prev: the rarest shingles of each member (cls, n), which linked sets must share.
 
-    Shingles are ordered by how few of the members hold them. Linked sets share a shingle within the first
+    Any order of shingles gives an exact filter, and rare ones first a narrow one. Shingles that more than FREQUENT
+    members hold come last, by how many do; the others are all rare enough. Linked sets share a shingle within the first
     n - ceil(p n) + 1 of the larger and n - ceil(2 p n / (1 + p)) + 1 (marked short) of the smaller one. prev: the
-    BEFORE shared shingles before this one in the member's order."""
-    tokens = written(members.join(sets, "cls").select("cls", "n", F.explode("items").alias("token")), "tokens")
-    held = tokens.groupBy("token").agg(F.count("*").alias("df"))
-    order = F.row_number().over(Window.partitionBy("cls").orderBy("df", "token"))
+    BEFORE shingles before this one in the member's order."""
+    rows = members.join(sets, "cls").select("cls", "n", "items")
+    held = rows.select(F.explode("items").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    frequent = written(held.where(F.col("df") > FREQUENT), "frequent")
+    if frequent.count() > MAX_FREQUENT:
+        return ordered_by_join(rows, frequent, percent)
+    table = frequent.orderBy("token").toArrow()
+    tokens, df = table["token"].to_numpy(), table["df"].to_numpy()
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            for i in range(b.num_rows):
+                items = b.column(2)[i].values.to_numpy(zero_copy_only=False)
+                n = len(items)
+                at = np.searchsorted(tokens, items)
+                known = np.zeros(n, dtype=bool) if not len(tokens) else tokens[np.minimum(at, len(tokens) - 1)] == items
+                often = np.zeros(n, dtype=np.int64)
+                often[known] = df[at[known]]
+                probe = n - -(-percent * n // 100) + 1
+                short = n - -(-2 * percent * n // (100 + percent)) + 1
+                first = items[np.lexsort((items, often))[:probe]]
+                ends = np.arange(probe)
+                starts = np.maximum(ends - BEFORE, 0)
+                sizes = ends - starts
+                inner = np.repeat(starts - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum())
+                prev = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(first[inner]))
+                one = lambda x: pa.array(np.full(probe, x, dtype=np.int64))
+                cols = [one(b.column(0)[i].as_py()), one(n), pa.array(first), pa.array(ends + 1, pa.int64()), pa.array(ends + 1 <= short), prev]
+                yield pa.RecordBatch.from_arrays(cols, names=["cls", "n", "token", "pos", "short", "prev"])
+
+    return written(rows.mapInArrow(run, "cls long, n long, token long, pos long, short boolean, prev array<long>"), "prefixes")
+
+
+def ordered_by_join(rows: DataFrame, frequent: DataFrame, percent: int) -> DataFrame:
+    """prefixes() where the frequent shingles are too many for every task: they are joined to the members' shingles."""
+    order = F.row_number().over(Window.partitionBy("cls").orderBy(F.coalesce("df", F.lit(0)), "token"))
     probe = F.col("n") - F.expr(f"({percent} * n + 99) div 100") + 1
     index = F.col("n") - F.expr(f"({2 * percent} * n + {99 + percent}) div {100 + percent}") + 1
-    prefix = tokens.join(held, "token").withColumn("pos", order).where((F.col("pos") <= probe) & (F.col("df") > 1))
+    tokens = rows.select("cls", "n", F.explode("items").alias("token")).join(frequent, "token", "left")
+    prefix = tokens.withColumn("pos", order.cast("long")).where(F.col("pos") <= probe)
     prev = F.collect_list("token").over(Window.partitionBy("cls").orderBy("pos").rowsBetween(-BEFORE, -1))
     return written(prefix.select("cls", "n", "token", "pos", (F.col("pos") <= index).alias("short"), prev.alias("prev")), "prefixes")
 
@@ -273,18 +311,20 @@ def verified(live: DataFrame, classes: DataFrame, base: DataFrame, words: int, p
     sets = full_sets(base.join(firsts, "key", "left_semi").select("text"), words).join(ids.select("cls", "h1", "h2"), ["h1", "h2"])
     sets = written(sets.dropDuplicates(["cls"]).select("cls", "items"), "sets")
 
-    comp, failed, hubs, prefix = None, None, 1, None
+    comp, failed, hubs, prefix, left = None, None, 1, None, live.count()
     while True:
         at = with_comp(live, comp).select("bucket", "cls", "n", "comp")
         mixed = at.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
-        at = written(at.join(mixed, "bucket"), "open")
-        if at.isEmpty() and prefix is None:
+        at = written(at.join(F.broadcast(mixed) if left <= MAX_HUBS else mixed, "bucket"), "open")
+        left = at.count()
+        if not left and prefix is None:
             return comp
         apart = None
         if hubs == 4:  # after the first round, once and for all
             large = at.groupBy("bucket").agg(F.count("*").alias("c")).where(F.col("c") > LARGE).select("bucket")
             members = written(at.join(large, "bucket", "left_semi").select("cls", "n").distinct(), "large")
             at = written(at.join(large, "bucket", "left_anti"), "open")
+            left = at.count()
             if not members.isEmpty():
                 prefix = prefixes(members, sets, percent)
                 # first a few members of each component, which settle most of what joins a large one ...
@@ -298,7 +338,7 @@ def verified(live: DataFrame, classes: DataFrame, base: DataFrame, words: int, p
             rank = F.row_number().over(Window.partitionBy("bucket").orderBy("cls"))
             chosen = at.withColumn("r", rank).where(F.col("r") <= hubs).drop("r")
         chosen = chosen.withColumnsRenamed({"cls": "hub", "n": "hub_n", "comp": "hub_comp"})
-        if at.count() <= MAX_HUBS:  # hubs are rows of it
+        if left <= MAX_HUBS:  # hubs are rows of it
             chosen = F.broadcast(chosen)
         near = (F.col("cls") > F.col("hub")) & (F.col("comp") != F.col("hub_comp")) & (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n"))
         pairs = at.join(chosen, "bucket").where(near).select("cls", "hub", "n", "hub_n", "comp", "hub_comp").distinct()
