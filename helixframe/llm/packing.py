@@ -168,7 +168,7 @@ def places(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int,
     return sorted(rows)
 
 
-def pack(docs: DataFrame, capacity: int = 2048, separator: int = 0, paths: tuple[str, str] | None = None, rows_a_group: int = 1_000) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = 2048, separator: int = 0, paths: tuple[str, str] | None = None, rows_a_group: int = 500) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row a piece."""
     ship(docs.sparkSession)
     pieces = written(tokenize(docs, capacity, separator, paths or tokenizer_paths()), "pieces")
