@@ -114,7 +114,7 @@ def usable(vector: Column) -> Column:
     return F.when(ok, v)
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", copies: int = 4, closure: float = 1.15, lists: int = 48, share: float = 0.06, least: int = 8, ratio: float = 1.6, n_lists: int | None = None) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", copies: int = 4, closure: float = 1.15, lists: int = 48, share: float = 0.15, least: int = 8, ratio: float = 1.6, n_lists: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score for the rows where is_query holds, against every other row.
 
     A query looks at `least` lists at least, and at most at `lists` or a `share` of all, whichever is more. n_lists: how many lists there
