@@ -395,6 +395,12 @@ def nearest_rate_control(spark, sf_dir):
     return rounded(topk.nearest_controls(part_rates(spark, sf_dir), 0.05), "gap")
 
 
+@query(SQL["nearest_rate_control"])
+def nearest_rate_control_whole(spark, sf_dir):
+    """The same, under the name that it had while nearest_rate_control took a part of the targets."""
+    return nearest_rate_control(spark, sf_dir)
+
+
 @query(f"WITH {PARTS} SELECT target, control, round(gap, 6) AS gap FROM (SELECT a.id AS target, b.id AS control, abs(a.rate - b.rate) AS gap, row_number() OVER (PARTITION BY a.id ORDER BY abs(a.rate - b.rate), b.id) AS k FROM t a JOIN t b ON a.size = b.size AND b.id <> a.id AND b.rate > 0 AND abs(b.mcc) <= 0.05) WHERE k = 1")
 def nearest_control_by_size(spark, sf_dir):
     pool = part_rates(spark, sf_dir)
@@ -716,13 +722,18 @@ def kmeans_annot(spark, sf_dir):
 
 @query("SELECT ts::DATE AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def stream_daily_counts(spark, sf_dir):
+    """Files as they arrive, each batch's counts written as its own part; nothing is kept in memory between batches."""
     import uuid
 
-    from ..streaming.incremental import arriving, daily_counts, drain
+    from ..streaming.incremental import accumulate, accumulated, arriving
+
+    def count(batch: DataFrame) -> DataFrame:
+        return batch.groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
-    stream = daily_counts(arriving(spark, f"{sf_dir}/events.parquet*", read(spark, sf_dir, "events")), "ts", ["event_type"], "3650 days")
-    name = f"daily_{uuid.uuid4().hex}"
-    return drain(stream, name, stream_checkpoint(spark, name)).withColumn("total", F.round("total", 4))
+    at = stream_checkpoint(spark, f"daily-{uuid.uuid4().hex}")
+    stream = arriving(spark, f"{sf_dir}/events.parquet*", read(spark, sf_dir, "events"))
+    accumulate(stream, count, ["day", "event_type"], f"{at}/counts", f"{at}/checkpoint").awaitTermination()
+    return accumulated(spark, f"{at}/counts", ["day", "event_type"], ["n", "total"]).withColumn("total", F.round("total", 4))
 
 
 def stream_checkpoint(spark: SparkSession, name: str) -> str:
