@@ -132,3 +132,20 @@ def score_summary(df: DataFrame, column: str, keys: Sequence[str]) -> DataFrame:
 def group_sizes(df: DataFrame, keys: Sequence[str], top: int) -> DataFrame:
     """The `top` largest groups, on a tie in order of their keys."""
     return df.groupBy(*keys).agg(F.count("*").alias("n")).orderBy(F.desc("n"), *keys).limit(top)
+
+
+def qc_report(df: DataFrame, steps: Sequence[tuple[str, Column]], names: Sequence[str], length: str, top: int = 30) -> DataFrame:
+    """section, name, value: rows that pass each filter and their share of all, the commonest values of some columns, and the lengths' distribution over the rows that pass all."""
+    counts = funnel(df, steps)
+    total = F.max(F.when(F.col("step") == 0, F.col("n")))
+    passed = counts.select(F.lit("rows").alias("section"), "name", F.col("n").cast("double").alias("value"))
+    shares = counts.crossJoin(F.broadcast(counts.agg(total.alias("__t")))).select(F.lit("share").alias("section"), "name", (F.col("n") / F.col("__t")).alias("value"))  # one row
+    kept = df
+    for _, condition in steps:
+        kept = kept.where(condition)
+    out = passed.union(shares)
+    for name in names:
+        out = out.union(value_counts(kept, name, top).select(F.lit(name).alias("section"), F.col(name).cast("string").alias("name"), F.col("n").cast("double").alias("value")))
+    cut = summary(kept.select(length), length)
+    cells = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in cut.columns])
+    return out.union(cut.select(F.explode(cells).alias("x")).select(F.lit(length).alias("section"), "x.name", "x.value"))

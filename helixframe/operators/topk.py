@@ -208,3 +208,12 @@ def appended(tables: Sequence[DataFrame]) -> DataFrame:
     for df in tables[1:]:
         out = out.unionByName(df, allowMissingColumns=True)
     return out
+
+
+def shuffled_batches(df: DataFrame, shard: str, keys: Sequence[str], size: int, seed: int) -> DataFrame:
+    """Adds place (from 0) and batch: each shard's rows in an order drawn from the seed, in batches of `size`; what does not fill a shard's last batch is left out."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in keys])
+    w = Window.partitionBy(shard)
+    rows = df.withColumns({"place": F.row_number().over(w.orderBy(F.substring(F.md5(text), 1, 15), *keys)) - 1, "__n": F.count("*").over(w)})
+    rows = rows.withColumn("batch", F.floor(F.col("place") / size).cast("int"))
+    return rows.where((F.col("batch") + 1) * size <= F.col("__n")).drop("__n")

@@ -399,3 +399,41 @@ def label_tracks(spark, sf_dir):
     got = spark.read.parquet(path).select("concept", F.explode("track").alias("t"))
     return got.groupBy("concept").agg(F.sum("t").alias("tp"))
 
+
+
+QC = "k AS (SELECT * FROM lineitem WHERE l_quantity > 10 AND l_returnflag = 'R'), t AS (SELECT count(*) AS c0, count(*) FILTER (l_quantity > 10) AS c1, count(*) FILTER (l_quantity > 10 AND l_returnflag = 'R') AS c2 FROM lineitem), c AS (SELECT unnest(['all', 'quantity', 'returned']) AS name, unnest([c0, c1, c2]) AS n, c0 FROM t)"
+
+
+@query(f"WITH {QC} SELECT 'rows' AS section, name, n::DOUBLE AS value FROM c UNION ALL SELECT 'share', name, round(n / c0, 4) FROM c UNION ALL SELECT 'l_linenumber', l_linenumber::VARCHAR, count(*)::DOUBLE FROM k GROUP BY 2 UNION ALL SELECT 'l_quantity', unnest(['n', 'mean', 'std', 'min', 'max', 'p50', 'p90', 'p99', 'p99_9']), unnest([count(*)::DOUBLE, round(avg(l_quantity), 4), round(stddev_samp(l_quantity), 4), min(l_quantity), max(l_quantity), quantile_cont(l_quantity, 0.5), quantile_cont(l_quantity, 0.9), round(quantile_cont(l_quantity, 0.99), 4), round(quantile_cont(l_quantity, 0.999), 4)]) FROM k")
+def qc_report(spark, sf_dir):
+    li = read(spark, sf_dir, "lineitem")
+    steps = [("quantity", F.col("l_quantity") > 10), ("returned", F.col("l_returnflag") == "R")]
+    return rounded4(statistics.qc_report(li, steps, ["l_linenumber"], "l_quantity"))
+
+
+@query("WITH r AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY substr(md5('5|' || c_custkey), 1, 15), c_custkey) - 1 AS place, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer) SELECT c_nationkey, c_custkey, place::INTEGER AS place, (place // 8)::INTEGER AS batch FROM r WHERE (place // 8 + 1) * 8 <= n")
+def shuffled_batches(spark, sf_dir):
+    c = read(spark, sf_dir, "customer").select("c_nationkey", "c_custkey")
+    return topk.shuffled_batches(c, "c_nationkey", ["c_custkey"], 8, 5)
+
+
+@query("SELECT c_mktsegment AS feature, c_name AS example, CAST(row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) - 1 AS INTEGER) AS rank FROM customer QUALIFY rank < 20")
+def top_examples(spark, sf_dir):
+    """Examples stored as one array a feature, scanned back as rows."""
+    c = read(spark, sf_dir, "customer").withColumnRenamed("c_mktsegment", "feature")
+    best = topk.top_n(c, ["feature"], [F.desc("c_acctbal"), F.asc("c_custkey")], 20)
+    path = f"{shared_folder(spark)}/examples-{uuid.uuid4().hex}"
+    best.groupBy("feature").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "c_name"))), lambda x: x["c_name"]).alias("examples")).write.parquet(path)
+    return spark.read.parquet(path).select("feature", F.posexplode("examples").alias("rank", "example"))
+
+
+@query("SELECT (SELECT count(*) FROM customer) AS n_candidates, (SELECT count(DISTINCT c_nationkey) FROM customer) AS n_concepts, 20 AS permutations, 'seven' AS seed")
+def null_table_files(spark, sf_dir):
+    from ..sources.writers import null_tables
+
+    c = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    path = f"{shared_folder(spark)}/null-{uuid.uuid4().hex}"
+    null_tables(c, c.groupBy("c_nationkey").agg(F.max("c_acctbal").alias("best")), path, {"permutations": 20, "seed": "seven"})
+    rows = [spark.read.option("header", True).csv(f"{path}/{n}").agg(F.count("*").alias(f"n_{n}")) for n in ("candidates", "concepts")]
+    about = spark.read.schema("permutations int, seed string").json(f"{path}/metadata")
+    return rows[0].crossJoin(F.broadcast(rows[1])).crossJoin(F.broadcast(about))  # one row each

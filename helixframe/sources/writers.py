@@ -61,6 +61,14 @@ def label_tracks(rows: DataFrame, path: str, bins: int, window: str = "window",
     held.select(window, concept, track.alias("track")).write.parquet(path)
 
 
+def null_tables(candidates: DataFrame, concepts: DataFrame, path: str, metadata: dict) -> None:
+    """The permutation results by candidate and by concept, and how they were made."""
+    candidates.write.option("header", True).csv(f"{path}/candidates")
+    concepts.write.option("header", True).csv(f"{path}/concepts")
+    about = candidates.sparkSession.range(1).select(*[F.lit(v).alias(k) for k, v in metadata.items()])
+    sidecar(about, f"{path}/metadata")
+
+
 def sidecar(df: DataFrame, path: str) -> None:
     """A few rows of run metadata, as JSON."""
     df.coalesce(1).write.json(path)

@@ -44,3 +44,17 @@ def test_entry(spark):
 def test_entry_without_the_optional_parts():
     code = "import sys; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; assert 'assoc_raw_neuron' in e.queries() and not any(n.startswith('op1') for n in e.queries())"
     subprocess.run([sys.executable, "-c", code], check=True, timeout=120)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from helixframe.__main__ import main
+
+    main(["list"])
+    assert "bed_strict" in capsys.readouterr().out.split()
+    main(["run", "value_counts", SF, str(tmp_path / "out")])
+    assert spark.read.parquet(str(tmp_path / "out")).count() > 0
+
+
+def test_other_import_errors_are_raised():
+    code = "import sys, pytest; sys.modules['pyspark.sql'] = None\nwith pytest.raises(ModuleNotFoundError):\n    import __spark_entry__"
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=120)
