@@ -42,8 +42,8 @@ CHUNK = 1 << 17
 LARGE = 24
 #: So many members of a component are tried in that join before all are.
 MEMBERS = 8
-#: A shingle in more members than this is frequent; so many frequent ones (16 bytes each) are handed to every task.
-FREQUENT, MAX_FREQUENT = 16, 1_000_000
+#: So many shingles that several members hold (16 bytes each) are handed to every task.
+MAX_SHARED = 1_000_000
 #: So many shingles before one tell whether a pair has met already.
 BEFORE = 16
 #: Candidate ids that may be broadcast (16 bytes each), and hubs (32 bytes).
@@ -224,16 +224,15 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
 def prefixes(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """cls, n, token, pos, short, prev: the rarest shingles of each member (cls, n), which linked sets must share.
 
-    Any order of shingles gives an exact filter, and rare ones first a narrow one. Shingles that more than FREQUENT
-    members hold come last, by how many do; the others are all rare enough. Linked sets share a shingle within the first
-    n - ceil(p n) + 1 of the larger and n - ceil(2 p n / (1 + p)) + 1 (marked short) of the smaller one. prev: the
-    BEFORE shingles before this one in the member's order."""
+    Shingles are ordered by how few of the members hold them; those that one member holds count as places but make no
+    rows. Linked sets share a shingle within the first n - ceil(p n) + 1 of the larger and n - ceil(2 p n / (1 + p)) + 1
+    (marked short) of the smaller one. prev: the BEFORE shared shingles before this one in the member's order."""
     rows = members.join(sets, "cls").select("cls", "n", "items")
     held = rows.select(F.explode("items").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-    frequent = written(held.where(F.col("df") > FREQUENT), "frequent")
-    if frequent.count() > MAX_FREQUENT:
-        return ordered_by_join(rows, frequent, percent)
-    table = frequent.orderBy("token").toArrow()
+    shared = written(held.where("df > 1"), "shared-shingles")
+    if shared.count() > MAX_SHARED:
+        return ordered_by_join(rows, shared, percent)
+    table = shared.orderBy("token").toArrow()
     tokens, df = table["token"].to_numpy(), table["df"].to_numpy()
 
     def run(batches: Iterator) -> Iterator:
@@ -249,26 +248,28 @@ def prefixes(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 often[known] = df[at[known]]
                 probe = n - -(-percent * n // 100) + 1
                 short = n - -(-2 * percent * n // (100 + percent)) + 1
-                first = items[np.lexsort((items, often))[:probe]]
-                ends = np.arange(probe)
+                alone = min(probe, int((often == 0).sum()))  # these come first
+                first = items[np.lexsort((items, often))[alone:probe]]
+                ends = np.arange(len(first))
                 starts = np.maximum(ends - BEFORE, 0)
                 sizes = ends - starts
                 inner = np.repeat(starts - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum())
                 prev = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(first[inner]))
-                one = lambda x: pa.array(np.full(probe, x, dtype=np.int64))
-                cols = [one(b.column(0)[i].as_py()), one(n), pa.array(first), pa.array(ends + 1, pa.int64()), pa.array(ends + 1 <= short), prev]
+                one = lambda x: pa.array(np.full(len(first), x, dtype=np.int64))
+                pos = ends + alone + 1
+                cols = [one(b.column(0)[i].as_py()), one(n), pa.array(first), pa.array(pos, pa.int64()), pa.array(pos <= short), prev]
                 yield pa.RecordBatch.from_arrays(cols, names=["cls", "n", "token", "pos", "short", "prev"])
 
     return written(rows.mapInArrow(run, "cls long, n long, token long, pos long, short boolean, prev array<long>"), "prefixes")
 
 
-def ordered_by_join(rows: DataFrame, frequent: DataFrame, percent: int) -> DataFrame:
-    """prefixes() where the frequent shingles are too many for every task: they are joined to the members' shingles."""
+def ordered_by_join(rows: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
+    """prefixes() where the shared shingles are too many for every task: they are joined to the members' shingles."""
     order = F.row_number().over(Window.partitionBy("cls").orderBy(F.coalesce("df", F.lit(0)), "token"))
     probe = F.col("n") - F.expr(f"({percent} * n + 99) div 100") + 1
     index = F.col("n") - F.expr(f"({2 * percent} * n + {99 + percent}) div {100 + percent}") + 1
-    tokens = rows.select("cls", "n", F.explode("items").alias("token")).join(frequent, "token", "left")
-    prefix = tokens.withColumn("pos", order.cast("long")).where(F.col("pos") <= probe)
+    tokens = rows.select("cls", "n", F.explode("items").alias("token")).join(shared, "token", "left")
+    prefix = tokens.withColumn("pos", order.cast("long")).where((F.col("pos") <= probe) & F.col("df").isNotNull())
     prev = F.collect_list("token").over(Window.partitionBy("cls").orderBy("pos").rowsBetween(-BEFORE, -1))
     return written(prefix.select("cls", "n", "token", "pos", (F.col("pos") <= index).alias("short"), prev.alias("prev")), "prefixes")
 

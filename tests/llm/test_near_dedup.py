@@ -105,15 +105,17 @@ def test_prefixes_are_those_of_a_plain_order(spark, monkeypatch):
     from helixframe.llm import near_dedup as nd
 
     rng = np.random.default_rng(11)
-    sets = {c: sorted({int(x) for x in rng.integers(-40, 40, int(rng.integers(1, 60)))}) for c in range(60)}
-    df = {t: sum(t in s for s in sets.values()) for t in range(-40, 40)}
+    sets = {c: sorted({int(x) for x in rng.integers(-400, 40, int(rng.integers(1, 60)))}) for c in range(60)}
+    df = {t: sum(t in s for s in sets.values()) for t in range(-400, 40)}
     want = []
     for c, s in sets.items():
-        n, order = len(s), sorted(s, key=lambda t: (df[t] if df[t] > nd.FREQUENT else 0, t))
+        n, order = len(s), sorted(s, key=lambda t: (df[t] if df[t] > 1 else 0, t))
+        alone = sum(df[t] == 1 for t in s)
         for k, t in enumerate(order[: n - -(-75 * n // 100) + 1]):
-            want.append((c, n, t, k + 1, k + 1 <= n - -(-150 * n // 175) + 1, order[max(0, k - nd.BEFORE) : k]))
+            if df[t] > 1:
+                want.append((c, n, t, k + 1, k + 1 <= n - -(-150 * n // 175) + 1, order[max(alone, k - nd.BEFORE) : k]))
     members = spark.createDataFrame([(c, len(s)) for c, s in sets.items()], "cls long, n long")
     table = spark.createDataFrame(list(sets.items()), "cls long, items array<long>")
     assert rows(nd.prefixes(members, table, 75)) == sorted(want, key=repr)
-    monkeypatch.setattr(nd, "MAX_FREQUENT", 1)
+    monkeypatch.setattr(nd, "MAX_SHARED", 1)
     assert rows(nd.prefixes(members, table, 75)) == sorted(want, key=repr)
