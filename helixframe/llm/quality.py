@@ -115,9 +115,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", keep=None, l
     def run(batches: Iterator) -> Iterator:
         for b in batches:
             x = [describe(t) for texts in slices(b.column(0)) for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), b.column(1)], names=["x", "label"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), b.column(1), b.column(2)], names=["x", "label", "doc_id"])
 
-    rows = texts.select("text", "label").mapInArrow(run, "x array<double>, label int").collect()  # of the bounded sample
+    rows = texts.select("text", "label", "doc_id").mapInArrow(run, "x array<double>, label int, doc_id long").collect()  # of the bounded sample
+    rows.sort(key=lambda r: r["doc_id"])  # pairs are drawn by place, which must not depend on partitions
     x = np.array([r["x"] for r in rows]).reshape(-1, len(NAMES))
     return rank(x, np.array([r["label"] for r in rows], dtype=int))
 
