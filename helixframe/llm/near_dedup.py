@@ -228,7 +228,16 @@ def prefixes(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     rows. Linked sets share a shingle within the first n - ceil(p n) + 1 of the larger and n - ceil(2 p n / (1 + p)) + 1
     (marked short) of the smaller one. prev: the BEFORE shared shingles before this one in the member's order."""
     rows = members.join(sets, "cls").select("cls", "n", "items")
-    held = rows.select(F.explode("items").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+
+    def count(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            tokens, n = np.unique(b.column(0).flatten().to_numpy(zero_copy_only=False), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.int64()), pa.array(n, pa.int64())], names=["token", "n"])
+
+    # a row a shingle and batch of sets, not one a set
+    held = rows.select("items").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("df"))
     shared = written(held.where("df > 1"), "shared-shingles")
     if shared.count() > MAX_SHARED:
         return ordered_by_join(rows, shared, percent)
