@@ -1,4 +1,4 @@
-"""The queries of the ten operators and, where SQL can say the same, their SQL."""
+"""The queries of the operators and, where SQL can say the same, their SQL."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, html_extract, line_dedup, near_dedup, packing, quality, sharding, surrogates, toxicity
+from . import ann, decontaminate, fill_middle, filter_audit, html_extract, line_dedup, mixing, near_dedup, packing, quality, sharding, surrogates, toxicity
 from .common import table
 
 #: Production parameters of the sharding query: the table has over 100 slots a shard.
@@ -94,9 +94,69 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
+# the water line is the highest of the lines by which the open sources would share what the k lowest caps leave
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, source, coalesce(doc_id::VARCHAR, 'text:' || md5(text), '') AS k, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+r AS (SELECT *, 2 * source_size AS cap, CASE (row_number() OVER (ORDER BY source COLLATE "C" NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w FROM s),
+c AS (SELECT *, coalesce(sum(cap) OVER o, 0)::BIGINT AS filled, (sum(w) OVER () - coalesce(sum(w) OVER o, 0))::BIGINT AS open FROM r WINDOW o AS (ORDER BY cap::DOUBLE / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT coalesce(max((1.5::DOUBLE * (SELECT sum(source_size)::BIGINT FROM s) - filled) / open), 0) AS line FROM c),
+t AS (SELECT source, source_size, CASE WHEN cap <= line * w THEN cap::DOUBLE ELSE line * w END AS target FROM r, l),
+q AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM t),
+f AS (SELECT *, floor(rate)::INTEGER AS whole, (rate - floor(rate)) * 4294967296.0::DOUBLE AS lim FROM q),
+x AS (SELECT d.doc_id, d.k, d.size, f.*, j, ('0x' || substr(md5((j // 4)::VARCHAR || ':' || d.k), (8 * (j % 4) + 1)::INTEGER, 8))::BIGINT AS draw FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source, range(16) g(j)),
+m AS (SELECT source, j, abs(any_value(whole) * any_value(source_size) + sum(CASE WHEN draw < lim THEN size ELSE 0 END)::BIGINT - any_value(target)) AS missed FROM x GROUP BY source, j),
+b AS (SELECT source, j FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY missed, j) AS i FROM m) WHERE i = 1)
+SELECT doc_id, size::BIGINT AS size, source_size, target, ((whole + CASE WHEN draw < lim THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM x JOIN b ON x.source IS NOT DISTINCT FROM b.source AND x.j = b.j
+"""
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_middle.fill_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    restored = fill_middle.restore(F.col("output"), F.col("form"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(restored).alias("restored_sha256"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS s FROM documents),
+h AS (SELECT doc_id, text, u, len(u) AS n, ('0x' || s[1:8])::BIGINT AS h1, ('0x' || s[9:16])::BIGINT AS h2, ('0x' || s[17:24])::BIGINT AS h3, ('0x' || s[25:32])::BIGINT AS h4 FROM d),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS lo, greatest(h1 % (n + 1), h2 % (n + 1)) AS hi,
+ CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, array_to_string(u[1:lo], '') AS pre, array_to_string(u[lo + 1:hi], '') AS mid, array_to_string(u[hi + 1:n], '') AS suf FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(text) AS restored_sha256 FROM p
+"""
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), table(spark, sf_dir, "labels"))
+
+
+OP13_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+b AS (SELECT doc_id, part, (CASE WHEN len(w) < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 2 ELSE 0 END + CASE WHEN 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 5 * length(text) THEN 4 ELSE 0 END
+ + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN coalesce(doc_id > first, doc_id IS NULL AND first IS NOT NULL) THEN 16 ELSE 0 END)::INTEGER AS mask FROM (SELECT *, min(doc_id) OVER (PARTITION BY text) AS first FROM t)),
+g AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM b LEFT JOIN g USING (doc_id) GROUP BY 1, 2),
+f(name, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o AS (SELECT a.name || b.name || c.name || d.name || e.name AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits FROM f a, f b, f c, f d, f e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+s AS (SELECT filter_order, k AS step, bits[k] AS bit, coalesce(list_sum(bits[1:k - 1]), 0)::INTEGER AS before FROM o, range(1, 6) r(k)),
+x AS (SELECT part, filter_order, step, bit, sum(n) FILTER (mask & (bit | before) = 0) AS kept, sum(n) FILTER (mask & bit <> 0 AND mask & before = 0) AS removed, sum(n) FILTER (mask & bit <> 0 AND mask & before <> 0) AS redundant, sum(n) FILTER (mask = bit) AS unique_fails,
+ sum(good) FILTER (mask & bit <> 0 AND mask & before = 0) AS good_lost, sum(toxic) FILTER (mask & bit <> 0 AND mask & before = 0) AS toxic_lost FROM m, s GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+sum(coalesce(removed, 0)) OVER (PARTITION BY part, bit)::BIGINT AS shapley FROM x
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_sharding, op3_decontamination, op4_surrogates, op5_quality, op6_html_extraction, op7_near_dedup, op8_toxicity, op9_nearest_neighbours, op10_packing)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_sharding, op3_decontamination, op4_surrogates, op5_quality, op6_html_extraction, op7_near_dedup, op8_toxicity, op9_nearest_neighbours, op10_packing, op11_mixing, op12_fill_middle, op13_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op2_sharding": OP2_SQL, "op3_decontamination": OP3_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op2_sharding": OP2_SQL, "op3_decontamination": OP3_SQL, "op11_mixing": OP11_SQL, "op12_fill_middle": OP12_SQL, "op13_filter_audit": OP13_SQL}
