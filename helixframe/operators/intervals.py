@@ -2,6 +2,10 @@
 
 No operator hands all rows of one key to one task: coordinates are cut into bins, work is done by
 (key, bin), where equal starts are one row, and only one row a bin meets by key to be carried on.
+
+Points look intervals up in one of two ways. A set that is counted to be small becomes an index that every task holds
+(interval_index), and points are not shuffled. A larger one meets the distinct (key, position) of the points by (key, bin), so
+a bin holds at most its width of either, however hot the key, and the answers join the points by key and position.
 """
 
 from __future__ import annotations
@@ -11,6 +15,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..cluster import stored
+from .interval_index import label_index, labels_of, span_index, spans_of
+
 #: Width of the bins that spread a key's rows, in coordinate units.
 BIN = 1 << 16
 
@@ -20,8 +27,9 @@ MAX_SMALL = 100_000
 
 
 def small(df: DataFrame, limit: int = MAX_SMALL) -> DataFrame:
-    """The table, to be broadcast if it is counted to be small; else Spark chooses."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    """The table, computed once; to be broadcast if it is counted to be small, else Spark chooses."""
+    kept = stored(df, "side")
+    return F.broadcast(kept) if kept.count() <= limit else kept
 
 
 def keys_of(keys: str | Sequence[str]) -> list[str]:
@@ -74,40 +82,57 @@ def gaps(df: DataFrame, keys: str | Sequence[str] = "key", bin_width: int = BIN)
     return out.where(F.col("end") < F.col("__next")).select(*keys, F.col("end").alias("start"), F.col("__next").alias("end"))
 
 
+def same_types(a: DataFrame, b: DataFrame, names: Sequence[str]) -> bool:
+    return all(a.schema[n].dataType == b.schema[n].dataType for n in names)
+
+
 def with_predecessor(points: DataFrame, intervals: DataFrame, keys: str | Sequence[str] = "key", pos: str = "pos", bin_width: int = BIN) -> DataFrame:
-    """Adds p_start, p_end: the interval of the key with the greatest start <= pos (ties: the greatest end), or nulls."""
-    keys = keys_of(keys)
-    names = points.columns
-    bin_of = F.floor(F.col("__at") / bin_width)
-    span = F.struct("start", "end")
-    left = points.select(*keys, F.struct(*names).alias("__row"), F.col(pos).alias("__at"), F.lit(1).alias("__kind"), F.lit(None).cast("struct<start:bigint,end:bigint>").alias("__span"))
-    row_type = left.schema["__row"].dataType
-    rights = intervals.select(*keys, F.lit(None).cast(row_type).alias("__row"), F.col("start").alias("__at"), F.lit(0).alias("__kind"), span.cast("struct<start:bigint,end:bigint>").alias("__span"))
-    both = left.unionByName(rights).withColumn("__bin", bin_of)
-    here = Window.partitionBy(*keys, "__bin").orderBy("__at", "__kind", "__span").rowsBetween(Window.unboundedPreceding, 0)
+    """Adds p_start, p_end: the interval of the key with the greatest start <= pos (ties: the greatest end), or nulls.
+
+    Null keys meet null keys; a null pos and intervals without a start or end find nothing."""
+    return _looked_up(points, intervals, keys_of(keys), pos, bin_width, reach=False)
+
+
+def _looked_up(points: DataFrame, intervals: DataFrame, keys: list[str], pos: str, bin_width: int, reach: bool) -> DataFrame:
+    """with_predecessor(); or, with reach, a p_end that lies after pos exactly if any interval holds it."""
+    held, index = span_index(intervals, keys)
+    names = [c for c in points.columns if c not in ("p_start", "p_end")]
+    if index is not None and same_types(points, held, keys):
+        return points.select(*names, spans_of(index, keys, pos, reach).alias("__p")).select(*names, "__p.p_start", "__p.p_end")
+    if reach:
+        held = merge_intervals(held, keys, bin_width)
+    found = _predecessors(points.select(*keys, F.col(pos).cast("long").alias("__at")).distinct(), held, keys, bin_width)
+    at = points.select(*names).withColumn("__at", F.col(pos).cast("long"))
+    return null_safe_join(at, found, [*keys, "__at"], "left").select(*names, "p_start", "p_end")
+
+
+def _predecessors(spots: DataFrame, held: DataFrame, keys: list[str], bin_width: int) -> DataFrame:
+    """keys, __at, p_start, p_end of distinct spots: a window in each (key, bin), and one row a bin carried to later ones."""
+    kind = "struct<start:bigint,end:bigint>"
+    left = spots.select(*keys, "__at", F.lit(1).alias("__kind"), F.lit(None).cast(kind).alias("__span"))
+    right = held.select(*keys, F.col("start").cast("long").alias("__at"), F.lit(0).alias("__kind"), F.struct("start", "end").cast(kind).alias("__span"))
+    both = left.unionByName(right).withColumn("__bin", F.floor(F.col("__at") / bin_width))
+    here = Window.partitionBy(*keys, "__bin").orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, 0)
     in_bin = both.withColumn("__in", F.last("__span", ignorenulls=True).over(here)).where("__kind = 1")
-    # one row a bin: the last interval that starts in it, carried to the bins after it
     bins = both.groupBy(*keys, "__bin").agg(F.max("__span").alias("__last"))
     before = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
     carried = bins.select(*keys, "__bin", F.last("__last", ignorenulls=True).over(before).alias("__carry"))
-    out = null_safe_join(in_bin, carried, [*keys, "__bin"], "left")
     got = F.coalesce("__in", "__carry")
-    return out.select("__row.*", got["start"].alias("p_start"), got["end"].alias("p_end"))
+    out = null_safe_join(in_bin, carried, [*keys, "__bin"], "left")
+    return out.select(*keys, "__at", got["start"].alias("p_start"), got["end"].alias("p_end"))
 
 
-def asof_contains(points: DataFrame, intervals: DataFrame, keys: str | Sequence[str] = "key", pos: str = "pos", mode: str = "predecessor") -> DataFrame:
-    """Adds hit. "predecessor" looks at the last interval that starts at or before pos; "overlap" at all (it merges them first)."""
-    source = merge_intervals(intervals, keys) if mode == "overlap" else intervals
-    found = with_predecessor(points, source, keys, pos)
+def asof_contains(points: DataFrame, intervals: DataFrame, keys: str | Sequence[str] = "key", pos: str = "pos", mode: str = "predecessor", bin_width: int = BIN) -> DataFrame:
+    """Adds hit. "predecessor" looks at the last interval that starts at or before pos; "overlap" at all."""
+    found = _looked_up(points, intervals, keys_of(keys), pos, bin_width, reach=mode == "overlap")
     return found.withColumn("hit", F.coalesce(F.col("p_end") > F.col(pos), F.lit(False))).drop("p_start", "p_end")
 
 
-def overlaps(rows: DataFrame, intervals: DataFrame, keys: str | Sequence[str] = "key") -> DataFrame:
+def overlaps(rows: DataFrame, intervals: DataFrame, keys: str | Sequence[str] = "key", bin_width: int = BIN) -> DataFrame:
     """Adds hit: whether the row's [start, end) overlaps any interval of its key.
 
-    Over merged intervals that is a question to the last one that starts before the row's end."""
-    merged = merge_intervals(intervals, keys)
-    found = with_predecessor(rows.withColumn("__last", F.col("end") - 1), merged, keys, "__last")
+    That is a question to those that start before the row's end: how far they reach."""
+    found = _looked_up(rows.withColumn("__last", F.col("end") - 1), intervals, keys_of(keys), "__last", bin_width, reach=True)
     return found.withColumn("hit", F.coalesce(F.col("p_end") > F.col("start"), F.lit(False))).drop("__last", "p_start", "p_end")
 
 
@@ -120,14 +145,17 @@ def overlap_anti(rows: DataFrame, intervals: DataFrame, keys: str | Sequence[str
 
 
 def label_points(points: DataFrame, intervals: DataFrame, label: str = "concept", keys: str | Sequence[str] = "key", pos: str = "pos", bin_width: int = 4096) -> DataFrame:
-    """(point columns, label) for every label with an interval around the point: a range join by bins.
+    """(point columns, label) for every label with an interval around the point.
 
-    Merged intervals of one label are apart, so a point meets a label once."""
+    Merged intervals of one label are apart, so a point meets a label once. A small set is an index of pieces with their
+    labels; a larger one is a range join by bins."""
     keys = keys_of(keys)
-    merged = merge_intervals(intervals, [label, *keys])
-    cut = merged.withColumn("__bin", F.explode(F.sequence(F.floor(F.col("start") / bin_width), F.floor((F.col("end") - 1) / bin_width))))
+    held, index = label_index(intervals, label, keys)
+    if index is not None and same_types(points, held, keys):
+        return points.select("*", F.explode(labels_of(index, held.schema[label].dataType, keys, pos)).alias(label))
+    cut = merge_intervals(held, [label, *keys]).withColumn("__bin", F.explode(F.sequence(F.floor(F.col("start") / bin_width), F.floor((F.col("end") - 1) / bin_width))))
     at = points.withColumn("__bin", F.floor(F.col(pos) / bin_width))
-    return at.join(cut, [*keys, "__bin"]).where((F.col("start") <= F.col(pos)) & (F.col(pos) < F.col("end"))).drop("__bin", "start", "end")
+    return null_safe_join(at, cut, [*keys, "__bin"]).where((F.col("start") <= F.col(pos)) & (F.col(pos) < F.col("end"))).drop("__bin", "start", "end")
 
 
 def clamp(df: DataFrame, low: int, high: int) -> DataFrame:

@@ -6,12 +6,12 @@ embedding dimensions are neurons, labels are concepts, events are activations. D
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..cluster import shared_folder
 from ..functions import scalar, sequence
 from ..operators import association, encoders, intervals, nullmodel, statistics, steering, sweeps, topk
 
@@ -45,17 +45,6 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """What driver and executors share. A local session that names none gets a folder of its own; a cluster must name it."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="helixframe-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
 def day(c: str) -> Column:
     return F.datediff(F.col(c), F.lit("1970-01-01").cast("date")).cast("long")
 

@@ -90,3 +90,71 @@ def test_clamp_and_redundant(spark):
     assert rows(iv.clamp(spans(spark, (0, 5), (8, 20)), 3, 10), "start", "end") == [(3, 5), (8, 10)]
     pairs = spark.createDataFrame([("ab", "b", 0.9), ("a", "b", 0.9), ("a", "c", 0.1)], "a string, b string, jaccard double")
     assert rows(iv.redundant(pairs, 0.5)) == [("ab",), ("b",)]
+
+
+@pytest.fixture(params=["index", "shuffle"])
+def way(request, monkeypatch):
+    from helixframe.operators import interval_index
+
+    if request.param == "shuffle":
+        monkeypatch.setattr(interval_index, "MAX_INDEX", -1)
+    return request.param
+
+
+def hot_points(spark, n=900):
+    """A third of all points has one key, a tenth one position of it; null keys and positions occur."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(n):
+        key = "hot" if i % 3 == 0 else None if i % 50 == 1 else f"k{i % 7}"
+        rows.append((i, key, i % 5, None if i % 97 == 5 else 77 if i % 10 == 0 else rng.randint(-5, 320)))
+    return spark.createDataFrame(rows, "i int, a string, b long, pos long"), rows
+
+
+def hot_intervals(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice(["x", "y", None]), "hot" if i % 3 == 0 else rng.choice([None, "k1", "k2", "k5", "none"]), i % 5, s, s + rng.randint(0, 25)) for i, s in enumerate(rng.randint(-10, 300) for _ in range(500))]
+    rows += [("x", "hot", 0, None, 5), ("x", "hot", 0, 5, None)]
+    return spark.createDataFrame(rows, "concept string, a string, b long, start long, end long"), [r for r in rows if None not in r[3:]]
+
+
+@pytest.mark.parametrize("width", [16, 1 << 16])
+def test_hot_keys_nulls_and_two_key_columns(spark, way, width):
+    points, at = hot_points(spark)
+    held, spans_ = hot_intervals(spark)
+    got = {r.i: (r.p_start, r.p_end) for r in iv.with_predecessor(points, held, ["a", "b"], bin_width=width).collect()}
+    semi = {r.i for r in iv.overlap_semi(points.withColumns({"start": points.pos, "end": points.pos + 4}), held.where("start < end"), ["a", "b"]).collect()}
+    assert len(got) == len(at)
+    for i, a, b, p in at:
+        same = [(s, e) for _, x, y, s, e in spans_ if (x, y) == (a, b)]
+        assert got[i] == max(((s, e) for s, e in same if p is not None and s <= p), default=(None, None))
+        assert (i in semi) == (p is not None and any(s < e and s < p + 4 and p < e for s, e in same))
+
+
+def test_labels_of_hot_points(spark, way):
+    points, at = hot_points(spark)
+    held, spans_ = hot_intervals(spark)
+    got = rows(iv.label_points(points, held, keys=["a", "b"]), "i", "concept")
+    want = {(i, c) for i, a, b, p in at for c, x, y, s, e in spans_ if p is not None and (x, y) == (a, b) and s <= p < e}
+    assert got == sorted(want, key=repr)
+
+
+def test_empty_sides(spark, way):
+    points, _ = hot_points(spark, 20)
+    held, _ = hot_intervals(spark)
+    assert {r.p_start for r in iv.with_predecessor(points, held.where("false"), ["a", "b"]).collect()} == {None}
+    assert iv.label_points(points, held.where("false"), keys=["a", "b"]).count() == 0
+    assert iv.with_predecessor(points.where("false"), held, ["a", "b"]).count() == 0
+
+
+def test_small_sets_do_not_move_the_points(spark):
+    points, _ = hot_points(spark)
+    held, _ = hot_intervals(spark)
+    for df in (iv.with_predecessor(points, held, ["a", "b"]), iv.label_points(points, held, keys=["a", "b"]), iv.asof_contains(points, held, ["a", "b"], mode="overlap")):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_other_key_types_take_the_shuffle(spark):
+    points = spark.createDataFrame([(1, 5)], "key int, pos long")
+    held = spark.createDataFrame([(1, 0, 9)], "key long, start long, end long")
+    assert iv.asof_contains(points, held).first().hit
