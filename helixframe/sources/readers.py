@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.intervals import clamp, prefixed
+from . import fasta
 
 #: Lines that are no records, and the keys under which index lists are stored.
 SKIPPED = r"^\s*$|^(#|track|browser)"
@@ -94,27 +95,23 @@ def embl(spark: SparkSession, path: str) -> DataFrame:
     return records.select(F.regexp_extract("value", r"(?m)^ID\s+([^\s;]+)", 1).alias("name"), F.trim(F.regexp_extract("value", r"(?m)^DE\s+(.*)$", 1)).alias("description"), seq.alias("seq")).where("seq <> ''")
 
 
-def fasta_chunks(spark: SparkSession, path: str, chunk: int = 1 << 16) -> DataFrame:
-    """chrom, chunk, seq: chromosomes in pieces of `chunk` letters, upper case.
-
-    A record is one row on its way in, as the format has no index; the pieces are what is stored and joined."""
-    records = spark.read.option("lineSep", "\n>").text(path)
-    head = F.regexp_extract("value", r"^>?([^\s]+)", 1)
-    seq = F.upper(F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s+", ""))
-    rows = records.select(head.alias("chrom"), seq.alias("s")).where("s <> ''")
-    rows = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.length("s") - 1) / chunk))))
-    return rows.select("chrom", "chunk", F.expr(f"substring(s, int(chunk * {chunk} + 1), {chunk})").alias("seq"))
+def fasta_chunks(spark: SparkSession, path: str, chunk: int = 1 << 16, range_bytes: int = fasta.RANGE) -> DataFrame:
+    """chrom, chunk, start, seq: a file or folder in pieces of at most `chunk` letters, upper case, read by byte ranges."""
+    return fasta.fasta_pieces(spark, fasta.fasta_index(spark, path, range_bytes), chunk)
 
 
 def fetch(windows: DataFrame, chunks: DataFrame, chunk: int = 1 << 16, keys: Sequence[str] = ("chrom", "start", "end")) -> DataFrame:
-    """Adds seq: the letters of [start, end), clamped to what the chromosome has; an equi-join on (chrom, chunk)."""
-    w = windows.withColumn("__from", F.greatest(F.col("start"), F.lit(0)))
-    w = w.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("__from") / chunk), F.greatest(F.floor((F.col("end") - 1) / chunk), F.floor(F.col("__from") / chunk)))))
-    part = w.join(chunks, ["chrom", "chunk"])
-    lo = F.greatest(F.col("__from") - F.col("chunk") * chunk, F.lit(0))
-    hi = F.least(F.col("end") - F.col("chunk") * chunk, F.lit(chunk))
-    part = part.withColumn("__s", F.col("seq").substr((lo + 1).cast("int"), F.greatest(F.lit(0), hi - lo).cast("int")))
-    got = part.groupBy(*keys).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk", "__s"))), lambda x: x["__s"]), "").alias("seq"))
+    """Adds seq: the letters of [start, end), clamped to what the chromosome has; an equi-join on (chrom, chunk).
+
+    Every distinct window is fetched once and given to all rows that ask for it; unknown names and empty windows get ''."""
+    w = windows.select(*keys).distinct().withColumn("__from", F.greatest(F.col("start"), F.lit(0)))
+    w = w.where(F.col("end") > F.col("__from"))
+    w = w.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("__from") / chunk), F.floor((F.col("end") - 1) / chunk))))
+    part = w.join(chunks.withColumnRenamed("start", "__at"), ["chrom", "chunk"])
+    lo = F.greatest(F.col("__from") - F.col("__at"), F.lit(0))
+    n = F.least(F.col("end") - F.col("__at"), F.length("seq")) - lo
+    part = part.where(n > 0).withColumn("__s", F.col("seq").substr((lo + 1).cast("int"), n.cast("int")))
+    got = part.groupBy(*keys).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("__at", "__s"))), lambda x: x["__s"]), "").alias("seq"))
     return windows.join(got, list(keys), "left").withColumn("seq", F.coalesce("seq", F.lit("")))
 
 
