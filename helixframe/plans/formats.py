@@ -372,14 +372,21 @@ def shard_plan(spark, sf_dir):
     return plan.join(rows, "split").select("place", "split", "n", "layers")
 
 
-@query("SELECT 3::BIGINT AS n, 'b' AS label, 'here' AS found")
+@query("SELECT n_name AS label, 'here' AS found, count(*) AS n, sum(c_custkey)::BIGINT AS keys FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
 def input_paths(spark, sf_dir):
-    """The first of several layouts that exists, and labels of path arguments."""
+    """Customers stored by nation in one of several layouts: the first that exists is read, with labels from its path arguments."""
     path = new_path(spark, "layout")
-    spark.range(3).write.parquet(f"{path}/here")
+    nations = read(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey").write.partitionBy("c_nationkey").parquet(f"{path}/here")
     found = readers.first_existing(spark, [f"{path}/gone", f"{path}/here", f"{path}/later"])
-    labels = readers.labelled_paths(["a=/x/y.bed", "/x/b.bed.gz"])
-    return spark.read.parquet(found).agg(F.count("*").alias("n")).select("n", F.lit(list(labels)[1]).alias("label"), F.lit(found.rsplit("/", 1)[-1]).alias("found"))
+    names = {r.n_nationkey: r.n_name for r in nations.collect()}  # 25 rows
+    held = sorted(r.c_nationkey for r in spark.read.parquet(found).select("c_nationkey").distinct().collect())
+    labels = readers.labelled_paths([f"{names[k]}={found}/c_nationkey={k}" for k in held])
+    parts = [spark.read.parquet(p).select(F.lit(label).alias("label"), "c_custkey") for label, p in labels.items()]
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionAll(part)
+    return rows.groupBy("label").agg(F.lit(found.rsplit("/", 1)[-1]).alias("found"), F.count("*").alias("n"), F.sum("c_custkey").alias("keys"))
 
 
 @query("SELECT user_id, count(*) + count(*) FILTER (event_type = 'click') AS n FROM events GROUP BY 1")

@@ -29,12 +29,11 @@ def gate_activations(spark, sf_dir):
     return x.groupBy("feature").agg(n("jump"), n("gated"), *[F.round(F.sum(c), 4).alias(c) for c in ("jump", "gated")])
 
 
-@query(f"WITH {NEURON_X}, {TOY}, k AS (SELECT * FROM (SELECT vec_id, feature, pre AS act, row_number() OVER (PARTITION BY vec_id ORDER BY pre DESC, feature) AS r FROM h WHERE pre > 0) WHERE r <= 4) SELECT vec_id, dim::INTEGER AS dim, round(sum(act * w), 4) + 0.0::DOUBLE AS x_hat FROM k JOIN w USING (feature) WHERE dim % 16 = 3 GROUP BY 1, 2")
+@query(f"WITH {NEURON_X}, {TOY}, k AS (SELECT * FROM (SELECT vec_id, feature, pre AS act, row_number() OVER (PARTITION BY vec_id ORDER BY pre DESC, feature) AS r FROM h WHERE pre > 0) WHERE r <= 4) SELECT vec_id, dim::INTEGER AS dim, round(sum(act * w), 4) + 0.0::DOUBLE AS x_hat FROM k JOIN w USING (feature) GROUP BY 1, 2")
 def decoded_vectors(spark, sf_dir):
-    """Sparse activations back to vectors; every sixteenth dimension is asked for."""
+    """Sparse activations back to vectors, in all dimensions."""
     acts = encoders.top_k(pre(spark, sf_dir).withColumn("act", encoders.relu(F.col("pre"))), 4, "vec_id")
-    weights = toy_weights(spark).where("dim % 16 = 3").withColumnRenamed("w", "w_dec")
-    return encoders.decode(acts, weights, "vec_id").withColumn("x_hat", F.round("x_hat", 4) + F.lit(0.0))
+    return encoders.decode(acts, toy_weights(spark).withColumnRenamed("w", "w_dec"), "vec_id").withColumn("x_hat", F.round("x_hat", 4) + F.lit(0.0))
 
 
 @query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding[1:8], lambda v: v::DOUBLE * v))) / (sqrt(list_sum(list_transform(embedding, lambda v: v::DOUBLE * v))) + 1e-12), 6) AS share, round(list_sum(list_transform(range(1, 65), lambda i: (embedding[i]::DOUBLE - embedding[65 - i]) ** 2)), 6) AS error FROM embeddings")
@@ -195,11 +194,17 @@ def null_plot_table(spark, sf_dir):
     return rounded4(sweeps.plot_rows(g.withColumn("significant_bh", flag)).select("concept", "observed", "significant", "place"))
 
 
-@query("SELECT concept, layer, feature FROM (VALUES ('0', 5, 63), ('1', 7, NULL), ('2', 4, 11), ('absent', 5, NULL)) t(concept, layer, feature) WHERE concept <> '0' UNION ALL SELECT '0', 5, (SELECT max(generate_subscripts) FROM (SELECT generate_subscripts(embedding, 1) - 1 AS generate_subscripts FROM embeddings LIMIT 64))::INTEGER")
+@query("""WITH s AS (SELECT DISTINCT p_brand || CASE p_size % 3 WHEN 0 THEN '' WHEN 1 THEN ':' || p_size % 7 ELSE ':' || p_size % 7 || ':' || p_size END AS spec FROM part),
+b AS (SELECT p_brand AS concept, (p_size % 7)::INTEGER AS layer, arg_max(p_partkey, (p_retailprice, -p_partkey))::INTEGER AS feature FROM part GROUP BY 1, 2),
+t AS (SELECT string_split(spec, ':') AS p FROM s)
+SELECT p[1] AS concept, coalesce(p[2]::INTEGER, 5) AS layer, coalesce(p[3]::INTEGER, b.feature) AS feature FROM t LEFT JOIN b ON b.concept = p[1] AND b.layer = coalesce(p[2]::INTEGER, 5)""")
 def steering_targets(spark, sf_dir):
-    best = read(spark, sf_dir, "embeddings").select(F.lit("0").alias("concept"), F.lit(5).alias("layer"), (F.size("embedding") - 1).alias("feature")).distinct()
-    specs = spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in ("0", "1:7", "2:4:11", "absent")])).alias("spec"))
-    return steering.resolved_targets(specs, best, 5)
+    """Targets named by brand, brand and layer, or in full; what is left out is looked up in each brand's best part by layer."""
+    p = read(spark, sf_dir, "part")
+    layer, size = (F.col("p_size") % 7).cast("int"), F.col("p_size").cast("string")
+    best = p.groupBy(F.col("p_brand").alias("concept"), layer.alias("layer")).agg(F.max_by("p_partkey", F.struct("p_retailprice", -F.col("p_partkey"))).cast("int").alias("feature"))
+    more = F.when(F.col("p_size") % 3 == 0, "").when(F.col("p_size") % 3 == 1, F.concat(F.lit(":"), layer.cast("string"))).otherwise(F.concat(F.lit(":"), layer.cast("string"), F.lit(":"), size))
+    return steering.resolved_targets(p.select(F.concat("p_brand", more).alias("spec")).distinct(), best, 5)
 
 
 @query("SELECT event_id, user_id, CASE WHEN event_id % 2 = 0 THEN value END AS value FROM events")
@@ -243,6 +248,19 @@ def idempotent_append(spark, sf_dir):
     return spark.read.schema(e.schema).json(path).groupBy("user_id").agg(F.count("*").alias("n"))
 
 
+@query("SELECT k % 10 AS k, count(*) AS n FROM (SELECT DISTINCT CASE WHEN event_id % 50 = 0 THEN NULL ELSE event_id END AS k FROM events) GROUP BY 1")
+def exactly_once_append(spark, sf_dir):
+    """Events delivered twice through a stream, some without a key, in two runs of the query."""
+    e = read(spark, sf_dir, "events").select(F.when(F.col("event_id") % 50 != 0, F.col("event_id")).alias("k"), "user_id")
+    path = f"{shared_folder(spark)}/once-{uuid.uuid4().hex}"
+    e.where("user_id % 2 = 0").write.parquet(f"{path}/in")
+    stream = incremental.arriving(spark, f"{path}/in", e)
+    incremental.exactly_once(stream, f"{path}/out", f"{path}/state", ["k"]).awaitTermination()
+    e.write.mode("append").parquet(f"{path}/in")
+    incremental.exactly_once(stream, f"{path}/out", f"{path}/state", ["k"]).awaitTermination()
+    return incremental.committed(spark, f"{path}/out", e).groupBy((F.col("k") % 10).alias("k")).agg(F.count("*").alias("n"))
+
+
 # ---------------------------------------------------------------- interpretation
 
 

@@ -622,9 +622,10 @@ def top_columns(spark, sf_dir):
     return steering.top_columns(li, "id", ["l_discount", "l_quantity", "l_tax"], 2)
 
 
-@query("SELECT id AS step, round(CASE WHEN id < 10 THEN 0.5 * (id + 1) / 10 ELSE 0.25 * (1 + cos(least(1, (id - 10) / 90.0::DOUBLE) * pi())) END, 6) AS rate FROM range(120) t(id)")
+@query("SELECT event_id, round(CASE WHEN event_id < 100 THEN 0.5 * (event_id + 1) / 100 ELSE 0.25 * (1 + cos(least(1, (event_id - 100) / 900.0::DOUBLE) * pi())) END, 6) AS rate FROM events")
 def rate_schedule(spark, sf_dir):
-    return spark.range(120).select(F.col("id").alias("step"), F.round(steering.warm_then_cosine(F.col("id"), 10, 100, 0.5), 6).alias("rate"))
+    """The rate of every event, taken as a training step."""
+    return read(spark, sf_dir, "events").select("event_id", F.round(steering.warm_then_cosine(F.col("event_id"), 100, 1000, 0.5), 6).alias("rate"))
 
 
 # ---------------------------------------------------------------- sequences, text, sets

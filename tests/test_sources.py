@@ -156,3 +156,49 @@ def test_interpretation(spark):
     done = []
     steps = [(n, lambda n=n: done.append(n)) for n in "abc"]
     assert ip.run_steps(steps, start="b") == ["b", "c"] == done
+
+
+def test_resumed_parts_without_counts_and_null_parts(spark, tmp_path):
+    rows_ = spark.createDataFrame([(p, v) for p in (0, 1, 2, None) for v in (1, 2, 3)], "part int, v int")
+    calls = []
+
+    def count(df):
+        calls.append(df.select("part").distinct().count())
+        return df.where("NOT part <=> 1").groupBy("part", "v").agg(F.count("*").alias("n"))
+
+    got = [inc.resumed(rows_, "part", count, ["v"], ["n"], str(tmp_path / "s"), "f", at_most=1) for _ in range(4)]
+    assert got[:3] == [None] * 3 and calls == [1] * 4
+    assert rows(got[3]) == [(1, 3), (2, 3), (3, 3)]
+    assert rows(inc.resumed(rows_, "part", count, ["v"], ["n"], str(tmp_path / "s"), "f")) == [(1, 3), (2, 3), (3, 3)] and calls[-1] == 0
+
+
+def test_appends_of_null_keys(spark, tmp_path):
+    two = spark.createDataFrame([(1, "a"), (None, "b")], "k int, v string")
+    for _ in range(3):
+        inc.append_new(two, str(tmp_path / "t"), ["k"])
+    assert rows(spark.read.schema(two.schema).json(str(tmp_path / "t"))) == rows(two)
+
+
+def test_exactly_once(spark, tmp_path):
+    """Replayed rows, a batch that was written but not noted, a batch run again, and null keys add nothing."""
+    src, out, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
+    first = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c"), (1, "a")], "k int, v string")
+    first.coalesce(1).write.parquet(src)
+    stream = inc.arriving(spark, src, first)
+    inc.exactly_once(stream, out, ck, ["k"]).awaitTermination()
+    assert [r.k for r in inc.committed(spark, out, first).orderBy("k").collect()] == [None, 1, 2]
+    spark.createDataFrame([(2, "again"), (None, "again"), (3, "d")], first.schema).coalesce(1).write.mode("append").parquet(src)
+    # the next batch was written by a run that died before its manifest entry
+    spark.createDataFrame([(9, "dead")], first.schema).write.parquet(f"{out}/data/batch=1")
+    assert inc.committed(spark, out, first).count() == 3
+    inc.exactly_once(stream, out, ck, ["k"]).awaitTermination()
+    assert [r.k for r in inc.committed(spark, out, first).orderBy("k").collect()] == [None, 1, 2, 3]
+    # a run whose batch was noted but whose checkpoint was not: the batch runs again
+    import os
+
+    for name in ("1", ".1.crc"):
+        if os.path.exists(f"{ck}/commits/{name}"):
+            os.remove(f"{ck}/commits/{name}")
+    inc.exactly_once(stream, out, ck, ["k"]).awaitTermination()
+    assert [r.k for r in inc.committed(spark, out, first).orderBy("k").collect()] == [None, 1, 2, 3]
+    assert inc.committed(spark, str(tmp_path / "none"), first).count() == 0
