@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..cluster import stored
+from .blocks import bitmap_overlap
 from .interval_index import label_index, labels_of, span_index, spans_of
 
 #: Width of the bins that spread a key's rows, in coordinate units.
@@ -177,19 +178,27 @@ def tumble(df: DataFrame, window: int, stride: int | None = None, keep_tail: boo
     return rows.select(*keys_of(keys), "start", F.least(F.col("start") + window, F.col(length).cast("long")).alias("end"))
 
 
-def bins_of(df: DataFrame, width: int, keys: str | Sequence[str] = "key") -> DataFrame:
-    """The distinct (key, bin) that intervals touch."""
+def bins_of(df: DataFrame, width: int, keys: str | Sequence[str] = "key", distinct: bool = True) -> DataFrame:
+    """The (key, bin) that intervals touch."""
     rows = df.where("start < end").withColumn("bin", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("end") - 1) / width))))
-    return rows.select(*keys_of(keys), "bin").distinct()
+    rows = rows.select(*keys_of(keys), "bin")
+    return rows.distinct() if distinct else rows
 
 
 def set_overlap(bins: DataFrame, label: str, on: Sequence[str]) -> DataFrame:
-    """a, b, n_a, n_b, both, jaccard, b_given_a for every pair of labels, also those that share no bin."""
-    sizes = bins.groupBy(label).agg(F.count("*").alias("n"))
-    shared = bins.select(F.col(label).alias("a"), *on).join(bins.select(F.col(label).alias("b"), *on), list(on)).groupBy("a", "b").agg(F.count("*").alias("both"))
-    pairs = sizes.select(F.col(label).alias("a"), F.col("n").alias("n_a")).crossJoin(small(sizes.select(F.col(label).alias("b"), F.col("n").alias("n_b"))))
+    """a, b, n_a, n_b, both, jaccard, b_given_a for every pair of labels, also those that share no bin.
+
+    Bins may repeat. Where the last of `on` is a whole number, sets are bitmaps and their pairs are counted bucket by bucket;
+    else distinct bins are joined."""
+    shared = bitmap_overlap(bins, label, on)
+    if shared is None:
+        held = bins.select(label, *on).distinct()
+        shared = null_safe_join(held.withColumnRenamed(label, "a"), held.withColumnRenamed(label, "b"), list(on)).groupBy("a", "b").agg(F.count("*").alias("both"))
+    shared = stored(shared, "shared-bins")
+    sizes = shared.where(F.col("a").eqNullSafe(F.col("b")))
+    pairs = sizes.select("a", F.col("both").alias("n_a")).crossJoin(small(sizes.select("b", F.col("both").alias("n_b"))))
     both = F.coalesce("both", F.lit(0))
-    out = pairs.join(shared, ["a", "b"], "left").withColumn("both", both)
+    out = null_safe_join(pairs, shared, ["a", "b"], "left").withColumn("both", both)
     return out.withColumns({"jaccard": F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both")), "b_given_a": F.col("both") / F.col("n_a")})
 
 

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar, sequence
-from ..operators import encoders, statistics, steering, sweeps, topk
+from ..operators import blocks, encoders, statistics, steering, sweeps, topk
 from ..streaming import incremental
 from . import interpret
-from .registry import NEURON_X, neurons, query, read, rounded, shared_folder, toy_weights
+from .registry import NEURON_X, SQL, neurons, query, read, rounded, shared_folder, toy_weights
 
 # ---------------------------------------------------------------- encoders and losses
 
@@ -87,6 +87,15 @@ def fused_pass(spark, sf_dir):
     return out.select("concept", "feature", "tp", "fires", F.round("mse", 9).alias("mse"))
 
 
+@query(SQL["fused_pass"])
+def fused_count_blocks(spark, sf_dir):
+    """The same pass with counts and errors kept in blocks."""
+    v = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.when(F.abs(x) >= 0.1, x).otherwise(0.0))
+    e = read(spark, sf_dir, "embeddings").select("embedding", v.alias("rebuilt"), F.col("label").cast("string").alias("labels"))
+    out = blocks.count_blocks(e, 64, vector="embedding", rebuilt="rebuilt")
+    return out.select(F.col("concept").cast("int").alias("concept"), "feature", "tp", "fires", F.round("mse", 9).alias("mse"))
+
+
 # ---------------------------------------------------------------- scalars and displays
 
 

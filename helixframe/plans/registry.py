@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..cluster import shared_folder
 from ..functions import scalar, sequence
-from ..operators import association, encoders, intervals, nullmodel, statistics, steering, sweeps, topk
+from ..operators import association, blocks, encoders, intervals, nullmodel, statistics, steering, sweeps, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -78,6 +78,15 @@ def assoc_raw_neuron(spark, sf_dir):
     return rounded(df, "mcc", "f1", "precision", "recall", "fpr", "balanced_f1", "prevalence", "enrichment", "log2_enrichment").drop("specificity", "fnr")
 
 
+@query(SQL["assoc_raw_neuron"])
+def assoc_count_blocks(spark, sf_dir):
+    """The same from blocks of counts: no token is shuffled, as each holds its label."""
+    e = read(spark, sf_dir, "embeddings").select("embedding", F.col("label").cast("string").alias("labels"))
+    counts = blocks.association_counts(e, 64, vector="embedding").withColumn("concept", F.col("concept").cast("int"))
+    df = association.with_metrics(counts).withColumns({c: association.finite(F.col(c)) for c in ("enrichment", "log2_enrichment")})
+    return rounded(df, "mcc", "f1", "precision", "recall", "fpr", "balanced_f1", "prevalence", "enrichment", "log2_enrichment").drop("specificity", "fnr")
+
+
 @query(f"WITH {NEURONS} SELECT concept, feature, rank, round(mcc, 6) AS mcc FROM (SELECT *, CAST(row_number() OVER (PARTITION BY concept ORDER BY mcc DESC NULLS LAST, feature) AS INTEGER) AS rank FROM m) WHERE rank <= 10")
 def assoc_top_features(spark, sf_dir):
     return rounded(association.ranked(assoc(spark, sf_dir), "mcc", top=10).select("concept", "feature", "rank", "mcc"), "mcc")
@@ -294,7 +303,7 @@ NATION_BINS = "b AS (SELECT DISTINCT s_nationkey AS nation, l_orderkey // 7 AS b
 def nation_bins(spark, sf_dir):
     li = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     rows = li.select(F.col("s_nationkey").alias("nation"), F.col("l_orderkey").alias("start"), (F.col("l_orderkey") + 1).alias("end"))
-    return intervals.set_overlap(intervals.bins_of(rows, 7, "nation"), "nation", ["bin"])
+    return intervals.set_overlap(intervals.bins_of(rows, 7, "nation", distinct=False), "nation", ["bin"])
 
 
 @query(f"WITH {NATION_BINS} SELECT a, b, n_a, n_b, \"both\", round(\"both\"::DOUBLE / (n_a + n_b - \"both\"), 6) AS jaccard, round(\"both\"::DOUBLE / n_a, 6) AS b_given_a FROM j")
@@ -487,6 +496,15 @@ def null_circular_shift(spark, sf_dir):
     return rounded(nullmodel.summarize(null, observed, ["concept", "feature"], "tp", 20), "null_mean", "null_std", "null_q95", "p")
 
 
+@query(f"WITH {TOKENS}, pr AS (SELECT DISTINCT concept, feature FROM a JOIN l USING (w)), sh AS (SELECT perm, w, (tok + perm + 3 * w) % 64 AS tok, concept FROM l, range(64) p(perm)), nl AS (SELECT perm, concept, feature, count(*) AS tp FROM a JOIN sh USING (w, tok) GROUP BY 1, 2, 3) SELECT concept, feature, CAST(p.perm AS INTEGER) AS perm, coalesce(tp, 0) AS tp FROM (SELECT * FROM pr, range(64) p(perm)) p LEFT JOIN nl USING (concept, feature, perm)")
+def null_all_shifts(spark, sf_dir):
+    """The hits of all 64 circular shifts, each window by a step of its own, without a row a shift."""
+    active, labels = null_tables(spark, sf_dir)
+    windows = labels.select("window").distinct()
+    shifts = windows.select("window", F.transform(F.sequence(F.lit(0), F.lit(63)), lambda p: p + 3 * F.col("window")).alias("shifts"))
+    return blocks.shift_hits(active, labels, shifts, 64)
+
+
 BLOCKS = TOKENS + ", win AS (SELECT DISTINCT w % 5 AS shard, w FROM l), pw AS (SELECT perm, shard, w, row_number() OVER (PARTITION BY shard, perm ORDER BY w) AS r, row_number() OVER (PARTITION BY shard, perm ORDER BY (w * 7919 + perm * 104729) % 1009, w) AS k FROM win, range(10) p(perm)), mv AS (SELECT x.perm, x.w, y.w AS to_w FROM pw x JOIN pw y ON x.perm = y.perm AND x.shard = y.shard AND x.r = y.k), sh AS (SELECT perm, to_w AS w, tok, concept FROM l JOIN mv USING (w)), nl AS (SELECT perm, concept, feature, count(*) AS tp FROM a JOIN sh USING (w, tok) GROUP BY 1, 2, 3)"
 
 
