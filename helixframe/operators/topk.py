@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .intervals import small
+from ..cluster import stored
+from .intervals import null_safe_join, small
 from .statistics import ordered_bin, quantile_bounds
 
 
@@ -127,25 +128,33 @@ def nearest_controls(rows: DataFrame, limit: float, per_bin: int = 2_000, keys:
 
 
 def greedy_controls(targets: DataFrame, pool: DataFrame, size: int, limit: float, keys: Sequence[str]) -> DataFrame:
-    """For each key, its targets in order take the nearest free row of the pool; none if the pool is smaller than the group.
+    """For each key, its first `size` targets by id in turn take the nearest free row of the pool (ties to the lower id); none if the
+    pool is smaller than the group. Targets themselves are not in their key's pool.
 
-    Sequential by nature: one task a key, whose pool is the features of one concept."""
+    A target's row is among its `size` nearest, as the others take fewer than that. So each target keeps that many, found
+    on the map side first, and only these (at most size * size a key) meet for the turns, however large the pool."""
     keys = list(keys)
-    both = targets.select(*keys, F.col("target").alias("id"), "rate", F.lit(0.0).alias("mcc"), F.lit(True).alias("is_target")).unionByName(pool.select(*keys, "id", "rate", "mcc", F.lit(False).alias("is_target")))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("target"))
+    wanted = stored(targets.select(*keys, "target", "rate").withColumn("__turn", rank).where(F.col("__turn") <= size), "targets")
+    group = wanted.groupBy(*keys).agg(F.count("*").alias("__group"), F.collect_set("target").alias("__taken"))
+    fit = pool.where((F.col("rate") > 0) & (F.abs("mcc") <= limit)).select(*keys, "id", F.col("rate").alias("__rate"))
+    fit = null_safe_join(fit, small(group), keys).where(~F.array_contains("__taken", F.col("id"))).drop("__taken")
+    enough = fit.groupBy(*keys).agg(F.count("*").alias("__n"), F.first("__group").alias("__g")).where("__n >= __g").select(*keys)
+    near = null_safe_join(fit, small(wanted), keys).withColumn("__gap", F.abs(F.col("__rate") - F.col("rate")))
+    order = Window.partitionBy(*keys, "__turn").orderBy("__gap", "id")
+    near = near.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= size)
+    near = null_safe_join(near.select(*keys, "__turn", "target", "__gap", "id"), enough, keys, "left_semi")
 
     def match(rows: pd.DataFrame) -> pd.DataFrame:
-        wanted = rows[rows["is_target"]].sort_values(["id"]).head(size)
-        free = rows[~rows["is_target"] & (rows["rate"] > 0) & (rows["mcc"].abs() <= limit) & ~rows["id"].isin(wanted["id"])].sort_values("id")
-        out = []
-        if len(free) >= len(wanted):
-            for t in wanted.itertuples():
-                best = (free["rate"] - t.rate).abs().idxmin()
-                out.append({**{k: rows[k].iloc[0] for k in keys}, "target": t.id, "control": free.at[best, "id"]})
-                free = free.drop(best)
+        used, out = set(), []
+        for (_, target), some in rows.sort_values(["__turn", "__gap", "id"]).groupby(["__turn", "target"], sort=True):
+            control = next(i for i in some["id"] if i not in used)
+            used.add(control)
+            out.append({**{k: rows[k].iloc[0] for k in keys}, "target": target, "control": control})
         return pd.DataFrame(out, columns=[*keys, "target", "control"])
 
-    types = dict(both.dtypes)
-    return both.groupBy(*keys).applyInPandas(match, ", ".join(f"{k} {types[k]}" for k in keys) + f", target {types['id']}, control {types['id']}")
+    types = dict(near.dtypes)
+    return near.groupBy(*keys).applyInPandas(match, ", ".join(f"{k} {types[k]}" for k in keys) + f", target {types['target']}, control {types['id']}")
 
 
 def override(left: DataFrame, right: DataFrame, key: str, take: Column, columns: Sequence[str]) -> DataFrame:

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar, sequence
-from ..operators import blocks, encoders, statistics, steering, sweeps, topk
-from ..streaming import incremental
+from ..operators import blocks, clustering, encoders, statistics, steering, sweeps, topk
+from ..streaming import incremental, permuted, state
 from . import interpret
 from .registry import NEURON_X, SQL, neurons, query, read, rounded, shared_folder, toy_weights
 
@@ -270,6 +270,61 @@ def exactly_once_append(spark, sf_dir):
     return incremental.committed(spark, f"{path}/out", e).groupBy((F.col("k") % 10).alias("k")).agg(F.count("*").alias("n"))
 
 
+def lloyd_sql(rounds: int) -> str:
+    """Standardised customers of each nation in three clusters: seeds by hash, then so many rounds, each from the one before."""
+    out = """WITH p AS (SELECT c_nationkey AS g, c_custkey AS id, c_acctbal AS x, length(c_name) + c_custkey % 17 AS y FROM customer),
+m AS (SELECT g, avg(x) AS mx, stddev_pop(x) AS sx, avg(y) AS my, stddev_pop(y) AS sy FROM p GROUP BY g),
+z AS (SELECT g, id, p.x AS act, CASE WHEN sx > 0 THEN (p.x - mx) / sx ELSE 0 END AS x, CASE WHEN sy > 0 THEN (p.y - my) / sy ELSE 0 END AS y FROM p JOIN m USING (g)),
+s AS (SELECT g, x, y, min(id) AS id FROM z GROUP BY g, x, y),
+c0 AS (SELECT g, k, x, y FROM (SELECT g, x, y, row_number() OVER (PARTITION BY g ORDER BY md5('42|0|' || id), id) - 1 AS k FROM s) WHERE k < 3)"""
+    pick = "SELECT z.g, id, act, z.x, z.y, arg_min(c.k, ((z.x - c.x) ** 2 + (z.y - c.y) ** 2, c.k)) AS k FROM z JOIN {c} c ON z.g = c.g GROUP BY ALL"
+    for i in range(rounds):
+        out += f",\na{i} AS ({pick.format(c=f'c{i}')}),\nc{i + 1} AS (SELECT g, k, coalesce(a.x, c.x) AS x, coalesce(a.y, c.y) AS y FROM c{i} c LEFT JOIN (SELECT g, k, avg(x) AS x, avg(y) AS y FROM a{i} GROUP BY g, k) a USING (g, k))"
+    return out + f",\nf AS ({pick.format(c=f'c{rounds}')}) SELECT g AS nation, k::INTEGER AS cluster, count(*) AS n, round(avg(act), 4) AS mean_act, sum(id)::BIGINT AS ids FROM f GROUP BY g, k"
+
+
+@query(lloyd_sql(4))
+def kmeans_by_feature(spark, sf_dir):
+    """Nations as features, customers as their examples: all features are clustered in the same four rounds."""
+    c = read(spark, sf_dir, "customer")
+    v = F.array(F.col("c_acctbal"), (F.length("c_name") + F.col("c_custkey") % 17).cast("double"))
+    points = c.select(F.col("c_nationkey").alias("nation"), F.col("c_custkey").alias("id"), "c_acctbal", v.alias("v"))
+    out = clustering.kmeans(clustering.standardised(points, "nation", "v"), "nation", "v", 3, rounds=4, starts=1)
+    return out.groupBy("nation", "cluster").agg(F.count("*").alias("n"), F.round(F.avg("c_acctbal"), 4).alias("mean_act"), F.sum("id").alias("ids"))
+
+
+@query(SQL["dead_counter"])
+def dead_counter_stream(spark, sf_dir):
+    """Runs kept as state of a stream of four files, by a query that is stopped after two of them and started again."""
+    e = read(spark, sf_dir, "events").select("user_id", "event_id", "value")
+    path = f"{shared_folder(spark)}/silence-{uuid.uuid4().hex}"
+    bounds = e.select(F.percentile_approx("event_id", [0.25, 0.5, 0.75])).first()[0]
+    part = F.lit(0)
+    for b in bounds:
+        part = part + (F.col("event_id") > b).cast("int")
+    e = e.withColumn("part", part)
+    for parts in ((0, 1), (2, 3)):
+        for p in parts:
+            e.where(F.col("part") == p).drop("part").coalesce(1).write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema(e.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+        state.silent_runs(stream, "user_id", "event_id", "value < 50").writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/out").select("event_id", "run")
+
+
+@query("SELECT count(*) AS n, count(DISTINCT place) AS places, count(DISTINCT event_id) AS events, (max(place) + 1)::BIGINT AS stop, (max(batch) + 1)::BIGINT AS batches FROM (SELECT event_id, row_number() OVER () - 1 AS place, (row_number() OVER () - 1) // 4000 AS batch FROM events)")
+def permuted_epoch(spark, sf_dir):
+    """A shuffled epoch as a stream, stopped in its middle and continued: every event once, at a place of its own."""
+    rows, n = permuted.numbered(read(spark, sf_dir, "events").select("event_id"))
+    path = f"{shared_folder(spark)}/epoch-{uuid.uuid4().hex}"
+    for stop in (n // 2, n):
+        batches = permuted.stream_epoch(rows, n, 4000, 7, stop=stop)
+        q = batches.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").start()
+        q.processAllAvailable()
+        q.stop()
+    out = spark.read.parquet(f"{path}/out")
+    return out.agg(F.count("*").alias("n"), F.countDistinct("place").alias("places"), F.countDistinct("event_id").alias("events"), (F.max("place") + 1).alias("stop"), (F.max("batch") + 1).alias("batches"))
+
+
 # ---------------------------------------------------------------- interpretation
 
 
