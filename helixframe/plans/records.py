@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar, sequence
 from ..operators import blocks, clustering, encoders, statistics, steering, sweeps, topk
+from ..sources import arrays
 from ..streaming import incremental, permuted, state
 from . import interpret
 from .registry import NEURON_X, SQL, neurons, query, read, rounded, shared_folder, toy_weights
@@ -96,6 +97,19 @@ def fused_count_blocks(spark, sf_dir):
     return out.select(F.col("concept").cast("int").alias("concept"), "feature", "tp", "fires", F.round("mse", 9).alias("mse"))
 
 
+@query(f"WITH {NEURON_X}, w AS (SELECT label AS feature, dim, avg(v) AS w FROM x GROUP BY 1, 2), h AS (SELECT vec_id, feature, greatest(sum(v * w) + 0.01 * feature, 0) AS act FROM x JOIN w USING (dim) GROUP BY 1, 2) SELECT vec_id, feature::INTEGER AS feature, round(act, 5) AS act FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY act DESC, feature) AS r FROM h WHERE act > 0) WHERE r <= 3")
+def encoded_by_stored_weights(spark, sf_dir):
+    """The mean vector of each label as a feature: stored as an array file, read back as weights, and encoded with."""
+    e = read(spark, sf_dir, "embeddings")
+    x = encoders.long_form(e, "vec_id", "embedding", keep=("label",))
+    means = x.groupBy("label", "dim").agg(F.avg("x").alias("w")).groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "w"))), lambda s: s["w"]).alias("values"))
+    w = means.select(F.lit("w_enc").alias("member"), F.col("label").alias("row"), "values")
+    b = means.select(F.lit("b_enc").alias("member"), F.col("label").alias("row"), F.array(0.01 * F.col("label")).alias("values"))
+    path = f"{shared_folder(spark)}/weights-{uuid.uuid4().hex}"
+    arrays.write_npz(w.unionByName(b).withColumn("file", F.lit("model")), path).collect()
+    return encoders.encode(e, arrays.weights(spark, path), 3, "vec_id", "embedding").withColumn("act", F.round("act", 5))
+
+
 # ---------------------------------------------------------------- scalars and displays
 
 
