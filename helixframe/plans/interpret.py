@@ -200,6 +200,24 @@ def cluster_summary(df: DataFrame, chrom: str, act: str, keys: Sequence[str]) ->
     return df.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(act).alias("mean_act")).join(names, list(keys))
 
 
+def feature_reports(table: DataFrame, dense: float, top: int = 10) -> DataFrame:
+    """feature, place, kind ("sparse" or "dense"), report: a block of text a feature, sparse ones first, each kind by best f1.
+
+    table: concept, feature, f1, rate. A concept names a feature if it is among its `top` by f1."""
+    ranked = top_n(table, ["concept"], [F.desc_nulls_last("f1"), F.asc("feature")], top, "__r").select("concept", "feature", F.lit(True).alias("__top"))
+    rows = table.join(ranked, ["concept", "feature"], "left")
+    name = F.col("concept").cast("string")
+    per = rows.groupBy("feature").agg(F.first("rate").alias("rate"), F.max(F.struct("f1", name.alias("c"))).alias("best"), F.sort_array(F.collect_list(F.when(F.col("__top"), name))).alias("named"))
+    kind = F.when(F.col("rate") > dense, "dense").otherwise("sparse")
+    text = F.concat(
+        F.format_string("## Feature %d (%s, fires on %.2f %% of tokens)\n", "feature", kind, 100 * F.col("rate")),
+        F.format_string("Best match: %s, F1 %.3f\n", F.col("best.c"), F.col("best.f1")),
+        F.when(F.size("named") > 0, F.format_string("Among the first %d of %d concepts: %s", F.lit(top), F.size("named"), F.array_join("named", ", "))).otherwise(F.lit("Among the first of no concept")),
+    )
+    place = F.row_number().over(Window.orderBy(F.desc("kind"), F.desc("__f1"), F.asc("feature")))
+    return per.select("feature", kind.alias("kind"), F.col("best.f1").alias("__f1"), text.alias("report")).withColumn("place", place).drop("__f1")
+
+
 def run_steps(steps: Sequence[tuple[str, Callable[[], None]]], start: str | None = None, only: Sequence[str] = ()) -> list[str]:
     """Runs the named steps in order from `start`; stops at the first that raises."""
     names = [n for n, _ in steps]
