@@ -18,6 +18,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh_name
+
 #: The largest table that may be broadcast (slots).
 MAX_TABLE = 1_000_003
 
@@ -56,11 +58,11 @@ def key_hash(key: Column) -> Column:
 def assign(df: DataFrame, shards: list[str], size: int = 65_537, key: str = "doc_id") -> DataFrame:
     """Adds slot and shard (both int). One broadcast lookup a row; rows are not shuffled."""
     slots = ",".join(map(str, lookup_table(shards, size)))
-    lookup = df.sparkSession.range(1).select(F.posexplode(F.split(F.lit(slots), ",")).alias("__slot", "__shard"))
-    lookup = lookup.select("__slot", F.col("__shard").cast("int").alias("__shard"))
+    at, to = fresh_name(df, "__slot"), fresh_name(df, "__shard")
+    lookup = df.sparkSession.range(1).select(F.posexplode(F.split(F.lit(slots), ",")).alias(at, to)).withColumn(to, F.col(to).cast("int"))
     keep = [c for c in df.columns if c not in ("slot", "shard")]
-    put = df.withColumn("__slot", F.pmod(key_hash(df[key]), F.lit(size)).cast("int"))
-    return put.join(F.broadcast(lookup), "__slot").select(*keep, F.col("__slot").alias("slot"), F.col("__shard").alias("shard"))
+    put = df.withColumn(at, F.pmod(key_hash(df[key]), F.lit(size)).cast("int"))
+    return put.join(F.broadcast(lookup), at).select(*keep, F.col(at).alias("slot"), F.col(to).alias("shard"))
 
 
 def assign_groups(df: DataFrame, shards: list[str], group: str, size: int = 65_537, row_key: str = "doc_id") -> DataFrame:
@@ -69,12 +71,13 @@ def assign_groups(df: DataFrame, shards: list[str], group: str, size: int = 65_5
     At most 2 * len(shards) groups can be so large, which bounds what is broadcast."""
     n = len(shards)
     total = df.count()
-    parts = df.groupBy(F.col(group).alias("__g")).count().where(F.col("count") * 2 * n > total)
-    parts = parts.select("__g", F.ceil(F.col("count") * 2 * n / F.lit(max(total, 1))).alias("__parts"))
-    mixed = df.join(F.broadcast(parts), df[group].eqNullSafe(F.col("__g")), "left")
-    part = F.pmod(key_hash(F.col(row_key)), F.coalesce("__parts", F.lit(1)))
-    mixed = mixed.withColumn("__key", F.concat_ws("\x1f", F.coalesce(F.col(group).cast("string"), F.lit("")), part.cast("string")))
-    return assign(mixed, shards, size, "__key").drop("__g", "__parts", "__key")
+    g, many, mixed_key = (fresh_name(df, c) for c in ("__g", "__parts", "__key"))
+    parts = df.groupBy(F.col(group).alias(g)).agg(F.count("*").alias(many)).where(F.col(many) * 2 * n > total)
+    parts = parts.select(g, F.ceil(F.col(many) * 2 * n / F.lit(max(total, 1))).alias(many))
+    mixed = df.join(F.broadcast(parts), df[group].eqNullSafe(F.col(g)), "left")
+    part = F.pmod(key_hash(F.col(row_key)), F.coalesce(many, F.lit(1)))
+    mixed = mixed.withColumn(mixed_key, F.concat_ws("\x1f", F.coalesce(F.col(group).cast("string"), F.lit("")), part.cast("string")))
+    return assign(mixed, shards, size, mixed_key).drop(g, many, mixed_key)
 
 
 def write_shards(df: DataFrame, path: str) -> None:

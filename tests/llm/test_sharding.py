@@ -47,3 +47,14 @@ def test_written_shards(spark, tmp_path):
 def test_no_python_on_the_main_path(spark, odd_documents):
     plan = assign(odd_documents, NAMES, 2039)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_clashing_names(spark):
+    names = "doc_id long, __slot int, __shard int, __g string, __parts int, __key string, source string"
+    df = spark.createDataFrame([(i, 100 + i, 7, "g", 3, "k", "hot" if i % 3 == 0 else f"s{i}") for i in range(60)], names)
+    plain = {r.doc_id: (r.slot, r.shard) for r in assign(df.select("doc_id"), NAMES, 2039).collect()}
+    got = assign(df, NAMES, 2039)
+    assert got.columns == [*df.columns, "slot", "shard"]
+    assert all((r["__slot"], r["__shard"]) == (100 + r.doc_id, 7) and (r.slot, r.shard) == plain[r.doc_id] for r in got.collect())
+    groups = assign_groups(df, NAMES, "source", 2039)
+    assert groups.columns == [*df.columns, "slot", "shard"] and all((r["__g"], r["__parts"], r["__key"]) == ("g", 3, "k") for r in groups.collect())
