@@ -13,9 +13,11 @@ pool of its gender and script; a script without a pool keeps its letters' block
 
 Collision checks then run over the corpus's distinct entities, as joins: a surrogate that two entities
 share, or that is itself an entity of the corpus, is drawn again with the next attempt until none is
-left. Only the redrawn ones are exceptions to the function. The name pool grows with the number of names, so they
+left, whatever its length. Only the redrawn ones are exceptions to the function. The name pool grows with the number of names, so they
 are few; up to a bound tasks hold them, beyond it they are joined to the documents by entity. Only then are
-texts shuffled. Where a format is so full that RETRIES attempts all gave an entity of the corpus, one may be kept.
+texts shuffled. Where a format is so full that RETRIES attempts all gave an entity of the corpus, a name of a script without
+a pool becomes longer, by a letter with every further attempt, and anything else becomes a marked placeholder, such as
+<phone 9f86d081884c7d65>, which no entity can be. So no real entity is ever a surrogate.
 
 Defined results: null stays null; a text without entities stays as it is; every input row gives one row, by
 its own text, also where ids repeat; texts are read whole, however long; names without any title in their
@@ -38,8 +40,8 @@ from .common import SLICE, extend, fresh_name, ship, written
 
 #: The most redrawn entities that tasks are handed; beyond it they are joined.
 MAX_REDRAWN = 200_000
-#: Attempts at a surrogate that is no entity of the corpus.
-RETRIES = 64
+#: Attempts at a surrogate of the entity's own format that is no entity of the corpus.
+RETRIES = 24
 #: Alphabets whose letters are replaced among themselves.
 ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àâäáãåçèéêëìíîïñòóôöõùúûüýÿ", "ÀÂÄÁÃÅÇÈÉÊËÌÍÎÏÑÒÓÔÖÕÙÚÛÜÝŸ", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ")
 HEX = re.compile(r"[0-9a-f]+").fullmatch
@@ -207,6 +209,12 @@ def in_format(form: str, key: bytes, tweak: str) -> str:
 def surrogate(kind: str, form: str, key: bytes, attempt: int = 0) -> str:
     """The canonical form of the replacement."""
     tweak = f"{kind} {attempt}"
+    if attempt >= RETRIES and not (kind.startswith("name") and kind.split(" ")[2] in SYLLABLES):
+        if not kind.startswith("name"):
+            return f"<{kind} {hashlib.blake2b(f'{tweak} {form}'.encode(), key=key, digest_size=8).hexdigest()}>"
+        letters = [c for c in form if alphabet_of(c)] or ["x"]
+        more = attempt - RETRIES + 1
+        form += "".join(letters[i % len(letters)] for i in range(more))
     if kind == "card":
         body = form[0] + in_format(form[1:-1], key, tweak)
         return body + str(luhn(body))
@@ -247,7 +255,9 @@ def surrogate(kind: str, form: str, key: bytes, attempt: int = 0) -> str:
 
 
 def render(original: str, kind: str, form: str) -> str:
-    """The surrogate in the original's spelling: its case, spaces and marks."""
+    """The surrogate in the original's spelling: its case, spaces and marks. A placeholder stands as it is."""
+    if form.startswith("<"):
+        return form
     if kind.startswith("name"):
         return form.upper() if original.isupper() and len(original) > 1 else form[:1].upper() + form[1:]
     if kind == "ip" or kind == "secret":
@@ -316,7 +326,7 @@ def drawn(known: DataFrame, key: str, first: dict[str, int]) -> DataFrame:
         owners = rows.groupBy(group_of(F.col("kind")).alias("grp"), "sur").agg(F.min(F.struct("attempt", "form")).alias("first"), F.count("*").alias("n")).where("n > 1").select("grp", "sur", F.col("first.form").alias("owner"))
         real = known.select(group_of(F.col("kind")).alias("grp"), F.col("form").alias("sur"), F.lit(True).alias("real"))
         judged = rows.withColumn("grp", group_of(F.col("kind"))).join(owners, ["grp", "sur"], "left").join(real, ["grp", "sur"], "left")
-        is_real = F.coalesce("real", F.lit(False)) & (F.length("sur") > 3) & (F.col("attempt") - F.col("base") < RETRIES)
+        is_real = F.coalesce("real", F.lit(False))
         bad = judged.where(is_real | (F.col("owner") != F.col("form"))).select("kind", "form", "base", (F.col("attempt") + 1).alias("attempt"))
         bad = written(bad, "collided")
         if bad.isEmpty():
@@ -324,12 +334,6 @@ def drawn(known: DataFrame, key: str, first: dict[str, int]) -> DataFrame:
         rows = written(rows.join(bad.select("kind", "form"), ["kind", "form"], "left_anti").union(bad.mapInArrow(draw, shape)), "drawn")
 
 
-def redrawn(known: DataFrame, key: str) -> tuple[int, dict[tuple[str, str], int]]:
-    """(epoch of the key, attempt by entity where it is not 0), for few entities."""
-    rows = drawn(known, key, first_attempts(known)).where("attempt > 0").collect()
-    return 0, {(r["kind"], r["form"]): r["attempt"] for r in rows}
-
-
 def with_attempts(docs: DataFrame, again: DataFrame, text_col: str, name: str) -> DataFrame:
     """Adds the document's exceptional entities as an array of (said, form, kind, attempt)."""
 

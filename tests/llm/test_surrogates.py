@@ -63,9 +63,9 @@ def test_collisions_are_redrawn(spark, monkeypatch):
     monkeypatch.setattr(s, "SYLLABLES", {"latin": ["ba", "be", "bi"], "cyrillic": ["ба"]})
     monkeypatch.setattr(s, "surrogate", lambda kind, form, key, attempt=0: f"name{(sum(map(ord, form)) + attempt) % 40}")
     known = spark.createDataFrame([("name m latin", f"n{i}") for i in range(20)], "kind string, form string")
-    epoch, again = s.redrawn(known, "key")
-    final = [s.surrogate("", f"n{i}", b"", again.get(("name m latin", f"n{i}"), 0)) for i in range(20)]
-    assert epoch == 0 and again and len(set(final)) == 20
+    rows = s.drawn(known, "key", s.first_attempts(known)).collect()
+    assert any(r.attempt > r.base for r in rows) and len({r.sur for r in rows}) == len({r.form for r in rows}) == 20
+    assert all(r.sur == s.surrogate("", r.form, b"", r.attempt) for r in rows)
 
 
 def test_letters_outside_the_alphabets_are_replaced():
@@ -138,7 +138,7 @@ def brute(texts, key):
         owner = {}
         for (g, f), x in new.items():
             owner[g, x] = min(owner.get((g, x), (10**9, "")), (attempt[g, f], f))
-        bad = [e for e, x in new.items() if owner[e[0], x][1] != e[1] or len(x) > 3 and (e[0], x) in new and attempt[e] < s.RETRIES]
+        bad = [e for e, x in new.items() if owner[e[0], x][1] != e[1] or (e[0], x) in new]
         if not bad:
             break
         for e in bad:
@@ -163,3 +163,27 @@ def test_corpus_equals_brute_force(spark, bound):
     got = s.replace_entities(docs, "key", max_redrawn=bound)
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted(((i // 2, t) for i, t in enumerate(want)), key=repr)
     assert got.columns == ["doc_id", "text", "n_entities"] and len({(g, x) for (g, _), x in new.items()}) == len(new)
+
+
+def test_short_names_never_become_real_ones(spark):
+    """Two- and three-letter names of a script without a pool: brute force over the whole mapping, and no name of the corpus in it."""
+    letters = [chr(0x4E00 + 37 * i) for i in range(18)]
+    people = [a + b for a in letters for b in letters[:15]] + [a + b + a for a in letters for b in letters[:3]]
+    texts = [f"Mr {p} met Mrs {q}" for p, q in zip(people, people[1:] + people[:1])]
+    want, new = brute(texts, "key")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in s.replace_entities(docs, "key").collect()}
+    assert got == dict(enumerate(want))
+    assert not set(new.values()) & set(people) and len(set(new.values())) == len(people)
+
+
+def test_full_formats_have_a_way_out(spark):
+    """Every string of a format is an entity: names become longer, anything else a marked placeholder. The draws begin one attempt before that."""
+    greek = s.alphabet_of("α")
+    known = [("name m other", c) for c in greek] + [("ip", f"{a}.{b}.{c}.{d}") for a in range(10) for b in range(10) for c in range(10) for d in range(10)]
+    first = {"name m other": s.RETRIES - 1, "ip": s.RETRIES - 1}
+    rows = s.drawn(spark.createDataFrame(known, "kind string, form string"), "key", first).collect()
+    real = {f for _, f in known}
+    assert not any(r.sur in real for r in rows) and len({r.sur for r in rows}) == len(rows) == len(known)
+    assert all(len(r.sur) > 1 and set(r.sur) <= set(greek) if r.kind != "ip" else r.sur.startswith("<ip ") for r in rows)
+    assert s.render("1.2.3.4", "ip", "<ip 00ff>") == "<ip 00ff>" and not s.entities("<ip 9f86d081884c7d65> <phone 0123456789012345> <card 9999999999999999>")
