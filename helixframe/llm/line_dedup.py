@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import WHITE, ascii_lower, drop_written, fresh_name, new_path, written
 
-#: The most repeated keys that are broadcast (24 bytes each).
-MAX_REPEATED = 300_000
+#: The most repeated keys that are broadcast (24 bytes each), and the lines of a bucket beyond which there are more buckets.
+MAX_REPEATED, PER_BUCKET = 300_000, 4_000_000
 KEY = ["h1", "h2"]
 
 
@@ -39,8 +39,8 @@ def line_key(line: Column) -> Column:
 class Runs:
     """The levelled runs: level -> list of bucketed tables (h1, h2, first_doc, again, fresh). A table of level 0 also holds its batch's keys that are not fresh."""
 
-    def __init__(self, fanout: int):
-        self.fanout, self.levels, self.stored = fanout, [], []
+    def __init__(self, fanout: int, buckets: int | None = None):
+        self.fanout, self.buckets, self.levels, self.stored = fanout, buckets, [], []
 
     def all(self) -> DataFrame | None:
         out = None
@@ -56,7 +56,8 @@ class Runs:
         spark = rows.sparkSession
         path = new_path(spark, f"line-run-l{level}")
         name = "helixframe_" + path.rsplit("/", 1)[-1].replace("-", "_")
-        buckets = min(100_000, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        # adaptive execution does not split or merge the buckets of a join
+        buckets = min(100_000, self.buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
         rows.write.bucketBy(buckets, *KEY).sortBy(*KEY).option("path", path).saveAsTable(name)
         out = spark.table(name)
         out._helix_path, out._helix_name = path, name
@@ -66,8 +67,10 @@ class Runs:
         self.stored.append(out)
         return out
 
-    def add(self, batch: DataFrame) -> None:
-        """batch: (h1, h2, first_doc), each hash once, and maybe again: whether two documents of the batch hold it."""
+    def add(self, batch: DataFrame, last: bool = False) -> None:
+        """batch: (h1, h2, first_doc), each hash once, and maybe again: whether two documents of the batch hold it.
+
+        last: no other batch will be joined with the runs, so they are not merged."""
         rows = batch if "again" in batch.columns else batch.withColumn("again", F.lit(False))
         for i, run in enumerate(r for level in self.levels for r in level):
             held = self._keys(run).withColumnsRenamed({"first_doc": f"held{i}"}).withColumn(f"in{i}", F.lit(True))
@@ -77,7 +80,7 @@ class Runs:
         found = F.coalesce(*[F.col(f"held{i}") for i in range(n)], F.col("first_doc"))
         self._put(rows.select(*KEY, found.alias("first_doc"), (F.col("again") | known).alias("again"), (~known).alias("fresh")), 0)
         level = 0
-        while len(self.levels[level]) >= self.fanout:
+        while not last and len(self.levels[level]) >= self.fanout:
             old, self.levels[level] = self.levels[level], []
             # no hash is in two runs, so a full join of sorted runs is their merge
             merged = self._keys(old[0])
@@ -121,11 +124,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = lines.where(F.char_length("key") >= min_chars).select("id", "k1", "k2", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"), "batch")
     lines = written(lines, "lines")
 
-    runs = Runs(fanout)
+    runs = Runs(fanout, max(int(spark.conf.get("spark.sql.shuffle.partitions")), lines.count() // (batches * PER_BUCKET)))
     for b in range(batches):
         one = lines.where(F.col("batch") == b).groupBy(*KEY).agg(F.min("id").alias("first_doc"), F.max("id").alias("last_doc"), F.max(F.col("id").isNull()).alias("nil"))
         again = F.coalesce((F.col("first_doc") != F.col("last_doc")) | F.col("nil"), F.lit(False)) & F.col("first_doc").isNotNull()
-        runs.add(one.select(*KEY, "first_doc", again.alias("again")))
+        runs.add(one.select(*KEY, "first_doc", again.alias("again")), last=b == batches - 1)
     repeated = written(runs.repeated(), "repeated-lines")
     runs.drop()
     few = repeated.count() <= MAX_REPEATED
