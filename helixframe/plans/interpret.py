@@ -210,8 +210,8 @@ def feature_reports(table: DataFrame, dense: float, top: int = 10) -> DataFrame:
     per = rows.groupBy("feature").agg(F.first("rate").alias("rate"), F.max(F.struct("f1", name.alias("c"))).alias("best"), F.sort_array(F.collect_list(F.when(F.col("__top"), name))).alias("named"))
     kind = F.when(F.col("rate") > dense, "dense").otherwise("sparse")
     text = F.concat(
-        F.format_string("## Feature %d (%s, fires on %.2f %% of tokens)\n", "feature", kind, 100 * F.col("rate")),
-        F.format_string("Best match: %s, F1 %.3f\n", F.col("best.c"), F.col("best.f1")),
+        F.format_string("## Feature %d (%s, fires on %.2f %% of tokens)\n", "feature", kind, F.round(100 * F.col("rate"), 2)),
+        F.format_string("Best match: %s, F1 %.3f\n", F.col("best.c"), F.round("best.f1", 3)),
         F.when(F.size("named") > 0, F.format_string("Among the first %d of %d concepts: %s", F.lit(top), F.size("named"), F.array_join("named", ", "))).otherwise(F.lit("Among the first of no concept")),
     )
     place = F.row_number().over(Window.orderBy(F.desc("kind"), F.desc("__f1"), F.asc("feature")))

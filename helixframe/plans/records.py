@@ -536,7 +536,7 @@ def null_table_files(spark, sf_dir):
     return rows[0].crossJoin(F.broadcast(rows[1])).crossJoin(F.broadcast(about))  # one row each
 
 
-@query(f"WITH {NEURONS}, q AS (SELECT concept, feature, f1, (tp + fp)::DOUBLE / (n_pos + n_neg) AS rate FROM m), rk AS (SELECT *, row_number() OVER (PARTITION BY concept ORDER BY f1 DESC NULLS LAST, feature) AS k FROM q), g AS (SELECT feature, any_value(rate) AS rate, max(f1) AS f1, arg_max(concept::VARCHAR, (f1, concept::VARCHAR)) AS best, count(*) FILTER (k <= 10) AS n, string_agg(concept::VARCHAR, ', ' ORDER BY concept::VARCHAR) FILTER (k <= 10) AS named FROM rk GROUP BY feature), d AS (SELECT *, CASE WHEN rate > 0.5 THEN 'dense' ELSE 'sparse' END AS kind FROM g) SELECT feature, kind, CAST(row_number() OVER (ORDER BY kind DESC, f1 DESC, feature) AS INTEGER) AS place, printf('## Feature %d (%s, fires on %.2f %% of tokens)', feature, kind, 100 * rate) || chr(10) || printf('Best match: %s, F1 %.3f', best, f1) || chr(10) || CASE WHEN n > 0 THEN printf('Among the first 10 of %d concepts: %s', n, named) ELSE 'Among the first of no concept' END AS report FROM d")
+@query(f"WITH {NEURONS}, q AS (SELECT concept, feature, f1, (tp + fp)::DOUBLE / (n_pos + n_neg) AS rate FROM m), rk AS (SELECT *, row_number() OVER (PARTITION BY concept ORDER BY f1 DESC NULLS LAST, feature) AS k FROM q), g AS (SELECT feature, any_value(rate) AS rate, max(f1) AS f1, arg_max(concept::VARCHAR, (f1, concept::VARCHAR)) AS best, count(*) FILTER (k <= 10) AS n, string_agg(concept::VARCHAR, ', ' ORDER BY concept::VARCHAR) FILTER (k <= 10) AS named FROM rk GROUP BY feature), d AS (SELECT *, CASE WHEN rate > 0.5 THEN 'dense' ELSE 'sparse' END AS kind FROM g) SELECT feature, kind, CAST(row_number() OVER (ORDER BY kind DESC, f1 DESC, feature) AS INTEGER) AS place, printf('## Feature %d (%s, fires on %.2f %% of tokens)', feature, kind, round(100 * rate, 2)) || chr(10) || printf('Best match: %s, F1 %.3f', best, round(f1, 3)) || chr(10) || CASE WHEN n > 0 THEN printf('Among the first 10 of %d concepts: %s', n, named) ELSE 'Among the first of no concept' END AS report FROM d")
 def feature_report(spark, sf_dir):
     """The reports of all features, written as a text file in their order and read again."""
     table = assoc(spark, sf_dir).withColumn("rate", association.firing_rate()).select("concept", "feature", "f1", "rate")
