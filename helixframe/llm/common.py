@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import os
 import shutil
 import tempfile
@@ -80,6 +82,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def give_back() -> None:
+    """Returns this Python worker's free memory to the system: Spark uses workers again, and theirs counts as the executor's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
+def lean(make: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The same function of batches, between tasks that begin and end without what earlier ones left in the worker."""
+
+    def run(batches: Iterator) -> Iterator:
+        give_back()
+        try:
+            yield from make(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 #: Texts that a task turns into Python objects at once.
 SLICE = 256
 
@@ -99,11 +123,14 @@ def extend(df: DataFrame, column: Column, make: Callable[[pa.Array], list], adde
     ship(df.sparkSession)
     shape = StructType.fromDDL(added)
 
-    @F.arrow_udf(shape)
-    def run(values: pa.Array) -> pa.Array:
+    def one(values: pa.Array) -> pa.Array:
         parts = [pa.StructArray.from_arrays(make(values.slice(i, SLICE)), names=shape.names) for i in range(0, max(1, len(values)), SLICE)]
         return pa.concat_arrays(parts)
 
+    @F.arrow_udf(shape)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from lean(lambda held: map(one, held))(batches)
+
     got = fresh_name(df, "__got")
     # not deterministic for the optimizer, which otherwise evaluates it once a use
     out = df.withColumn(got, run.asNondeterministic()(column))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import extend, fresh_name, raw, ship, slices, written
+from .common import extend, fresh_name, lean, raw, ship, slices, written
 
 #: Words are runs of digits, letters and non-ASCII bytes of the UTF-8 text; A-Z become a-z.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -78,7 +78,7 @@ def shingle_counts(docs: DataFrame, wanted: frozenset, shingle: int) -> Counter:
                         seen.update(wanted.intersection([tuple(w[i : i + n]) for i in at]))
         yield pa.RecordBatch.from_pydict({"s": [b" ".join(s) for s in seen], "n": pa.array(list(seen.values()), pa.int64())})
 
-    rows = docs.mapInArrow(run, "s binary, n long").groupBy("s").agg(F.sum("n").alias("n"))
+    rows = docs.mapInArrow(lean(run), "s binary, n long").groupBy("s").agg(F.sum("n").alias("n"))
     return Counter({tuple(bytes(r["s"]).split()): r["n"] for r in rows.collect()})  # at most the block's own shingles
 
 

@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SLICE, raw, ship, written
+from .common import SLICE, lean, raw, ship, written
 
 #: Of the shingle hash and the second permutation (odd multipliers, so that the latter is one).
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -151,7 +151,7 @@ def sketch(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
                 cols = [b.column(0).slice(at, SLICE), b.column(1).slice(at, SLICE), pa.array([len(s) for s in sets], pa.int64()), *_set_hashes(sets), lists]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "key", "n", "h1", "h2", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, key long, n long, h1 long, h2 long, bands array<long>")
+    return docs.mapInArrow(lean(run), "doc_id long, key long, n long, h1 long, h2 long, bands array<long>")
 
 
 def full_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -166,7 +166,7 @@ def full_sets(docs: DataFrame, words: int) -> DataFrame:
                 sets = shingles(raw(b.column(0).slice(at, SLICE)), words, seen)
                 yield pa.RecordBatch.from_arrays([*_set_hashes(sets), _flat(sets)], names=["h1", "h2", "items"])
 
-    return docs.mapInArrow(run, "h1 long, h2 long, items array<long>")
+    return docs.mapInArrow(lean(run), "h1 long, h2 long, items array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -237,7 +237,7 @@ def prefixes(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.int64()), pa.array(n, pa.int64())], names=["token", "n"])
 
     # a row a shingle and batch of sets, not one a set
-    held = rows.select("items").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("df"))
+    held = rows.select("items").mapInArrow(lean(count), "token long, n long").groupBy("token").agg(F.sum("n").alias("df"))
     shared = written(held.where("df > 1"), "shared-shingles")
     if shared.count() > MAX_SHARED:
         return ordered_by_join(rows, shared, percent)
@@ -269,7 +269,7 @@ def prefixes(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 cols = [one(b.column(0)[i].as_py()), one(n), pa.array(first), pa.array(pos, pa.int64()), pa.array(pos <= short), prev]
                 yield pa.RecordBatch.from_arrays(cols, names=["cls", "n", "token", "pos", "short", "prev"])
 
-    return written(rows.mapInArrow(run, "cls long, n long, token long, pos long, short boolean, prev array<long>"), "prefixes")
+    return written(rows.mapInArrow(lean(run), "cls long, n long, token long, pos long, short boolean, prev array<long>"), "prefixes")
 
 
 def ordered_by_join(rows: DataFrame, shared: DataFrame, percent: int) -> DataFrame:

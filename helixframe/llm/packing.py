@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SLICE, ship, written
+from .common import SLICE, lean, ship, written
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Fixed value: the characters for which the fast encoder is tested equal to the tokenizer file's own library; texts with others take that library.
@@ -93,7 +93,7 @@ def tokenize(docs: DataFrame, capacity: int, separator: int, paths: tuple[str, s
                 cols = [pa.array(x, pa.int32() if c == 1 else pa.int64()) for c, x in enumerate(zip(*rows, strict=True))]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, SLICE).take(cols[0]), *cols[1:]], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), PIECES)
 
 
 def pair(total: int, avail: np.ndarray) -> tuple[int, int] | None:
@@ -192,4 +192,4 @@ def pack(docs: DataFrame, capacity: int = 2048, separator: int = 0, paths: tuple
             held = [b.column(i) for i in range(5)]
             yield pa.RecordBatch.from_arrays([*held, pa.array(seqs[at] + rank - ranks[at]), pa.array(offs[at])], names=[*b.schema.names[:5], "sequence_id", "offset"])
 
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "__rank").mapInArrow(place, PIECES + ", sequence_id long, offset long")
+    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "__rank").mapInArrow(lean(place), PIECES + ", sequence_id long, offset long")

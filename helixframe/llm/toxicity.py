@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE, extend, ship, slices, written
+from .common import SLICE, extend, lean, ship, slices, written
 from .learning import CUT, MAX_LABELLED, best_cut, crc_of, fold, labelled_texts, newton, to_unit
 
 #: Letters that a character may stand for in leetspeak.
@@ -242,8 +242,8 @@ def char_model(docs: DataFrame) -> CharModel:
                 got.clear()
         yield out()
 
-    words = docs.select(F.col("text").cast("string")).mapInArrow(count, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    grams = words.mapInArrow(trigrams, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
+    words = docs.select(F.col("text").cast("string")).mapInArrow(lean(count), "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    grams = words.mapInArrow(lean(trigrams), "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
     return CharModel.of_codes(grams["t"].to_numpy(), grams["n"].to_numpy())
 
 
@@ -318,7 +318,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", keep=None, lim
         yield out()
 
     sums = [F.sum(c).alias(c) for c in ("d0", "d1", "c0", "c1")]
-    counts = texts.where("part > 0").select("text", "label").mapInArrow(count, "f string, d0 long, d1 long, c0 long, c1 long").groupBy("f").agg(*sums)
+    counts = texts.where("part > 0").select("text", "label").mapInArrow(lean(count), "f string, d0 long, d1 long, c0 long, c1 long").groupBy("f").agg(*sums)
     counts = written(counts, "label-counts")
     total = counts.where("f = ''").first()
     if total is None or not total["d0"] or not total["d1"]:
@@ -334,7 +334,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", keep=None, lim
             rows = [model.summary(restore.words(t or "")) for t, _ in rows_of(b)]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), b.column(1)], names=["x", "label"])
 
-    rows = texts.where("part = 0").select("text", "label").mapInArrow(summaries, "x array<double>, label int").collect()  # of the bounded sample
+    rows = texts.where("part = 0").select("text", "label").mapInArrow(lean(summaries), "x array<double>, label int").collect()  # of the bounded sample
     if not rows:
         return model
     x, y = np.array([r["x"] for r in rows]), np.array([r["label"] for r in rows])
