@@ -270,7 +270,7 @@ class Model:
     def summary(self, words: list[str]) -> list[float]:
         """Few numbers from the words: what is found, how strong, how dense."""
         n, known = len(words), self.weights
-        got = sorted(((self.weight(w), words.count(w)) for w in set(words) if w in known or stem(w) in known), reverse=True)
+        got = sorted(((self.weight(w), c) for w, c in Counter(words).items() if w in known or stem(w) in known), reverse=True)
         total = sum(w * c for w, c in got)
         return [1.0, np.log1p(sum(c for _, c in got)), got[0][0] if got else 0.0, sum(w for w, _ in got[:3]), total / (1 + n) ** 0.5, 10 * total / (10 + n)]
 
