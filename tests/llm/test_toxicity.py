@@ -3,13 +3,15 @@ import zlib
 from collections import Counter
 from itertools import product
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from helixframe.llm.learning import CUT, labelled_texts
 from helixframe.llm.queries import op8_toxicity
-from helixframe.llm.toxicity import CharModel, Restorer, char_model, fit, readings, score, toxicity, viterbi
+from helixframe.llm import toxicity as tox
+from helixframe.llm.toxicity import CharModel, Language, Plain, Restorer, asked_for, fit, odd_tokens, readings, said, score, toxicity, viterbi
 
 WORDS = "idiot stupid worthless clown moron the and house garden river table window paper little yellow summer people letter moment".split()
 
@@ -22,6 +24,12 @@ def model(words=WORDS):
     return CharModel.of({k: 50 * n for k, n in counts.items()})
 
 
+def char_model(docs):
+    """The whole table of counts as one model, as a small corpus allows."""
+    rows = Language.of(said(docs.select("text"))).grams.where(f"code >= {1 << 42}").collect()
+    return CharModel.of_codes(np.array([r.code for r in rows], dtype=np.int64), np.array([r.n for r in rows], dtype=np.int64))
+
+
 @pytest.mark.parametrize(("written", "meant"), [("1d10t", "idiot"), ("st*u*p*i*d", "stupid"), ("cl0wn", "clown"), ("mooooron", "moron"), ("w0rthl3$$", "worthless"), ("i.d.i.o.t", "idiot"), ("garden", "garden"), ("2024", "2024")])
 def test_restored_words(written, meant):
     assert Restorer(model())[written] == meant
@@ -168,10 +176,11 @@ def test_scores_equal_a_plain_scorer(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     docs = docs.unionByName(spark.createDataFrame([(-1, None), (-2, "")], "doc_id long, text string"))
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
-    m = fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text"), labels)
+    learned = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    m = fit(learned, labels)
     assert m.weights
     texts = {r.doc_id: r.text for r in docs.collect()}
-    restore = Restorer(m.lm)
+    restore = Restorer(char_model(learned))
     for r in score(docs, m).collect():
         words = restore.words(texts[r.doc_id] or "")
         found = {}
@@ -189,3 +198,70 @@ def test_repeated_ids_do_not_grow_the_sample(spark):
     docs = spark.createDataFrame([(i % 4, f"w{i} text") for i in range(400)], "doc_id long, text string")
     rows = labelled_texts(docs, spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id long, toxic int"), "toxic", None)
     assert sorted((r.doc_id, r.label, r.text) for r in rows.collect()) == [(i, i % 2, min(f"w{j} text" for j in range(i, 400, 4))) for i in range(4)]
+
+
+ODD = ["1d10t", "m.0.r.0.n", "w0rthl3$$", "@$$!", "stuuuuupid", "x-1-y", "4ever", "don't", "a1-" * 400, "i d i o t", "$ t u p 1 d", "s s t u p i d", "4 5 5 6 a", "! d ! 0 t 1 2", "é.t.é", "日.本1", "aaa...bbb"]
+
+
+@pytest.mark.parametrize("block", [1, 40, 50_000])
+def test_blocks_decode_as_the_whole_model(spark, monkeypatch, block):
+    monkeypatch.setattr(tox, "BLOCK", block)
+    monkeypatch.setattr(tox, "MAX_TASKS", 5)
+    docs = spark.createDataFrame([(i, " ".join(WORDS) + " été 日本 ever a ass") for i in range(50)] + [(99, " house ".join(ODD)), (100, None)], "doc_id long, text string")
+    words = said(docs.select("text"))
+    got = {r.token: r.words for r in Language.of(words).forms(odd_tokens(words)).collect()}
+    restore = Restorer(char_model(docs))
+    assert got == {t: restore.form(t) for t in got} and got["1d10t"] == ["idiot"] and got["i d i o t"] == ["idiot"]
+    assert set(got) == {r.w for r in words.collect() if " " in r.w or Plain()[r.w] is None} and {"m.0.r.0.n", "$ t u p 1 d", "a1-" * 400} <= set(got)
+
+
+class Asked(dict):
+    """Counts that remember what was asked for."""
+
+    def get(self, s, default=None):
+        self[s] = 0
+        return default
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.one_of(st.text("aidot01$@!.-s", min_size=1, max_size=12), st.lists(st.sampled_from("aidot014$@!|+(s"), min_size=3, max_size=10).map(" ".join)), st.dictionaries(st.text("^aidots$014", min_size=3, max_size=3), st.integers(1, 99), max_size=30))
+def test_no_other_count_is_asked_for(token, counts):
+    lm, asked = CharModel.of(counts), Asked()
+
+    class Spy(CharModel):
+        def cost(self, before, c):
+            asked.get(before + c), asked.get(before)
+            return lm.cost(before, c)
+
+    Restorer(Spy()).form(token)
+    assert {tox.Counts.code(s) for s in asked} <= asked_for(token)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("aido1 0$\n.4", max_size=40))
+def test_parts_are_the_words(text):
+    restore = Restorer(model())
+    words, odd = Plain().parts(text)
+    for t, n in odd.items():
+        for w in restore.form(t):
+            words[w] += n
+    assert words == Counter(restore.words(text))
+
+
+def test_the_plan_sends_no_model_to_tasks(spark, corpus):
+    docs, labels = corpus
+    m = fit(docs, labels)
+    assert m.__getstate__()["language"] is None and m.language.size > 10
+    clash = docs.withColumn("__key", docs.doc_id).withColumn("score", docs.doc_id)
+    got = toxicity(clash, labels)
+    assert got.columns == ["doc_id", "text", "__key", "score", "predicted", "held_out"] and got.where("doc_id = __key").count() == 400
+
+
+def test_copies_and_null_ids_are_scored_alike(spark, corpus):
+    docs, labels = corpus
+    more = docs.unionByName(docs.where("doc_id < 40").selectExpr("cast(NULL AS long) AS doc_id", "text")).unionByName(docs.where("doc_id = 5"))
+    got = toxicity(more, labels).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.text, set()).add(r.score)
+    assert len(got) == 441 and all(len(v) == 1 for v in by.values())
