@@ -172,24 +172,24 @@ def spells(core: str) -> bool:
 
 
 class Plain(dict):
-    """The form of a word (lower case) that needs no decoding, or None where it does; forgets when it has become large."""
+    """The form of a word (lower case) that needs no decoding, or None where it does; remembers the first words it meets."""
 
     def __missing__(self, word: str) -> str | None:
-        if len(self) > REMEMBERED:
-            self.clear()
         core = word.strip(PLAIN_ENDS)
-        if core.isalpha() and not REPEATED.search(core):
-            out = core
-        elif not any(x.isalpha() for x in core) and not spells(core):
-            out = word.strip(ENDS)
-        else:
+        if core.isalpha():
+            out = None if REPEATED.search(core) else core
+        elif spells(core) or any(map(str.isalpha, core)):
             out = None
-        self[word] = out
+        else:
+            out = word.strip(ENDS)
+        if len(self) < REMEMBERED:
+            self[word] = out
         return out
 
     def parts(self, text: str) -> tuple[Counter, Counter]:
         """The words of a text as they are, and the tokens to decode: words, or letters kept apart by one blank each."""
-        words, odd = Counter(), Counter()
+        low, odd = text.lower(), Counter()
+        tokens = low.split()
 
         def take(m: re.Match) -> str:
             letters = m[0].split()
@@ -198,15 +198,19 @@ class Plain(dict):
             odd[" ".join(letters)] += 1
             return " "
 
-        for w, c in Counter(SPACED.sub(take, text.lower()).split()).items():
-            form = self[w]
-            if form is None:
-                odd[w] += c
-            else:
-                words[form] += c
+        if letters_apart(tokens):
+            tokens = SPACED.sub(take, low).split()
+        words = Counter(map(self.__getitem__, tokens))
+        if words.pop(None, 0):
+            odd.update(w for w in tokens if self[w] is None)
         return words, odd
 
 
+def letters_apart(tokens: list[str]) -> bool:
+    """Whether three tokens of one character follow each other, without which SPACED finds nothing."""
+    return b"\1\1\1" in bytes(map((1).__eq__, map(len, tokens)))
+
+
 def few_numbers(letters: list[str]) -> bool:
     return len(letters) < 4 and not any(x.isalpha() for x in letters)
 
@@ -288,8 +292,8 @@ def said(texts: DataFrame) -> DataFrame:
             for held in slices(b.column(0)):
                 for text in held:
                     low = text.decode("utf-8", "replace").lower()
-                    seen.update(low.split())
-                    for m in SPACED.finditer(low):
+                    seen.update(tokens := low.split())
+                    for m in SPACED.finditer(low) if letters_apart(tokens) else ():
                         if not few_numbers(letters := m[0].split()):
                             seen.setdefault(" ".join(letters), 0)
                     if len(seen) > WORDS_HELD:
