@@ -11,7 +11,7 @@ unchanged, and each row is judged by its own text, also where ids are null or re
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.llm import decontaminate, line_dedup, near_dedup, packing, toxicity
@@ -21,9 +21,17 @@ from helixframe.llm.common import fresh_name, table, written
 MAX_IDS = 2_000_000
 
 
+def without(docs: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
+    """The rows whose key is not among the distinct keys of gone."""
+    name = fresh_name(docs, "__key")
+    gone = gone.withColumnRenamed("key", name)
+    return docs.withColumn(name, key).join(F.broadcast(gone) if gone.count() <= MAX_IDS else gone, name, "left_anti").select(*docs.columns)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A null text is not toxic and stays."""
-    return toxicity.toxicity(docs, table(spark, sf_dir, "labels")).where("predicted = 0").select(*docs.columns)
+    gone = toxicity.text_scores(docs, table(spark, sf_dir, "labels")).where("predicted = 1").select("key")
+    return without(docs, toxicity.text_key(F.col("text")), gone)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,9 +43,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows go by id and text: of a repeated id only those go whose text has a copy in a smaller id. Empty texts and null ids without a copy stay."""
     gone = written(near_dedup.with_keys(docs).where("NOT kept").select("key").distinct(), "near-duplicates")
-    rows = docs.withColumn(key := fresh_name(docs, "__key"), near_dedup.row_key("doc_id", "text"))
-    gone = gone.select(F.col("key").alias(key))
-    return rows.join(F.broadcast(gone) if gone.count() <= MAX_IDS else gone, key, "left_anti").select(*docs.columns)
+    return without(docs, near_dedup.row_key("doc_id", "text"), gone)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
