@@ -281,6 +281,7 @@ def asked_for(token: str) -> set[int]:
 
 def said(texts: DataFrame) -> DataFrame:
     """(w, n): the words of all texts, lower case, with their counts, and letters kept apart with a count of none."""
+    ship(texts.sparkSession)
 
     def count(batches: Iterator) -> Iterator:
         seen: Counter = Counter()
@@ -536,6 +537,7 @@ def text_key(text: Column) -> Column:
 
 def scores(docs: DataFrame, model: Model, text_col: str = "text", forms: DataFrame | None = None) -> DataFrame:
     """(key, score, predicted), one row a distinct text. forms: of the tokens of docs, if the caller has them."""
+    ship(docs.sparkSession)
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
     if forms is None:
         forms = model.language.forms(odd_tokens(said(texts)))

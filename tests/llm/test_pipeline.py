@@ -57,6 +57,17 @@ def test_odd_documents(spark, odd_documents, tmp_path):
         assert (at.count() > 0) == (start is docs)
 
 
+def test_toxic_texts_go_whatever_their_id(spark, tmp_path):
+    """Rows with equal texts go together, also with null ids; null and empty texts and clashing columns stay."""
+    mild, rude = "a quiet house by the river and a garden", "you stupid idiot go away you worthless clown"
+    learned = [(i, f"{rude if i % 4 == 0 else mild} w{i}", 0) for i in range(200)]
+    spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.createDataFrame(learned + [(None, learned[0][1], 1), (900, learned[0][1], 2), (901, None, 3), (902, "", 4), (None, mild, 5)], "doc_id long, text string, __key int")
+    got = p.drop_toxic(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    assert rows(got, "doc_id", "__key") == sorted([(i, 0) for i in range(200) if i % 4] + [(901, 3), (902, 4), (None, 5)], key=repr)
+
+
 def test_run(spark):
     assert [n for n, _ in p.STAGES] == ["toxicity", "line_dedup", "near_dedup", "decontaminate", "pack"]
     docs = spark.read.parquet(f"{SF}/documents.parquet")
@@ -85,5 +96,5 @@ pages = spark.createDataFrame([(1, "http://a.example/", "<p>x</p>")], "page_id l
 assert {{call}}.count() == 1
 """
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
-    for module, call in (("packing", "m.pack(docs)"), ("html_extract", "m.main_text(pages)"), ("near_dedup", "m.near_duplicates(docs)")):
+    for module, call in (("packing", "m.pack(docs)"), ("html_extract", "m.main_text(pages)"), ("near_dedup", "m.near_duplicates(docs)"), ("toxicity", "m.toxicity(docs, docs.selectExpr('doc_id', '1 AS toxic'))")):
         subprocess.run([sys.executable, "-c", code.format(module=module, call=call)], check=True, timeout=200, cwd=tmp_path, env=env)
