@@ -1,8 +1,8 @@
 """Epochs over a table in a keyed order that is computed, not sorted, so any position can be continued from.
 
 Rows are numbered from 0 where they lie. A permutation of these numbers, keyed by a seed, says which row stands at which
-place; it is a column expression in both directions. A batch is a range of places. To read on from a position, the rows
-at the next places are asked for; to give a whole table its order, each row's place is computed.
+place; it is a column expression in both directions. A batch is a range of places. To give a whole table its order,
+each row's place is computed; to read on from a position, the rows whose places come next are taken.
 
 The permutation is a Feistel network over pairs of numbers below a and b, a * b >= n; what falls outside n is mapped
 again until it lies inside. Fewer than a of the a * b pairs lie outside, so 64 steps are enough (for small n that is certain,
@@ -18,10 +18,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
-from ..cluster import new_path, ship
+from ..cluster import new_path, ship, stored
 
 ROUNDS, STEPS = 4, 64
 
+#: The most ranges of places, and so reads of the table, that a streamed epoch takes.
+TURNS = 16
+
 
 def _sides(n: int) -> tuple[int, int]:
     a = max(1, math.isqrt(max(0, n - 1)) + 1)
@@ -91,44 +94,49 @@ def epoch(rows: DataFrame, n: int, size: int, seed: int, start: int = 0, stop: i
 
 
 class PositionReader(SimpleDataSourceStreamReader):
-    def __init__(self, stop: int, size: int, first: int):
-        self.stop, self.size, self.first = stop, size, first
+    def __init__(self, stop: int, width: int, first: int):
+        self.stop, self.width, self.first = stop, width, first
 
     def initialOffset(self) -> dict:
         return {"position": self.first}
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
         low = start["position"]
-        high = max(low, min(self.stop, low - low % self.size + self.size))
-        return iter([(i, i // self.size) for i in range(low, high)]), {"position": high}
+        end = {"position": max(low, min(self.stop, low - low % self.width + self.width))}
+        return self.readBetweenOffsets(start, end), end
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return iter([(i, i // self.size) for i in range(start["position"], end["position"])])
+        low, high = start["position"], end["position"]
+        return iter([(low, high)] if low < high else [])
 
     def commit(self, end: dict) -> None:
         pass
 
 
 class PositionSource(DataSource):
-    """Options: stop, size, start. Each micro-batch is the rest of a batch of `size` places; the offset is the position."""
+    """Options: stop, width, start. Each micro-batch is one row, the rest of a range of `width` places; the offset is the position."""
 
     @classmethod
     def name(cls) -> str:
         return "helix_positions"
 
     def schema(self) -> str:
-        return "place long, batch long"
+        return "__low long, __high long"
 
     def simpleStreamReader(self, schema) -> PositionReader:
-        return PositionReader(int(self.options["stop"]), int(self.options["size"]), int(self.options.get("start", 0)))
+        return PositionReader(int(self.options["stop"]), int(self.options["width"]), int(self.options.get("start", 0)))
 
 
-def stream_epoch(rows: DataFrame, n: int, size: int, seed: int, start: int = 0, stop: int | None = None, name: str = "row") -> DataFrame:
+def stream_epoch(rows: DataFrame, n: int, size: int, seed: int, start: int = 0, stop: int | None = None, name: str = "row", turns: int = TURNS) -> DataFrame:
     """The same batches as a stream up to `stop`: its checkpoint holds the position, so a query that is started again goes on there.
 
-    A micro-batch asks for its rows by number: `size` longs a batch, bounded by that parameter, are broadcast to the table."""
+    A micro-batch is a range of places, which every task compares with its rows' places; these are computed once and stored. Each
+    reads the whole table, so it takes as many whole batches as let an epoch end after `turns` ranges, however long it is."""
     spark: SparkSession = rows.sparkSession
     ship(spark)
     spark.dataSource.register(PositionSource)
-    places = spark.readStream.format("helix_positions").option("stop", n if stop is None else min(stop, n)).option("size", size).option("start", start).load()
-    return places.withColumn(name, row_at(F.col("place"), n, seed)).join(rows, name)
+    width = size * max(1, -(-n // (size * turns)))
+    places = spark.readStream.format("helix_positions").option("stop", n if stop is None else min(stop, n)).option("width", width).option("start", start).load()
+    placed = stored(epoch(rows, n, size, seed, start, stop, name), "placed")
+    inside = (F.col("place") >= F.col("__low")) & (F.col("place") < F.col("__high"))
+    return placed.join(F.broadcast(places), inside).select(name, "place", "batch", *[c for c in rows.columns if c != name])

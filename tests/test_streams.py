@@ -53,6 +53,17 @@ def test_a_stream_goes_on_from_its_position(spark, tmp_path):
     assert rows(spark.read.parquet(str(tmp_path / "out")), "batch", "place", "x") == rows(permuted.epoch(table, n, 50, 4), "batch", "place", "x")
 
 
+def test_a_streamed_epoch_takes_few_micro_batches_however_long_it_is(spark, tmp_path):
+    table, n = permuted.numbered(spark.range(3000).withColumnRenamed("id", "x").repartition(3))
+    for stop in (1234, None):
+        q = permuted.stream_epoch(table, n, 10, 4, stop=stop).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).start()
+        q.processAllAvailable()
+        q.stop()
+    assert rows(spark.read.parquet(str(tmp_path / "out")), "batch", "place", "x") == rows(permuted.epoch(table, n, 10, 4), "batch", "place", "x")
+    # 300 batches in 16 ranges, one of them in two parts
+    assert len([f for f in (tmp_path / "ck" / "commits").iterdir() if f.name.isdigit()]) <= permuted.TURNS + 1
+
+
 def test_silent_runs_over_interrupted_queries(spark, tmp_path):
     rng = random.Random(1)
     events = [(rng.choice(["hot", "a", "b", None]), i, rng.choice([0, 0, 0, 1, None])) for i in range(240)]
