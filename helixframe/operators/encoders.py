@@ -19,9 +19,11 @@ def unit_norm(vector: Column, eps: float = 1e-5) -> Column:
     """(x - mean) / (sample deviation + eps), within one vector."""
     v = vector.cast("array<double>")
     n = F.size(v)
-    mean = F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / n
-    var = F.aggregate(v, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / F.when(n > 1, n - 1)
-    return F.transform(v, lambda x: (x - mean) / (F.sqrt(var) + eps))
+    mean = F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / F.when(n > 0, n)
+    # what all elements share is the one element of an array, so that it is computed once a vector and not once an element
+    var = lambda m: F.aggregate(v, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)) / F.when(n > 1, n - 1)
+    shared = F.transform(F.array(mean), lambda m: F.struct(m.alias("mean"), (F.sqrt(var(m)) + eps).alias("dev")))
+    return F.transform(shared, lambda s: F.transform(v, lambda x: (x - s["mean"]) / s["dev"]))[0]
 
 
 def norm(vector: Column) -> Column:
@@ -130,8 +132,9 @@ def energy_share(vector: Column, dims: list[int]) -> Column:
 def log_softmax_loss(logits: Column, target: Column) -> Column:
     """Cross-entropy of one position: log-sum-exp minus the target's logit (target from 0)."""
     v = logits.cast("array<double>")
-    top = F.array_max(v)
-    return top + F.log(F.aggregate(v, F.lit(0.0), lambda a, x: a + F.exp(x - top))) - F.get(v, target)
+    # as in unit_norm: the greatest is found once a vector
+    total = F.transform(F.array(F.array_max(v)), lambda top: top + F.log(F.aggregate(v, F.lit(0.0), lambda a, x: a + F.exp(x - top))))
+    return total[0] - F.get(v, target)
 
 
 def steer(vector: Column, decoder: Column, old: Column, factor: Column) -> Column:

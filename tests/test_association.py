@@ -1,4 +1,5 @@
 import math
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -129,6 +130,18 @@ def test_encoders(spark):
     assert rows(acts.select(e.relu(F.col("p")), e.jump_relu(F.col("p"), F.log("lt")), e.gated(F.col("g"), F.col("m")))) == [(0.0, 0.0, 0.0), (0.5, 0.5, 2.0)]
 
 
+def test_long_vectors_are_normalised_in_time_of_their_length(spark):
+    began = time.monotonic()
+    v = F.transform(F.sequence(F.lit(1), F.col("id") + 1999), lambda x: x.cast("double"))
+    z, ce = spark.range(1, 2).select(e.unit_norm(v, 0.0), e.log_softmax_loss(v, F.lit(1999))).first()
+    dev = (2000 * 2001 / 12) ** 0.5
+    assert z[0] == pytest.approx(-999.5 / dev) and z[1999] == pytest.approx(999.5 / dev) and ce == pytest.approx(math.log(math.e / (math.e - 1)))
+    # each element once, not the whole vector for each element: that took minutes
+    assert time.monotonic() - began < 30
+    short = spark.createDataFrame([(0, None), (1, []), (2, [3.0])], "i int, v array<double>")
+    assert [r.z for r in short.orderBy("i").select(e.unit_norm(F.col("v")).alias("z")).collect()] == [None, [], [None]]
+
+
 def test_sweeps(spark):
     df = spark.createDataFrame([("m", 100, 5), ("m", 200, 3), ("m", 300, 3)], "g string, step int, dead int")
     assert w.best_step(df, "g", "step", "dead").first().best_step == 200
