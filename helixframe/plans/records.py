@@ -320,7 +320,7 @@ def dead_counter_stream(spark, sf_dir):
     e = e.withColumn("part", part)
     for parts in ((0, 1), (2, 3)):
         for p in parts:
-            e.where(F.col("part") == p).drop("part").coalesce(1).write.mode("append").parquet(f"{path}/in")
+            e.where(F.col("part") == p).drop("part").repartition(1).write.mode("append").parquet(f"{path}/in")
         stream = spark.readStream.schema(e.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
         state.silent_runs(stream, "user_id", "event_id", "value < 50").writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{path}/out").select("event_id", "run")

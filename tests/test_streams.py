@@ -79,6 +79,23 @@ def test_silent_runs_over_interrupted_queries(spark, tmp_path):
     assert sorted((r.at, r.run) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == want
 
 
+def test_silent_runs_of_many_keys_share_their_calls(spark, tmp_path, monkeypatch):
+    # calls are of buckets of keys, a key's own call cost more than its rows
+    monkeypatch.setattr(state, "BUCKETS", 3)
+    rng = random.Random(5)
+    events = [(rng.choice([None, *range(50)]), i, rng.choice([0, 0, 1, None])) for i in range(900)]
+    want, run = [], {}
+    for key, i, v in events:
+        run[key] = run.get(key, 0) + 1 if v == 0 else 0
+        want.append((key, i, run[key]))
+    for low in (0, 300, 600):
+        spark.createDataFrame(events[low : low + 300], "k long, at long, v int").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("k long, at long, v int").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        q = state.silent_runs(stream, "k", "at", "v = 0").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    assert rows(spark.read.parquet(str(tmp_path / "out")), "k", "at", "run") == sorted(want, key=repr)
+
+
 def test_greedy_controls_equal_turns_over_the_whole_pool(spark):
     rng = random.Random(2)
     pool = [(k, i, rng.choice([0.0, 0.1, 0.2, 0.3, 0.35, 0.9]), rng.choice([0.0, 0.5])) for k in ("a", "b", "hot", None) for i in range(300 if k == "hot" else 9)]
