@@ -100,23 +100,30 @@ def _looked_up(points: DataFrame, intervals: DataFrame, keys: list[str], pos: st
     names = [c for c in points.columns if c not in ("p_start", "p_end")]
     if index is not None and same_types(points, held, keys):
         return points.select(*names, spans_of(index, keys, pos, reach).alias("__p")).select(*names, "__p.p_start", "__p.p_end")
-    if reach:
-        held = merge_intervals(held, keys, bin_width)
-    found = _predecessors(points.select(*keys, F.col(pos).cast("long").alias("__at")).distinct(), held, keys, bin_width)
+    found = _predecessors(points.select(*keys, F.col(pos).cast("long").alias("__at")).distinct(), held, keys, bin_width, reach)
     at = points.select(*names).withColumn("__at", F.col(pos).cast("long"))
     return null_safe_join(at, found, [*keys, "__at"], "left").select(*names, "p_start", "p_end")
 
 
-def _predecessors(spots: DataFrame, held: DataFrame, keys: list[str], bin_width: int) -> DataFrame:
-    """keys, __at, p_start, p_end of distinct spots: a window in each (key, bin), and one row a bin carried to later ones."""
+def _predecessors(spots: DataFrame, held: DataFrame, keys: list[str], bin_width: int, reach: bool) -> DataFrame:
+    """keys, __at, p_start, p_end of distinct spots: a window in each (key, bin), and one row a bin carried to later ones.
+
+    With reach, p_end is the greatest end of all spans that start at or before the spot, so that none need be merged."""
     kind = "struct<start:bigint,end:bigint>"
     left = spots.select(*keys, "__at", F.lit(1).alias("__kind"), F.lit(None).cast(kind).alias("__span"))
     right = held.select(*keys, F.col("start").cast("long").alias("__at"), F.lit(0).alias("__kind"), F.struct("start", "end").cast(kind).alias("__span"))
     both = left.unionByName(right).withColumn("__bin", F.floor(F.col("__at") / bin_width))
     here = Window.partitionBy(*keys, "__bin").orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    if reach:
+        ends = {"start": F.max("__span.start"), "end": F.max("__span.end")}
+        in_bin = both.withColumns({f"__in_{c}": e.over(here) for c, e in ends.items()}).where("__kind = 1")
+        bins = both.groupBy(*keys, "__bin").agg(*[e.alias(f"__last_{c}") for c, e in ends.items()])
+        carried = bins.select(*keys, "__bin", *[F.max(f"__last_{c}").over(before).alias(f"__carry_{c}") for c in ends])
+        out = null_safe_join(in_bin, carried, [*keys, "__bin"], "left")
+        return out.select(*keys, "__at", *[F.greatest(f"__in_{c}", f"__carry_{c}").alias(f"p_{c}") for c in ends])
     in_bin = both.withColumn("__in", F.last("__span", ignorenulls=True).over(here)).where("__kind = 1")
     bins = both.groupBy(*keys, "__bin").agg(F.max("__span").alias("__last"))
-    before = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
     carried = bins.select(*keys, "__bin", F.last("__last", ignorenulls=True).over(before).alias("__carry"))
     got = F.coalesce("__in", "__carry")
     out = null_safe_join(in_bin, carried, [*keys, "__bin"], "left")

@@ -158,3 +158,19 @@ def test_other_key_types_take_the_shuffle(spark):
     points = spark.createDataFrame([(1, 5)], "key int, pos long")
     held = spark.createDataFrame([(1, 0, 9)], "key long, start long, end long")
     assert iv.asof_contains(points, held).first().hit
+
+
+def test_reach_of_a_large_set_needs_no_merge(spark, monkeypatch):
+    from helixframe.operators import interval_index
+
+    monkeypatch.setattr(interval_index, "MAX_INDEX", -1)
+    rng = random.Random(8)
+    keys = ["a", "b", None]
+    held = [(rng.choice(keys), a, a + rng.choice([0, 1, 5, 60])) for a in (rng.randrange(-200, 200) for _ in range(60))]
+    points = [(i, rng.choice([*keys, "none"]), rng.choice([None, *range(-220, 280)])) for i in range(400)]
+    got = iv.asof_contains(spark.createDataFrame(points, "id int, key string, pos long"), spark.createDataFrame(held, SPAN), mode="overlap", bin_width=16)
+    want = [(i, p is not None and any(k == h and a <= p < b for h, a, b in held)) for i, k, p in points]
+    assert rows(got, "id", "hit") == sorted(want, key=repr)
+    # one window in a bin and one over bins; merging took four more
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 2
