@@ -154,15 +154,19 @@ def span_index(intervals: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, Br
     return rows, _sent(rows.sparkSession, index)
 
 
-def label_index(intervals: DataFrame, label: str, keys: Sequence[str]) -> tuple[DataFrame, Broadcast | None]:
-    """The same with labels; the pieces of small sets that overlap too much for MAX_CELLS are not indexed either."""
-    rows = intervals.where("start < end").groupBy(label, *keys, "start").agg(F.max("end").alias("end"))
-    rows = stored(rows, "labelled-intervals")
-    if rows.count() > MAX_INDEX:
-        return rows, None
-    arrays, start, end = _columns(rows, [label, *keys])
+def label_index(intervals: DataFrame, label: str, keys: Sequence[str]) -> tuple[DataFrame, int, Broadcast | None]:
+    """The rows with labels, how many there are, and their index if distinct starts are estimated to be few.
+
+    Large sets become one row a start only where that halves them, as a task would hold all starts of its part of the
+    input. The pieces of small sets that overlap too much for MAX_CELLS are not indexed either."""
+    rows = stored(intervals.where("start < end").select(label, *keys, "start", "end"), "labelled-intervals")
+    n, starts = rows.agg(F.count("*"), F.approx_count_distinct(F.xxhash64(label, *keys, "start"))).first()
+    by_start = rows.groupBy(label, *keys, "start").agg(F.max("end").alias("end"))
+    if starts > MAX_INDEX:
+        return (by_start, starts, None) if n > 2 * starts else (rows, n, None)
+    arrays, start, end = _columns(by_start, [label, *keys])
     index = LabelIndex(arrays[0], arrays[1:], start, end)
-    return rows, None if index.cells > MAX_CELLS else _sent(rows.sparkSession, index)
+    return by_start, starts, None if index.cells > MAX_CELLS else _sent(rows.sparkSession, index)
 
 
 def _sent(spark: SparkSession, index: SpanIndex | LabelIndex) -> Broadcast:

@@ -26,6 +26,9 @@ BIN = 1 << 16
 #: The most rows of a side that is sent to every task.
 MAX_SMALL = 100_000
 
+#: Rows that a task merges of a set that was counted.
+TASK_ROWS = 1_500_000
+
 
 def small(df: DataFrame, limit: int = MAX_SMALL) -> DataFrame:
     """The table, computed once; to be broadcast if it is counted to be small, else Spark chooses."""
@@ -155,17 +158,41 @@ def overlap_anti(rows: DataFrame, intervals: DataFrame, keys: str | Sequence[str
 def label_points(points: DataFrame, intervals: DataFrame, label: str = "concept", keys: str | Sequence[str] = "key", pos: str = "pos", bin_width: int = 4096) -> DataFrame:
     """(point columns, label) for every label with an interval around the point.
 
-    Merged intervals of one label are apart, so a point meets a label once. A small set is an index of pieces with their
-    labels; a larger one is a range join by bins."""
+    Intervals of one label are merged inside a bin, so a point meets a label once. A small set is an index of pieces with
+    their labels; a larger one is a range join by bins."""
     keys = keys_of(keys)
-    held, index = label_index(intervals, label, keys)
+    held, n, index = label_index(intervals, label, keys)
     if index is not None and same_types(points, held, keys):
         return points.select("*", F.explode(labels_of(index, held.schema[label].dataType, keys, pos)).alias(label))
-    cut = merge_intervals(held, [label, *keys]).withColumn("__bin", F.explode(F.sequence(F.floor(F.col("start") / bin_width), F.floor((F.col("end") - 1) / bin_width))))
+    cut = _merged_by_bin(held, n, [label, *keys], bin_width)
     at = points.withColumn("__bin", F.floor(F.col(pos) / bin_width))
     return null_safe_join(at, cut, [*keys, "__bin"]).where((F.col("start") <= F.col(pos)) & (F.col(pos) < F.col("end"))).drop("__bin", "start", "end")
 
 
+def _merged_by_bin(held: DataFrame, n: int, keys: list[str], bin_width: int) -> DataFrame:
+    """keys, __bin, start, end: what the n rows cover of each bin they touch, as intervals that lie apart inside the bin.
+
+    One shuffle to tasks of about TASK_ROWS rows, whatever their number, and one sort. Ends may lie beyond the bin."""
+    at = [*keys, "__bin"]
+    rows = held.select(*keys, F.floor(F.col("start") / bin_width).alias("__bin"), "start", "end")
+    # of the rows that leave their bin, how far they reach goes to each bin up to the next that has such rows
+    last = F.floor((F.col("end") - 1) / bin_width)
+    leaving = rows.where(last > F.col("__bin")).groupBy(*at).agg(F.max("end").alias("end"))
+    bins = Window.partitionBy(*keys).orderBy("__bin")
+    reach = F.max("end").over(bins.rowsBetween(Window.unboundedPreceding, 0))
+    carried = leaving.select(*at, reach.alias("end"), F.lead("__bin").over(bins).alias("__next"))
+    carried = carried.where(last > F.col("__bin")).withColumn("__bin", F.explode(F.sequence(F.col("__bin") + 1, F.least(last, "__next"))))
+    carried = carried.select(*at, (F.col("__bin") * bin_width).alias("start"), "end")
+    dealt = rows.unionByName(carried).repartition(max(n // TASK_ROWS + 1, held.sparkSession.sparkContext.defaultParallelism), *at)
+    here = Window.partitionBy(*at).orderBy("start")
+    before = F.max("end").over(here.rowsBetween(Window.unboundedPreceding, -1))
+    out = dealt.withColumns({"__before": before, "__next": F.lead("start").over(here)})
+    begun = F.max(F.when(F.col("__before").isNull() | (F.col("start") > F.col("__before")), F.col("start"))).over(here.rowsBetween(Window.unboundedPreceding, 0))
+    # the last row of an island knows where it began and how far it reaches
+    out = out.select(*at, begun.alias("start"), F.greatest("__before", "end").alias("end"), "__next")
+    return out.where(F.col("__next").isNull() | (F.col("__next") > F.col("end"))).drop("__next")
+
+
 def clamp(df: DataFrame, low: int, high: int) -> DataFrame:
     """The parts of the intervals inside [low, high)."""
     hit = df.where((F.col("start") < high) & (F.col("end") > low))

@@ -174,3 +174,28 @@ def test_reach_of_a_large_set_needs_no_merge(spark, monkeypatch):
     # one window in a bin and one over bins; merging took four more
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Window [") == 2
+
+
+@pytest.mark.parametrize("width, times", [(8, 1), (64, 2), (1 << 12, 5)])
+def test_labels_of_a_large_set_take_one_shuffle_of_bounded_tasks(spark, monkeypatch, width, times):
+    from helixframe.operators import interval_index
+
+    monkeypatch.setattr(interval_index, "MAX_INDEX", -1)
+    monkeypatch.setattr(iv, "TASK_ROWS", 20, raising=False)
+    rng = random.Random(width)
+    keys, labels = ["a", "b", None], ["x", "y", None]
+    held = [(rng.choice(labels), rng.choice(keys), a, a + rng.choice([-1, 0, 1, 5, 30, 300])) for a in (rng.randrange(-400, 400) for _ in range(90))] * times
+    held += [("x", "a", None, 5), ("x", "a", 5, None)]
+    points = [(i, rng.choice([*keys, "none"]), rng.choice([None, *range(-420, 720)])) for i in range(500)]
+    points += points[:20]  # a repeated point has its labels as often
+    got = iv.label_points(spark.createDataFrame(points, "id int, key string, pos long"), spark.createDataFrame(held, "concept string, key string, start int, end int"), bin_width=width)
+    spans_ = [r for r in held if None not in r[2:]]
+    want = [(i, c) for i, k, p in points for c in labels if p is not None and any((c, k) == (x, h) and a <= p < b for x, h, a, b in spans_)]
+    assert got.columns == ["id", "key", "pos", "concept"] and rows(got, "id", "concept") == sorted(want, key=repr)
+    # one window over bins and two over one sort in them; merging whole took eleven, and starts were made distinct whatever that saved
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 3
+    if times == 1:
+        valid = sum(a < b for *_, a, b in spans_)
+        assert f", {max(valid // 20 + 1, 4)}" in next(x for x in plan.splitlines() if "RepartitionByExpression" in x)
+        assert plan.count("Aggregate [") == 1  # of those that leave their bin
