@@ -59,11 +59,12 @@ def merge_intervals(df: DataFrame, keys: str | Sequence[str] = "key", bin_width:
     before = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
     carried = bins.select(*at, F.max("__reach").over(before).alias("__carry"))
     here = Window.partitionBy(*at).orderBy("start")
+    so_far = here.rowsBetween(Window.unboundedPreceding, 0)
     reach = F.greatest(F.col("__carry"), F.max("end").over(here.rowsBetween(Window.unboundedPreceding, -1)))
-    flagged = null_safe_join(rows, carried, at).withColumn("__new", F.when(F.col("start") <= reach, 0).otherwise(1))
-    island = F.sum("__new").over(here.rowsBetween(Window.unboundedPreceding, 0))
-    # island 0 of a bin is the rest of one that began in an earlier bin
-    parts = flagged.withColumn("__i", island).groupBy(*at, "__i").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    flagged = null_safe_join(rows, carried, at).withColumns({"__new": F.when(F.col("start") <= reach, 0).otherwise(1), "__next": F.lead("start").over(here)})
+    # island 0 of a bin is the rest of one that began in an earlier bin; an island's last row knows where it began and how far it reaches
+    parts = flagged.withColumns({"__i": F.sum("__new").over(so_far), "__begun": F.max(F.when(F.col("__new") == 1, F.col("start"))).over(so_far), "__to": F.max("end").over(so_far)})
+    parts = parts.where(F.col("__next").isNull() | (F.col("__next") > F.greatest("__carry", "__to"))).select(*at, "__i", F.col("__begun").alias("start"), F.col("__to").alias("end"))
     ends = parts.groupBy(*at).agg(F.max("__i").alias("__last"), F.max(F.when(F.col("__i") == 0, F.col("end"))).alias("__rest"))
     begun = (F.col("__last") > 0).cast("long")
     upto = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, 0)

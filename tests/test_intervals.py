@@ -199,3 +199,11 @@ def test_labels_of_a_large_set_take_one_shuffle_of_bounded_tasks(spark, monkeypa
         valid = sum(a < b for *_, a, b in spans_)
         assert f", {max(valid // 20 + 1, 4)}" in next(x for x in plan.splitlines() if "RepartitionByExpression" in x)
         assert plan.count("Aggregate [") == 1  # of those that leave their bin
+
+
+def test_islands_are_not_aggregated(spark):
+    pairs = [(0, 10), (5, 20), (21, 22), (30, 50)]
+    got = iv.merge_intervals(spans(spark, *pairs), bin_width=8)
+    grouped = [x.split("], [")[0] for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate [" in x]
+    assert grouped and not any("__i#" in x for x in grouped)
+    assert rows(got, "start", "end") == fold(pairs)
